@@ -1,23 +1,13 @@
-"""Makes the package importable in Python workers on machines that do not have it."""
+"""Sends the package's functions by value, so that Python workers need no copy of it installed."""
 
 from __future__ import annotations
 
-import shutil
-import tempfile
-from pathlib import Path
+import importlib
 
-from pyspark.sql import SparkSession
+from pyspark import cloudpickle
 
-_shipped: set[str] = set()
 
-
-def ship(spark: SparkSession) -> None:
-    """Adds the package to the session's files, once an application."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    here = Path(__file__).resolve().parent
-    with tempfile.TemporaryDirectory(prefix="vexalith-ship-") as tmp:
-        archive = shutil.make_archive(f"{tmp}/{here.name}-package", "zip", here.parent, here.name)
-        spark.sparkContext.addPyFile(archive)
-    _shipped.add(app)
+def ship() -> None:
+    package = importlib.import_module(__package__)
+    if __package__ not in cloudpickle.list_registry_pickle_by_value():
+        cloudpickle.register_pickle_by_value(package)
