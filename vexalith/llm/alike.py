@@ -43,7 +43,7 @@ SHARE = 0.80
 COSINE = 0.98
 #: Cells of the word counter: a fixed size, whatever the vocabulary.
 COUNTER = 1 << 18
-HOT = 256
+HOT = 4096
 #: Pairs compared at once.
 CHUNK = 1 << 20
 TEXT, LIST, VEC, COPY, LINK = 0, 1, 2, 3, 4
