@@ -2,8 +2,19 @@
 
 from __future__ import annotations
 
+from .clusters import p5_clusters, p5_found
 from .history import p4_found
 from .nearduplicates import p1_found, p1_groups
+from .neighbours import p2_found
+from .tokenize import p6_ids
 
-QUERIES = {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found}
+QUERIES = {
+    "p1_found": p1_found,
+    "p1_groups": p1_groups,
+    "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p5_found": p5_found,
+    "p5_clusters": p5_clusters,
+    "p6_ids": p6_ids,
+}
 ORACLE: dict[str, str] = {}
