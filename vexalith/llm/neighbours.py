@@ -2,13 +2,16 @@
 
 Both halves of the unit vectors are quantised separately (k-means, fitted on a sample of about
 ``SAMPLE`` vectors); a cell is a pair of half centroids and every vector is indexed in one. A query
-goes through centroid pairs in the order of summed distance, with a heap, skipping empty cells,
-until the cells hold ``visit`` vectors, and the entries found are reranked by the exact cosine.
-
-Cells of neighbouring centroids share a bucket (weighted bisection of the cell centres), so a query
-travels to the few buckets its cells lie in, once each, and a bucket's task multiplies whole cells.
-The number of half centroids follows the square root of the table, the number of buckets the table.
-Equal vectors are one class with its k + 1 least ids: a group of copies costs one query a block.
+goes through centroid pairs in the order of summed distance, skipping empty cells, until the cells
+hold ``visit`` vectors, and the entries found are reranked by their cosine. The order is read off
+the sorted sums of the ``GRID`` nearest centroids of either half, for a block of queries at once; a
+query that this grid does not satisfy goes on with the heap.
+
+Cells of neighbouring centroids share a bucket (weighted bisection of the cell centres). A query
+travels to the buckets its cells lie in, once each, but for buckets that hold under ``FAR`` of what
+it would visit, and a bucket's task multiplies whole cells. Vectors travel as 16-bit components
+(the cosine changes by some 1e-6). Vectors equal in these are one class with its least ids: a group
+of copies costs one query a block.
 """
 
 from __future__ import annotations
@@ -27,17 +30,22 @@ from .common import BLOCK_ROWS, DIM, batches, cut, mix, table, unit, vectors
 
 #: Vectors, about, that the centroids are fitted on; all vectors are indexed.
 SAMPLE = 16_384
-CELL = 200
-BUCKET = 12_500
+CELL = 3
+BUCKET = 25_000
+#: Centroids of either half whose sums are sorted.
+GRID = 32
+FAR = 0.02
+#: Vectors in the cells that a query goes through.
+VISIT = 2048
 #: Rows of a query block multiplied with a cell at once.
 ROWS = 1024
 LEAST_COSINE = 0.70
 #: A cosine that rounds to LEAST_COSINE at six decimals is at least this much less.
 HALF = 5e-7
 HALF_DIM = DIM // 2
-ENTRY = np.dtype([("id", "<i8"), ("h", "<u8"), ("x", "<f4", (DIM,))])
-BLOCK_SQL = "bucket int, entries binary, members binary, probes binary"
-BLOCK = pa.schema([("bucket", pa.int32()), ("entries", pa.binary()), ("members", pa.binary()), ("probes", pa.binary())])
+ENTRY = np.dtype([("id", "<i8"), ("h", "<u8"), ("x", "<i2", (DIM,))])
+BLOCK_SQL = "bucket int, entries binary, members binary, counts binary, probes binary"
+BLOCK = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("entries", "members", "counts", "probes")])
 
 
 @dataclass
@@ -63,30 +71,63 @@ class MultiIndex:
         return a.argmin(1) * len(self.right) + b.argmin(1)
 
     def probes(self, u: np.ndarray, visit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, cell) for all cells that each query goes through."""
+        """(query, cell), sorted by query, for all cells that each query goes through."""
         a, b = self.halves(u)
-        first, second = a.argsort(1), b.argsort(1)
-        a, b = np.take_along_axis(a, first, 1).tolist(), np.take_along_axis(b, second, 1).tolist()
-        first, second = first.tolist(), second.tolist()
-        size, width, height = self.size.tolist(), len(self.right), len(self.left)
-        row: list[int] = []
-        out: list[int] = []
-        for q in range(len(u)):
-            da, db, fa, fb = a[q], b[q], first[q], second[q]
-            heap = [(da[0] + db[0], 0, 0)]
-            left = visit
-            while heap and left > 0:
-                _, i, j = heappop(heap)
-                cell = fa[i] * width + fb[j]
-                if n := size[cell]:
-                    row.append(q)
-                    out.append(cell)
-                    left -= n
-                if j + 1 < width:
-                    heappush(heap, (da[i] + db[j + 1], i, j + 1))
-                if j == 0 and i + 1 < height:
-                    heappush(heap, (da[i + 1] + db[0], i + 1, 0))
-        return np.array(row, np.int64), np.array(out, np.int64)
+        m, n = min(GRID, a.shape[1]), min(GRID, b.shape[1])
+        rows: list[np.ndarray] = []
+        cells: list[np.ndarray] = []
+        for at in range(0, len(u), 1024):
+            x, y = a[at : at + 1024], b[at : at + 1024]
+            fx, fy = x.argsort(1), y.argsort(1)
+            x, y = np.take_along_axis(x, fx, 1), np.take_along_axis(y, fy, 1)
+            sums = (x[:, :m, None] + y[:, None, :n]).reshape(len(x), -1)
+            order = sums.argsort(1)
+            cell = (fx[:, :m, None] * len(self.right) + fy[:, None, :n]).reshape(len(x), -1)
+            cell = np.take_along_axis(cell, order, 1)
+            size = self.size[cell]
+            before = np.cumsum(size, 1) - size
+            take = (size > 0) & (before < visit)
+            short = np.flatnonzero(before[:, -1] + size[:, -1] < visit)
+            if len(short) and (m < a.shape[1] or n < b.shape[1]):
+                take[short] = False
+                for q in short:
+                    found = self.walked(x[q].tolist(), y[q].tolist(), fx[q], fy[q], visit)
+                    rows.append(np.full(len(found), at + q))
+                    cells.append(found)
+            r, c = np.nonzero(take)
+            rows.append(r + at)
+            cells.append(cell[r, c])
+        row, out = np.concatenate(rows), np.concatenate(cells)
+        order = np.argsort(row, kind="stable")
+        return row[order], out[order]
+
+    def walked(self, da: list[float], db: list[float], fa: np.ndarray, fb: np.ndarray, visit: int) -> np.ndarray:
+        """The cells of one query, in the order of summed distance, by a heap of pairs."""
+        heap, out = [(da[0] + db[0], 0, 0)], []
+        while heap and visit > 0:
+            _, i, j = heappop(heap)
+            cell = int(fa[i]) * len(self.right) + int(fb[j])
+            if self.size[cell]:
+                out.append(cell)
+                visit -= int(self.size[cell])
+            if j + 1 < len(db):
+                heappush(heap, (da[i] + db[j + 1], i, j + 1))
+            if j == 0 and i + 1 < len(da):
+                heappush(heap, (da[i + 1] + db[0], i + 1, 0))
+        return np.array(out, np.int64)
+
+    def ranks(self) -> np.ndarray:
+        """Number of each cell within its bucket."""
+        order = np.argsort(self.bucket, kind="stable")
+        start = np.searchsorted(self.bucket[order], np.arange(self.buckets))
+        out = np.empty(len(order), np.int64)
+        out[order] = np.arange(len(order)) - start[self.bucket[order]]
+        return out
+
+
+def coded(u: np.ndarray) -> np.ndarray:
+    """Unit rows as 16-bit components, each row to its own scale."""
+    return np.rint(u * (32767 / np.abs(u).max(1, keepdims=True))).astype(np.int16)
 
 
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
@@ -172,41 +213,51 @@ def build_index(docs: DataFrame, seed: int = 11) -> MultiIndex | None:
     return MultiIndex(index.left, index.right, size, bucket, buckets)
 
 
-def routed(docs: DataFrame, index: MultiIndex, visit: int, keep: int) -> DataFrame:
+def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
     """Blocks by bucket: classes with their vectors, ids of class members at home, cells to go through."""
     shared = docs.sparkSession.sparkContext.broadcast(astuple(index))
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = MultiIndex(*shared.value)
+        rank = ix.ranks()
         for t in batches(rows, BLOCK_ROWS):
             at, x = vectors(t.column("embedding"))
             if not len(at):
                 continue
             ids = t.column("id").to_numpy()[at]
-            u = unit(x)
-            place = mix(np.arange(1, DIM + 1, dtype=np.uint64))
-            h = mix(mix(u.view(np.uint64) + place).sum(1))  # a power of two as scale leaves u as it is
+            code = coded(unit(x))
+            place = mix(np.arange(1, DIM // 4 + 1, dtype=np.uint64))
+            h = mix(mix(code.view(np.uint64) + place).sum(1))
             order = np.lexsort((ids, h))
-            first = order[np.concatenate([[True], h[order][1:] != h[order][:-1]])]
+            new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+            first = order[new]
+            member_of = np.empty(len(h), np.int64)
+            member_of[order] = np.cumsum(new) - 1
             entries = np.zeros(len(first), ENTRY)
-            entries["id"], entries["h"], entries["x"] = ids[first], h[first], x[first]
-            home = ix.bucket[ix.cells(u[first])]
-            q, cell = ix.probes(u[first], visit)
+            entries["id"], entries["h"], entries["x"] = ids[first], h[first], code[first]
+            u = unit(code[first])
+            home = ix.bucket[ix.cells(u)]
+            q, cell = ix.probes(u, visit)
             to = ix.bucket[cell]
-            slot = {int(v): i for i, v in enumerate(h[first])}
-            member_of = np.array([slot[int(v)] for v in h], np.int64)
+            share = np.bincount(q * ix.buckets + to, ix.size[cell], len(first) * ix.buckets).reshape(len(first), -1)
+            near = share >= FAR * share.sum(1, keepdims=True)
+            near[np.arange(len(first)), home] = True
+            keep = near[q, to]
+            q, cell, to = q[keep], cell[keep], to[keep]
             for b in range(ix.buckets):
-                used = home == b
                 here = to == b
+                used = home == b
                 used[q[here]] = True
                 if not used.any():
                     continue
                 local = np.cumsum(used) - 1
                 mine = home[member_of] == b
                 members = np.stack([local[member_of[mine]], ids[mine]])
-                probes = np.stack([local[q[here]], cell[here]])
+                counts = np.bincount(local[q[here]], minlength=int(used.sum())).astype(np.uint16)
+                number = rank[cell[here]]
+                number = number.astype(np.uint16 if rank.max() < 1 << 16 else np.uint32)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32())] + [pa.array([v.tobytes()], pa.binary()) for v in (entries[used], members, probes)],
+                    [pa.array([b], pa.int32())] + [pa.array([v.tobytes()], pa.binary()) for v in (entries[used], members, counts, number)],
                     schema=BLOCK,
                 )
 
@@ -218,7 +269,6 @@ class Bucket:
     """One bucket's content with classes made unique. members: (class, id), sorted."""
 
     h: np.ndarray
-    x: np.ndarray
     u: np.ndarray
     members: np.ndarray
     probes: np.ndarray
@@ -226,19 +276,26 @@ class Bucket:
 
     @staticmethod
     def read(t: pa.Table, index: MultiIndex) -> Bucket:
+        bucket = t.column("bucket")[0].as_py()
+        cells = np.flatnonzero(index.bucket == bucket)
+        wide = np.uint16 if index.ranks().max() < 1 << 16 else np.uint32
         entries = [np.frombuffer(v, ENTRY) for v in t.column("entries").to_pylist()]
         base = np.cumsum([0] + [len(e) for e in entries[:-1]])
-        two = lambda c: np.concatenate([np.frombuffer(v, np.int64).reshape(2, -1) + np.array([[o], [0]]) for v, o in zip(t.column(c).to_pylist(), base)], 1)
-        members, probes, entries = two("members"), two("probes"), np.concatenate(entries)
+        members = np.concatenate([np.frombuffer(v, np.int64).reshape(2, -1) + np.array([[o], [0]]) for v, o in zip(t.column("members").to_pylist(), base)], 1)
+        counts = np.concatenate([np.frombuffer(v, np.uint16) for v in t.column("counts").to_pylist()]).astype(np.int64)
+        number = np.concatenate([np.frombuffer(v, wide) for v in t.column("probes").to_pylist()])
+        entries = np.concatenate(entries)
         h, first, of = np.unique(entries["h"], return_index=True, return_inverse=True)
-        members[0], probes[0] = of[members[0]], of[probes[0]]
+        members[0] = of[members[0]]
         members = members[:, np.lexsort((members[1], members[0]))]
-        probes = np.unique(probes, axis=1)
+        probe = of[np.repeat(np.arange(len(counts)), counts)] * np.int64(1 << 32) + cells[number]
+        if len(h) < len(entries):
+            probe = np.unique(probe)
         u = unit(entries["x"][first])
         cell = np.full(len(h), -1, np.int64)
         own = np.unique(members[0])
         cell[own] = index.cells(u[own])
-        return Bucket(h, entries["x"][first], u, members, probes, cell)
+        return Bucket(h, u.astype(np.float32), members, np.stack([probe >> 32, probe & 0xFFFFFFFF]), cell)
 
     def least_ids(self, keep: int) -> tuple[np.ndarray, np.ndarray]:
         """(class, id): the keep least ids of every class at home."""
@@ -248,36 +305,13 @@ class Bucket:
         return c[rank < keep], self.members[1][rank < keep]
 
 
-def best_of(s: np.ndarray, uq: np.ndarray, um: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, column, cosine rounded to six decimals), at least the keep best columns of each row.
-
-    s holds single-precision cosines; what could be among the keep best, ties included, is
-    computed again in double precision.
-    """
-    floor = least - 1e-5
-    if s.shape[1] > keep + 6:
-        part = np.argpartition(s, s.shape[1] - keep - 6, 1)[:, -keep - 6 :]
-        near = np.take_along_axis(s, part, 1)
-        near.sort(1)
-        kth = near[:, 6]  # keep-th best
-        crowded = (near[:, 0] >= kth - 3e-6) & (kth >= floor)
-        values = np.take_along_axis(s, part, 1)
-        ok = (values >= floor) & ~crowded[:, None]
-        r, c = np.nonzero(ok)
-        c = part[r, c]
-        if crowded.any():
-            rows = np.flatnonzero(crowded)
-            r2, c2 = np.nonzero(s[rows] >= (kth[rows] - 3e-6)[:, None])
-            r, c = np.concatenate([r, rows[r2]]), np.concatenate([c, c2])
-    else:
-        r, c = np.nonzero(s >= floor)
-    cos = np.empty(len(r))
-    for at in range(0, len(r), 1 << 16):
-        p = slice(at, at + (1 << 16))
-        cos[p] = np.einsum("ij,ij->i", uq[r[p]], um[c[p]])
-    cos = np.round(cos, 6)
-    ok = cos >= least
-    return r[ok], c[ok], cos[ok]
+def best_of(s: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray]:
+    """(row, column) of the keep greatest entries of each row, those of at least ``least``."""
+    if s.shape[1] > keep:
+        part = np.argpartition(s, s.shape[1] - keep, 1)[:, -keep:]
+        r, c = np.nonzero(np.take_along_axis(s, part, 1) >= least - HALF)
+        return r, part[r, c]
+    return np.nonzero(s >= least - HALF)
 
 
 def best_per_query(q: np.ndarray, cos: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
@@ -294,7 +328,6 @@ def search_bucket(b: Bucket, keep: int, least: float, each_cell=None, ids_a_clas
     through; of equal vectors ids_a_class, else keep ids count. each_cell(members) returns what
     also sees the cell's products, as (queries, s)."""
     lc, li = b.least_ids(ids_a_class or keep)
-    single = b.u.astype(np.float32)
     order = np.argsort(b.probes[1], kind="stable")
     pq, pc = b.probes[0][order], b.probes[1][order]
     home = np.flatnonzero(b.cell >= 0)
@@ -311,11 +344,11 @@ def search_bucket(b: Bucket, keep: int, least: float, each_cell=None, ids_a_clas
         rows = max(1, min(ROWS, (1 << 23) // len(m)))
         for at in range(0, len(q), rows):
             part = q[at : at + rows]
-            s = single[part] @ single[m].T
-            r, c, cos = best_of(s, b.u[part], b.u[m], keep, least)
+            s = b.u[part] @ b.u[m].T
+            r, c = best_of(s, keep, least)
             qs.append(part[r])
             cs.append(m[c])
-            ds.append(cos)
+            ds.append(np.round(s[r, c].astype(np.float64), 6))
             if seen:
                 seen(part, s)
     if not qs:
@@ -329,10 +362,10 @@ def search_bucket(b: Bucket, keep: int, least: float, each_cell=None, ids_a_clas
     return q[best], d[best], ids[best]
 
 
-def similar_vectors(docs: DataFrame, k: int = 5, least: float = LEAST_COSINE, visit: int = 4096, id_col: str = "id", embedding_col: str = "embedding") -> DataFrame:
+def similar_vectors(docs: DataFrame, k: int = 5, least: float = LEAST_COSINE, visit: int = VISIT, id_col: str = "id", embedding_col: str = "embedding") -> DataFrame:
     """(id, neighbour, cosine, rank): for every usable vector the k most similar others.
 
-    Cosines are exact, rounded to six decimals; ties go to the less id; neighbours below ``least``
+    Cosines (of 16-bit components) are rounded to six decimals; ties go to the less id; neighbours below ``least``
     are left out. The candidates come from the multi-index (recall: README). Null vectors, vectors
     of another length, with entries null or not finite, and zero vectors neither ask nor answer; an
     empty table gives no rows; equal vectors are neighbours with cosine 1; other columns are ignored.
@@ -356,7 +389,7 @@ def similar_vectors(docs: DataFrame, k: int = 5, least: float = LEAST_COSINE, vi
             {"h": pa.array(h), "id": pa.concat_arrays([pa.nulls(len(start), pa.int64()), pa.array(b.members[1])]), "near": pa.concat_arrays([lists, none])}
         )
 
-    found = cut(routed(docs, index, visit, keep).groupBy("bucket").applyInArrow(search, "h long, id long, near array<struct<d:double,id:long>>"))
+    found = cut(routed(docs, index, visit).groupBy("bucket").applyInArrow(search, "h long, id long, near array<struct<d:double,id:long>>"))
     best = found.where("id is null").groupBy("h").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, keep).alias("near"))
     own = found.where("id is not null").select("h", "id")
     lists = own.join(best, "h").select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
