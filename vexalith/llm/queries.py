@@ -6,6 +6,7 @@ from .clusters import p5_clusters, p5_found
 from .history import p4_found
 from .nearduplicates import p1_found, p1_groups
 from .neighbours import p2_found
+from .pii import p8_found, p8_redacted
 from .tokenize import p6_ids
 
 QUERIES = {
@@ -16,5 +17,7 @@ QUERIES = {
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p6_ids": p6_ids,
+    "p8_found": p8_found,
+    "p8_redacted": p8_redacted,
 }
 ORACLE: dict[str, str] = {}
