@@ -33,7 +33,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import BLOCK_ROWS, DIM, WordHash, batches, buckets_for, cut, mix, occurrence_numbers, unit, vectors, word_rows, words
@@ -246,13 +246,18 @@ def hamming_limit() -> int:
     return int(SKETCH_BITS * p + 5 * math.sqrt(SKETCH_BITS * p * (1 - p)))
 
 
-def like_sketch(kind: int, x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    far = np.bitwise_count(x["s"] ^ y["s"]).sum(1)
+def like_sketch(kind: int, rows: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Which of the pairs of rows (x, y) can be alike by their sizes and sketches."""
+    s = rows["s"]
     if kind == VEC:
-        return far <= hamming_limit()
-    n, m = x["n"].astype(np.int64), y["n"].astype(np.int64)
+        return np.bitwise_count(s[x] ^ s[y]).sum(1) <= hamming_limit()
+    n, m = rows["n"][x], rows["n"][y]
     t = needed(np.maximum(n, m))
-    return (np.minimum(n, m) >= t) & (far <= n + m - 2 * t)
+    out = np.minimum(n, m) >= t
+    at = np.flatnonzero(out)
+    far = np.bitwise_count(s[x[at], 0] ^ s[y[at], 0]).astype(np.int32) + np.bitwise_count(s[x[at], 1] ^ s[y[at], 1])
+    out[at] = far <= (n + m - 2 * t)[at]
+    return out
 
 
 def run_partners(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -312,12 +317,12 @@ def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray,
         jobs = run_partners(begin, np.where(hot & (label[k] == 1), here, 0))
     found: list[np.ndarray] = []
     for i, j in jobs:
-        x, y = rows[k[i]], rows[k[j]]
-        ok = like_sketch(kind, x, y)
+        x, y = k[i], k[j]
+        ok = like_sketch(kind, rows, x, y)
         if kind == LIST:
-            ok &= (x["n"] >= large) | (y["n"] >= large)
+            ok &= (rows["n"][x] >= large) | (rows["n"][y] >= large)
         if ok.any():
-            p, q = x["id"][ok], y["id"][ok]
+            p, q = ids[x[ok]], ids[y[ok]]
             found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1))
     return (np.unique(np.concatenate(found, 1), axis=1) if found else empty), hot_seen
 
@@ -375,10 +380,10 @@ def candidates(docs: DataFrame, finder: str, counts, labels: DataFrame | None =
     nt, nl, nv = buckets_for(entries, 4_000_000), buckets_for(listed, 2_000_000, 1), buckets_for(tables * total, 2_000_000)
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(np.minimum(cells, (1 << 31) - 1).astype(np.int32)) if finder == "subsets" else None
-    source = docs.select("id", "content", "embedding")
-    if labels is None:
+    source = docs
+    if labels is None and "label" not in docs.columns:
         source = source.withColumn("label", F.lit(0).cast("long"))
-    else:
+    elif labels is not None:
         source = source.join(labels.select(F.col("node").alias("id"), F.col("label").cast("long")), "id", "left").withColumn("label", F.coalesce("label", "id"))
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -459,9 +464,9 @@ def checked(docs: DataFrame, pairs: DataFrame) -> DataFrame:
     return out
 
 
-def plain(docs: DataFrame, id_col: str, content_col: str, embedding_col: str) -> DataFrame:
-    """The three columns under fixed names; records without an id take no part."""
-    return docs.select(docs[id_col].cast("long").alias("id"), docs[content_col].alias("content"), docs[embedding_col].alias("embedding")).where(F.col("id").isNotNull())
+def plain(docs: DataFrame, id_col: str, content_col: str, embedding_col: str, *more: Column) -> DataFrame:
+    """The three columns under fixed names, and more; records without an id take no part."""
+    return docs.select(docs[id_col].cast("long").alias("id"), docs[content_col].alias("content"), docs[embedding_col].alias("embedding"), *more).where(F.col("id").isNotNull())
 
 
 __all__ = ["BLOCK_ROWS", "alike", "candidates", "checked", "corpus_counts", "cut", "plain"]
