@@ -25,21 +25,28 @@ def check(rows: DataFrame, columns: Iterable[Column], existing: DataFrame | None
         if c.kind == "VECTOR":
             x = F.col(f"`{c.name}`")
             tests.append((c, "dim", F.max(F.when(F.size(x) != c.dim, F.size(x)))))
+            tests.append((c, "entry", F.max(F.exists(x, lambda e: e.isNull()))))
     if tests:
         found = rows.agg(*[t.alias(f"t{i}") for i, (_, _, t) in enumerate(tests)]).first()
         for i, (c, what, _) in enumerate(tests):
             if what == "null" and found[i]:
                 raise ConstraintError(f"NULL in column '{c.name}', which is NOT NULL")
+            if what == "entry" and found[i]:
+                raise ConstraintError(f"A vector in column '{c.name}' has a NULL entry")
             if what == "dim" and found[i] is not None:
                 raise DimensionMismatchError(c.dim, found[i])
     for c in columns:
         if (c.unique or c.primary_key) and c.name != "id":
-            keys = rows.select(F.col(f"`{c.name}`").alias("k")).where("k is not null")
-            twice = keys.groupBy("k").count().where("count > 1").select("k")
-            bad = twice
-            if existing is not None:
-                old = existing.select(F.col(f"`{c.name}`").alias("k"))
-                bad = bad.unionByName(keys.join(old, "k", "left_semi"))
-            first = bad.limit(1).collect()
+            first = violations(rows, c.name, existing).limit(1).collect()
             if first:
                 raise ConstraintError(f"UNIQUE constraint violation on column '{c.name}': value {first[0]['k']!r} already exists")
+
+
+def violations(rows: DataFrame, column: str, existing: DataFrame | None = None) -> DataFrame:
+    """(k): the values that are in the rows more than once, or in existing rows already; NULLs are not."""
+    keys = rows.select(F.col(f"`{column}`").alias("k")).where("k is not null")
+    bad = keys.groupBy("k").count().where("count > 1").select("k")
+    if existing is not None:
+        old = existing.select(F.col(f"`{column}`").alias("k"))
+        bad = bad.unionByName(keys.join(old, "k", "left_semi"))
+    return bad.distinct()

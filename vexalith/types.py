@@ -26,7 +26,7 @@ SPARK = {
     "FLOAT": T.DoubleType(),
     "BOOLEAN": T.BooleanType(),
     "BLOB": T.BinaryType(),
-    "VECTOR": T.ArrayType(T.FloatType(), False),
+    "VECTOR": T.ArrayType(T.FloatType()),
 }
 ROW_ID = "_row_id"
 
