@@ -66,8 +66,25 @@ def _both(words: str) -> str:
     return "|".join(sorted({re.escape(x) for v in w for x in (v, v.upper())}, key=lambda x: (-len(x), x)))
 
 
+class _Folds(dict):
+    """Word -> folded word, for the words met lately."""
+
+    def __missing__(self, word: str) -> str:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[word] = _folded_word(word)
+        return out
+
+
+_FOLDS = _Folds()
+
+
 def _fold(word: str) -> str:
     """Letters that text recognition confuses, accents and case made equal."""
+    return _FOLDS[word]
+
+
+def _folded_word(word: str) -> str:
     w = unicodedata.normalize("NFD", word.lower())
     w = "".join(c for c in w if c == "\u0303" or not unicodedata.combining(c)).replace("rn", "m").replace("vv", "w")
     return w.translate(_SAME)
@@ -165,28 +182,33 @@ _SPELT = (
     re.compile(rf"{_LOCAL}{_MARK}[\w-]+(?:(?:{_DOT}|\.)[\w-]+)+", re.I),
     re.compile(rf"{_LOCAL}{_SP}(?:at|arroba|@){_SP}[\w-]+(?:{_DOT}[\w-]+)+", re.I),
 )
+_SPELT_SIGNS = ("dot", "punto", "punkt", "(at", "[at", "{at", "<at", "( at", "[ at", "arroba")
 _SPELT_SIGN = re.compile(r"\bdot\b|\bpunto\b|\bpunkt\b|[\[({<]\s*(?:at|arroba)\s*[\])}>]", re.I)
 
 
 def _mails(v: str, low: str) -> Iterator[tuple[int, int]]:
-    if "@" in v:
-        for m in _MAIL.finditer(v):
+    at = v.find("@")
+    while at >= 0:
+        here, at = at, v.find("@", at + 1)
+        for m in _MAIL.finditer(v, max(0, here - 80), min(len(v), here + 120)):
+            if not m.start() < here < m.end():
+                continue
             domain = v[m.start() : m.end()].rpartition("@")[2].strip()
             end = m.end()
             if domain.rpartition(".")[2].lower() not in _TOP and "@" in m.group().split()[0]:
-                at = end
+                next_ = end
                 for _ in range(3):
-                    tail = _MAIL_TAIL.match(v, at)
+                    tail = _MAIL_TAIL.match(v, next_)
                     if not tail:
                         break
-                    at = tail.end()
+                    next_ = tail.end()
                     if tail.group(1).lower() in _TOP:
-                        end = at
+                        end = next_
                         break
             if "." not in domain and end == m.end():
                 continue
             yield m.start(), end
-    if _SPELT_SIGN.search(low):
+    if any(x in low for x in _SPELT_SIGNS) and _SPELT_SIGN.search(low):
         for pattern in _SPELT:
             for m in pattern.finditer(v):
                 yield m.start(), m.end()
@@ -194,14 +216,15 @@ def _mails(v: str, low: str) -> Iterator[tuple[int, int]]:
 
 # ---- Numbers ----
 _D = "[0-9OolI]"
-_RUN = re.compile(rf"(?<![\w.,:#&/+-])(?:\(?\+?[0-9lIO])(?:[0-9OolI ()./-]|\r?\n(?=\d)){{4,24}}[0-9OolI](?:-?[A-Z](?![A-Za-z]))?(?![\w:])")
+_RUN = re.compile(rf"(?<![\w.,:#&/+-])(?:\(?\+?[0-9lIO])[0-9OolI ()./\r\n-]{{4,24}}[0-9OolI](?:-?[A-Z](?![A-Za-z]))?(?![\w:])")
 _PART = re.compile(r"[\s./-]+")
 _OCR = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1"})
 _PHONE_BEFORE = re.compile(rf"(?<!\w)(?:{_folded(PHONE_WORDS)})")
 _ID_BEFORE = re.compile(rf"(?<!\w)(?:{_folded(ID_WORDS)})(?!\w)")
 _OTHER_BEFORE = re.compile(rf"(?<!\w)(?:{_folded(OTHER_NUMBER_WORDS)})(?!\w)")
-_LETTERED = re.compile(r"(?<![\w-])[A-Z]{1,2}[ -]?\d{6,9}(?:-?[A-Z])?(?![\w-])")
-_IBAN = re.compile(r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
+_CODED = re.compile(r"(?<![\w-])[A-Z]{1,2}[ -]?\d[\dA-Z]")
+_LETTERED = re.compile(r"[A-Z]{1,2}[ -]?\d{6,9}(?:-?[A-Z])?(?![\w-])")
+_IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SHAPES = (
     # kind, shape of the digits (9), score
     ("id_number", re.compile(r"999[- ]99[- ]9999"), 1.0),
@@ -217,7 +240,8 @@ _SHAPES = (
     ("phone", re.compile(r"999[ -]999[ -]999|999 99 99 99|9{9,10}"), 0.4),
 )
 _WORDED = re.compile("|".join(rf"(?<!\w)(?:{w})(?:[-, ]{{1,2}}(?:\r?\n)?(?:{w})){{6,14}}(?!\w)" for w in DIGIT_WORDS.values()), re.I)
-_WORD_SIGN = {k: re.compile(rf"(?:{w})[-, ]{{1,2}}(?:{w})[-, ]") for k, w in DIGIT_WORDS.items()}
+_WORD_PAIRS = tuple(re.compile(rf"(?:{w})-(?:{w})[-, ]|(?:{w}),? (?:{w}),? (?:{w})[-, ]") for w in DIGIT_WORDS.values())
+_DIGIT_WORDS = tuple(tuple(w.split("|")) for w in DIGIT_WORDS.values())
 
 
 def luhn(digits: str) -> bool:
@@ -245,7 +269,7 @@ def _context(v: str, start: int, kind: str) -> float:
     # An abbreviation's dot ("Tel. 555") does not end the sentence.
     if cut >= 0 and not re.search(r"(?:tel|nr|no|num|núm|тел)\.$", before[: cut + 1], re.I):
         before = before[cut + 1 :]
-    before = _fold(before)
+    before = _folded_word(before)
     wanted = _ID_BEFORE if kind == "id_number" else _PHONE_BEFORE
     score = 0.0
     good = [m.start() for m in wanted.finditer(before)]
@@ -292,13 +316,14 @@ def _numbers(v: str, low: str) -> Iterator[tuple[str, int, int]]:
                     raw = raw[:-1]
                 yield kind, m.start(), m.start() + len(raw)
                 break
-    for m in _LETTERED.finditer(v):
-        if 0.6 + _context(v, m.start(), "id_number") >= ACCEPT:
-            yield "id_number", m.start(), m.end()
-    for m in _IBAN.finditer(v):
-        if len(s := m.group().replace(" ", "")) >= 15 and mod97(s):
-            yield "id_number", m.start(), m.end()
-    if any(p.search(low) for p in _WORD_SIGN.values()):
+    for sign in _CODED.finditer(v):
+        if m := _LETTERED.match(v, sign.start()):
+            if 0.6 + _context(v, m.start(), "id_number") >= ACCEPT:
+                yield "id_number", m.start(), m.end()
+        if m := _IBAN.match(v, sign.start()):
+            if len(s := m.group().replace(" ", "")) >= 15 and mod97(s):
+                yield "id_number", m.start(), m.end()
+    if any(sum(map(low.count, words)) > 6 and _WORD_PAIRS[n].search(low) for n, words in enumerate(_DIGIT_WORDS)):
         for m in _WORDED.finditer(v):
             yield "phone", m.start(), m.end()
 
@@ -325,13 +350,38 @@ _SIGNS = (
 )
 
 
+#: Characters before and after a word for a street that can belong to the address.
+_REACH = 90
+
+
+def _windows(low: str, signs: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Stretches around the signs that hold a digit outside of timings, overlapping ones as one."""
+    at = []
+    flat = low.replace("\n", " ")
+    for sign in signs:
+        i = flat.find(sign)
+        while i >= 0:
+            at.append(i)
+            i = flat.find(sign, i + 1)
+    at.sort()
+    last = -1
+    for n, i in enumerate(at):
+        if i < last:
+            continue
+        a, b = max(0, i - _REACH), i + _REACH
+        while n + 1 < len(at) and at[n + 1] < b:
+            n += 1
+            b = at[n] + _REACH
+        last = b
+        if any(any(map(str.isdigit, line)) for line in low[a:b].split("\n") if "->" not in line and not line.strip().isdigit()):
+            yield a, b
+
+
 def _addresses(v: str, low: str) -> Iterator[tuple[int, int]]:
     for pattern, signs in zip(_ADDRESSES, _SIGNS):
-        if any(s in low for s in signs):
-            for m in pattern.finditer(v):
-                end = m.end()
-                if any(c.isdigit() for c in v[m.start() : end]):
-                    yield m.start(), end
+        for a, b in _windows(low, signs) if len(low) == len(v) else [(0, len(v))]:
+            for m in pattern.finditer(v, a, min(len(v), b + _REACH)):
+                yield m.start(), m.end()
 
 
 # ---- Names ----
@@ -352,6 +402,18 @@ def _family(w: str) -> bool:
     return bare.find("'", 2) < 0 and len(bare.strip("'�")) >= 3 and bare.lower() not in _COMMON and _fold(bare) not in _PLACES and not bare[0].isdigit()
 
 
+_INTRODUCING = frozenset(w.split()[-1] for w in (CREDITS + "|" + INTRODUCTIONS).split("|")) | {"by"}
+
+
+def _introduced(before: str) -> bool:
+    """Does a title, a credit or an introduction end here?"""
+    end = before.rstrip()
+    if end.endswith(":"):
+        return bool(_LABEL.search(before))
+    word = end.rpartition(" ")[2].rpartition("\n")[2].rstrip(".").lower()
+    return (word in _TITLES and bool(_TITLE.search(before))) or (word in _INTRODUCING and bool(_LABEL.search(before)))
+
+
 def _names(v: str) -> Iterator[tuple[int, int]]:
     last = -1
     for m in _WORD.finditer(v):
@@ -359,11 +421,12 @@ def _names(v: str) -> Iterator[tuple[int, int]]:
             continue
         w = m.group()
         folded = _fold(w)
-        before = v[max(0, m.start() - 32) : m.start()]
         given = folded in GIVEN
-        if not given and not ((t := _TITLE.search(before)) or (before.rstrip()[-1:] in (":", "s", "e", "a", "о", "т", "o", "m") and _LABEL.search(before))):
+        comma = v[m.end() : m.end() + 1] == ","
+        before = v[max(0, m.start() - 32) : m.start()]
+        if not given and not _introduced(before):
             # family name first: "Family, Given"
-            c = _COMMA.match(v, m.end())
+            c = _COMMA.match(v, m.end()) if comma else None
             if c and _fold(c.group(1)) in GIVEN and _family(w) and not w.isupper() and before.rstrip()[-1:].isalpha() and not _ARTICLE.search(before):
                 if v[c.end() : c.end() + 1] != "-":
                     last = c.end()
