@@ -88,7 +88,7 @@ class VectorStore:
     def centroid(self) -> np.ndarray | None:
         """The mean of all vectors; None if there are none."""
         got = similarity.centroid(self.frame(), VECTOR).collect()
-        return np.array(got[0]["centroid"]) if got else None
+        return np.array(got[0]["centroid"]) if got and got[0]["centroid"] else None
 
     def sync(self) -> None:
         """Changes are durable when they return; there is nothing left to write."""
