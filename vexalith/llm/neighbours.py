@@ -33,10 +33,10 @@ SAMPLE = 16_384
 CELL = 3
 BUCKET = 25_000
 #: Centroids of either half whose sums are sorted.
-GRID = 32
-FAR = 0.02
+GRID = 48
+FAR = 0.01
 #: Vectors in the cells that a query goes through.
-VISIT = 2048
+VISIT = 4096
 #: Rows of a query block multiplied with a cell at once.
 ROWS = 1024
 LEAST_COSINE = 0.70
