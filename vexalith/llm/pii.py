@@ -54,7 +54,7 @@ GIVEN_DE = "Andreas Anja Anke Barbara Bernd Birgit Björn Brigitte Christa Chris
 GIVEN_FR = "Alain André Antoine Aurélie Bernard Brigitte Camille Catherine Cécile Céline Chloé Christophe Claude Denis Didier Dominique Élise Élodie Émile Éric Étienne Fabrice François Françoise Frédéric Gérard Guillaume Hélène Henri Isabelle Jacques Jean Jérôme Julien Laurent Léa Louis Luc Lucie Madeleine Marc Margaux Marguerite Marie Mathieu Michel Monique Nathalie Nicolas Noël Zoé Benoît Gilles Manon Mathilde Florence Aline Odile Olivier Pascal Paul Philippe Pierre René Robert Sébastien Simone Sophie Stéphane Sylvie Théo Thérèse Thierry Valérie Véronique Yves"
 GIVEN_RU = "Александр Алексей Алёна Анастасия Андрей Анна Антон Борис Вадим Валентина Вера Виктор Виталий Владимир Галина Георгий Глеб Григорий Дарья Денис Дмитрий Евгений Екатерина Елена Зоя Иван Игорь Илья Инна Ирина Кирилл Константин Ксения Лариса Лев Лидия Людмила Максим Маргарита Марина Мария Михаил Надежда Наталья Никита Николай Нина Олег Ольга Павел Пётр Полина Роман Светлана Семён Сергей Софья Тамара Татьяна Фёдор Юлия Юрий Яков"
 #: Words that are no family name though written with a capital.
-COMMON = "i the a an and or but if is was were are it its he she we you they this that there here what who where when why how my your his her our their not no yes of in on at by to for from with without all any some come have has had do does did don't will would can could should may might must very well just now then so as too also never always please thank thanks hello hi goodbye good listen look wait stop let's let sie er es wir ich du ist war hat haben und oder aber nicht ein eine der die das den dem mit von zu auf für wo was wer wie warum natürlich bitte danke yo tú él ella es está fue no sí el la los las un una que qué quién dónde cuándo cómo por para con sin mi su muy bien gracias je tu il elle nous vous ils est était le la les un une des et ou mais pas ne que qui où quand comment pourquoi avec sans mon ton son bien merci я ты он она мы вы они это не да нет и или но что кто где когда как почему с без мой твой ready left wants said says told went called ask asked"
+COMMON = "i the a an and or but if is was were are it its he she we you they this that there here what who where when why how my your his her our their not no yes of in on at by to for from with without all any some come have has had do does did don't will would can could should may might must very well just now then so as too also never always please thank thanks hello hi goodbye good listen look wait stop let's let sie er es wir ich du ist war hat haben und oder aber nicht ein eine der die das den dem mit von zu auf für wo was wer wie warum natürlich bitte danke yo tú él ella es está fue no sí el la los las un una que qué quién dónde cuándo cómo por para con sin mi su muy bien gracias je tu il elle nous vous ils est était le la les un une des et ou mais pas ne que qui où quand comment pourquoi avec sans mon ton son bien merci я ты он она мы вы они это не да нет и или но что кто где когда как почему с без мой твой ready left wants said says told went called ask asked come hey okay oh warte wart komm hör sieh schau los hallo guten nein attends viens regarde écoute bonjour salut espera mira oye ven escucha hola sorry sure right fine yeah maybe perhaps really quick hurry careful cuidado vorsicht attention осторожно подожди слушай смотри иди привет"
 
 _SP = r"(?:[ \t]+(?:\r\n|[\r\n])?[ \t]*|(?:\r\n|[\r\n])[ \t]*)"
 _OPT = r"[ \t]*(?:\r\n|[\r\n])?[ \t]*"
@@ -390,9 +390,12 @@ _WORD = re.compile(_NAME)
 _PIECE = re.compile(rf"{_SP}(?:({_NAME})(\.)?|((?:{'|'.join(sorted(_PARTICLES | {p.upper() for p in _PARTICLES} | {p.title() for p in _PARTICLES}))}))(?=[ \t\r\n]))")
 _COMMA = re.compile(rf",{_SP}({_NAME})")
 _LABEL = re.compile(rf"(?:{CREDITS})(?:{_SP}by)?{_OPT}:?{_OPT}$|(?:{INTRODUCTIONS}){_SP}$", re.I)
-#: In capitals "ANNA AND WALTER SEALED" has no mark that tells a verb from a family name.
-_AND = re.compile(r"(?:^|\W)(?:AND|Y|UND|ET|И)\s+$")
-_ARTICLE = re.compile(r"(?:^|\W)(?:der|die|das|den|dem|des|ein|eine|einen|einem|einer|mein|meine|meinen|dein|deine|deinen|keine?|the|my|your|a|an)\s+$", re.I)
+#: In capitals nothing tells a verb ("ANNA AND WALTER SEALED") or a noun ("6 MARK", "LA PIERRE") from
+#: a name; a name does not follow an article, a possessive or a number.
+_AND = re.compile(
+    r"(?:^|\W)(?:AND|Y|UND|ET|И|THE|MY|YOUR|HIS|HER|OUR|THEIR|LAS?|LES?|LOS|EL|UNA?|UNE|DES|DU|AUX?|MA|MON|TA|TON|SA|SON|CE|CETTE|MI|TU|SU|DER|DIE|DAS|DEN|DEM|EIN|EINE[NMR]?|MEIN(?:E[NMR]?)?|DEIN(?:E[NMR]?)?)\s+$|(?:^|[^\d:.,])\d{1,6}\s+$"
+)
+_ARTICLE = re.compile(r"(?:^|\W)(?:der|die|das|den|dem|des|ein|eine|einen|einem|einer|mein|meine|meinen|dein|deine|deinen|keine?|the|my|your)\s+$", re.I)
 _TITLE = re.compile(rf"(?:^|[^\w])({'|'.join(sorted((re.escape(t) for t in TITLES.split()), key=len, reverse=True))})\.?{_SP}$", re.I)
 
 
@@ -402,6 +405,30 @@ def _family(w: str) -> bool:
     return bare.find("'", 2) < 0 and len(bare.strip("'�")) >= 3 and bare.lower() not in _COMMON and _fold(bare) not in _PLACES and not bare[0].isdigit()
 
 
+def _may_lead(v: str, w: str, before: str, end: int) -> bool:
+    """May w, before a comma and a given name, be a family name? At the start of a sentence it must be
+    no common word and no call ("Wait, Anna!"); within one it must not follow an article."""
+    if before.rstrip()[-1:].isalpha():
+        return not w.isupper() and not _ARTICLE.search(before)
+    return len(w) > 4 and "�" not in w and _fold(w) not in _FOLDED_COMMON and v[end : end + 1] != "!"
+
+
+class _Given(dict):
+    """Folded word -> is it a given name? A lost character stands for any letter."""
+
+    def __missing__(self, f: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        known = f in GIVEN
+        if not known and "�" in f and len(f.strip("�")) > 1:
+            shape = re.compile("".join("." if x[0] == "�" else re.escape(x) for x in re.findall("�+|[^�]+", f)))
+            known = any(shape.fullmatch(g) for g in GIVEN)
+        self[f] = known
+        return known
+
+
+_GIVEN = _Given()
+_FOLDED_COMMON = frozenset(map(_folded_word, _COMMON))
 _INTRODUCING = frozenset(w.split()[-1] for w in (CREDITS + "|" + INTRODUCTIONS).split("|")) | {"by"}
 
 
@@ -421,28 +448,28 @@ def _names(v: str) -> Iterator[tuple[int, int]]:
             continue
         w = m.group()
         folded = _fold(w)
-        given = folded in GIVEN
+        given = _GIVEN[folded]
         comma = v[m.end() : m.end() + 1] == ","
         before = v[max(0, m.start() - 32) : m.start()]
         if not given and not _introduced(before):
             # family name first: "Family, Given"
             c = _COMMA.match(v, m.end()) if comma else None
-            if c and _fold(c.group(1)) in GIVEN and _family(w) and not w.isupper() and before.rstrip()[-1:].isalpha() and not _ARTICLE.search(before):
+            if c and _GIVEN[_fold(c.group(1))] and _family(w) and _may_lead(v, w, before, c.end()):
                 if v[c.end() : c.end() + 1] != "-":
                     last = c.end()
                     yield m.start(), last
             continue
-        if w.lower() in _TITLES and not given:
+        if not given and (w.lower() in _TITLES or w.lower() in _COMMON):
             continue
         c = _COMMA.match(v, m.end())
-        if not given and c and _fold(c.group(1)) in GIVEN and _family(w):
+        if not given and c and _GIVEN[_fold(c.group(1))] and _family(w):
             last = c.end()
             yield m.start(), last
             continue
         end, family, at = -1, False, m.end()
         while p := _PIECE.match(v, at):
             name, dot, particle = p.group(1), p.group(2), p.group(3)
-            if particle and not (name and _family(name)):
+            if particle or (name and name.lower() in _PARTICLES):
                 at = p.end()
                 continue
             if name and len(name) == 1 and dot:
@@ -450,10 +477,10 @@ def _names(v: str) -> Iterator[tuple[int, int]]:
                 continue
             if not name:
                 break
-            if _fold(name) in GIVEN and given:
+            if given and _GIVEN[_fold(name)]:
                 at = end = p.end(1)
                 continue
-            if _family(name) and not (name.isupper() and (name.endswith(("ED", "ING")) or _AND.search(before))):
+            if _family(name) and not (name.isupper() and w.isupper() and (name.endswith(("ED", "ING")) or _AND.search(before))):
                 family, end = True, p.end(1)
             break
         if family:
