@@ -71,3 +71,15 @@ def test_very_long_contents(spark):
     df = spark.createDataFrame(rows, SCHEMA)
     assert groups_of(df) == {1: 1, 2: 1}
     assert refusals_of(df) == {2: 1}
+
+
+def test_stored_history_gives_what_the_replay_gives(spark, tmp_path):
+    rows = similar_docs(9, 160)
+    want = brute.refused(brute.alike_pairs(rows))
+    got: dict[int, int] = {}
+    for part in ([r for r in rows if r[4] is None or r[4] == 0], [], [r for r in rows if r[4] == 1], [r for r in rows if r[4] is not None and r[4] > 1]):
+        h = history.History(spark, str(tmp_path / "history"), 1000)  # opened anew for every batch
+        got |= {r["new_id"]: r["seen_id"] for r in h.add(spark.createDataFrame(part, SCHEMA)).collect()}
+    assert got == want
+    parts = h.catalog.state()["segments"].parts
+    assert len(parts) == 2  # three batches: the first two are one segment

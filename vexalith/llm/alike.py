@@ -278,7 +278,7 @@ def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray,
 
     again None: all pairs of a signature's classes, or of a hot one the star around its least id.
     again "labels": hot signatures only, pairs whose labels differ. again "kept": hot signatures
-    only, pairs of which one has an odd label.
+    only, pairs of which one has an odd label. again "new": the same for all signatures.
     """
     empty = np.zeros((2, 0), np.int64)
     order = np.argsort(sig)
@@ -296,13 +296,13 @@ def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray,
     new[1:] = (s[1:] != s[:-1]) | (hs[k][1:] != hs[k][:-1])
     s, k = s[new], k[new]
     hot_seen = False
-    label = rows["label"] & 1 if again == "kept" else rows["label"]
+    label = rows["label"] & 1 if again in ("kept", "new") else rows["label"]
     order = np.lexsort((label[k], s)) if again else np.lexsort((ids[k], s))
     s, k = s[order], k[order]
     start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     length = np.diff(np.append(start, len(s)))
     end = np.repeat(start + length, length)
-    hot = np.repeat(length > HOT, length) & (kind != LIST)
+    hot = np.repeat(length > HOT, length) & (kind != LIST) | (again == "new")
     here = np.arange(len(s))
     if again is None:
         hot_seen = bool(hot.any())
@@ -368,6 +368,19 @@ def pairs_of_bucket(large: int, again: str | None, special: dict[int, Callable]
 def candidates(docs: DataFrame, finder: str, counts, labels: DataFrame | None = None, again: str | None = None) -> DataFrame:
     """Checkpointed (kind, a, b), distinct: TEXT and VEC candidates between least ids of classes,
     10 + kind for links of copies (less id, greater id), -1 where a hot signature was met."""
+    return nominated(signature_blocks(docs, finder, counts, labels, again), finder, large_from(counts[1]), again)
+
+
+def nominated(blocks: DataFrame, finder: str, large: int, again: str | None) -> DataFrame:
+    """The candidates among the signatures of the blocks, checkpointed."""
+    from . import history
+
+    special = {TEXT: history.suffix_pairs} if finder == "suffixes" else None
+    return cut(blocks.groupBy("kind", "bucket").applyInArrow(pairs_of_bucket(large, again, special), PAIRS_SQL).distinct())
+
+
+def signature_blocks(docs: DataFrame, finder: str, counts, labels: DataFrame | None = None, again: str | None = None, buckets: int = 0) -> DataFrame:
+    """Packed signatures of the docs by kind and bucket. buckets: their number, if it must not follow the table."""
     from . import history
 
     total, cells, sizes = counts
@@ -378,6 +391,8 @@ def candidates(docs: DataFrame, finder: str, counts, labels: DataFrame | None =
     entries = int((sizes * np.where(counted < large, prefix * (prefix - 1) // 2, 0)).sum()) if finder == "subsets" else int((sizes * counted).sum())
     listed = int((sizes * np.where(counted >= needed(np.int64(large)), prefix, 0)).sum())
     nt, nl, nv = buckets_for(entries, 4_000_000), buckets_for(listed, 2_000_000, 1), buckets_for(tables * total, 2_000_000)
+    if buckets:
+        nt = nl = nv = buckets
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(np.minimum(cells, (1 << 31) - 1).astype(np.int32)) if finder == "subsets" else None
     source = docs
@@ -392,7 +407,7 @@ def candidates(docs: DataFrame, finder: str, counts, labels: DataFrame | None =
             keep, n, row, h, token = text_sets(t, seen)
             out = text_rows(t, keep, n, row, token)
             if len(out):
-                if again is None:
+                if again in (None, "new"):
                     yield from copies(out, TEXT, number, nv)
                 mine, _ = first_of_class(out)
                 pick = np.zeros(len(out), bool)
@@ -413,16 +428,13 @@ def candidates(docs: DataFrame, finder: str, counts, labels: DataFrame | None =
                 v["id"], v["label"] = t.column("id").to_numpy()[at], t.column("label").to_numpy()[at]
                 place = mix(np.arange(1, DIM + 1, dtype=np.uint64))
                 v["h"] = mix(mix(x.view(np.uint32).astype(np.uint64) + place).sum(1))
-                if again is None:
+                if again in (None, "new"):
                     yield from copies(v, VEC, number, nv)
                 packer = Packer(VEC, nv)
                 vector_signatures(v, u, first_of_class(v)[0], bits, tables, packer)
                 yield from packer.pack(v)
 
-    special = {TEXT: history.suffix_pairs} if finder == "suffixes" else None
-    blocks = source.mapInArrow(emit, BLOCK_SQL)
-    pairs = blocks.groupBy("kind", "bucket").applyInArrow(pairs_of_bucket(large, again, special), PAIRS_SQL)
-    return cut(pairs.distinct())
+    return source.mapInArrow(emit, BLOCK_SQL)
 
 
 def share(a: str | None, b: str | None) -> bool:
