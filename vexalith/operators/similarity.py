@@ -20,6 +20,8 @@ from ..functions import distance as D
 
 #: Query vectors sent to the tasks at once.
 QUERIES = 4096
+#: Rows that a task multiplies with a block of queries at once.
+ROWS = 1024
 DEFAULT_K = 10
 
 
@@ -61,6 +63,8 @@ def nearest_for_each(queries: DataFrame, base: DataFrame, query_id: str, base_id
 
     Ties go to the less id. Queries are gone through in blocks of QUERIES, each against all of base.
     """
+    if k < 1:
+        raise QueryError("k must be at least 1")
     kernel = D.metric(metric)[1]
     spark = base.sparkSession
     id_type = base.schema[base_id].dataType.simpleString()
@@ -78,28 +82,33 @@ def nearest_for_each(queries: DataFrame, base: DataFrame, query_id: str, base_id
 
             def search(rows: Iterator[pa.RecordBatch], shared=shared, dim=dim) -> Iterator[pa.RecordBatch]:
                 names, qs = shared.value
-                best_d = np.full((len(qs), k), np.inf)
-                best_i = np.full((len(qs), k), None, object)
+                best: list[list[tuple]] = [[] for _ in names]
+                worst = np.full(len(qs), np.inf)  # the k-th distance so far
+                own: dict = {}
+                for n, q in enumerate(names):
+                    own.setdefault(q, []).append(n)
                 for b in rows:
-                    ids = np.array(b.column(0).to_pylist(), object)
+                    ids = b.column(0).to_pylist()
                     at, x = D.rows_of(b.column(1), dim)
-                    for lo in range(0, len(at), 4096):
-                        rows_at = at[lo : lo + 4096]
-                        d = kernel(x[lo : lo + 4096], qs).T
+                    for lo in range(0, len(at), ROWS):
+                        here = at[lo : lo + ROWS]
+                        d = kernel(x[lo : lo + ROWS], qs).T
+                        d = np.where(np.isfinite(d), d, np.inf)
                         if exclude_self:
-                            d = np.where(np.array(names, object)[:, None] == ids[rows_at][None, :], np.inf, d)
-                        d = np.where(np.isnan(d), np.inf, d)
-                        all_d = np.concatenate([best_d, d], 1)
-                        all_i = np.concatenate([best_i, np.broadcast_to(ids[rows_at], d.shape)], 1)
-                        kth = np.partition(all_d, min(k, all_d.shape[1]) - 1, 1)[:, min(k, all_d.shape[1]) - 1]
-                        for r in range(len(qs)):
-                            c = np.flatnonzero((all_d[r] <= kth[r]) & np.isfinite(all_d[r]))
-                            c = sorted(c, key=lambda j: (all_d[r, j], all_i[r, j]))[:k]
-                            best_d[r], best_i[r] = np.inf, None
-                            best_d[r, : len(c)], best_i[r, : len(c)] = all_d[r, c], all_i[r, c]
-                r, c = np.nonzero(np.isfinite(best_d))
+                            for j, i in enumerate(here):
+                                d[own.get(ids[i], []), j] = np.inf
+                        m = min(k, d.shape[1])
+                        limit = np.minimum(worst, np.partition(d, m - 1, 1)[:, m - 1]) if m == k else worst
+                        r, c = np.nonzero((d <= limit[:, None]) & (d < np.inf))
+                        cuts = np.searchsorted(r, np.arange(len(qs) + 1))
+                        for n in np.unique(r):
+                            new = [(d[n, j], ids[here[j]]) for j in c[cuts[n] : cuts[n + 1]]]
+                            best[n] = sorted(best[n] + new)[:k]
+                            if len(best[n]) == k:
+                                worst[n] = best[n][-1][0]
+                flat = [(names[n], i, v) for n, found in enumerate(best) for v, i in found]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([names[i] for i in r], pa_q), pa.array(best_i[r, c].tolist(), pa_b), pa.array(best_d[r, c])], names=["query_id", "neighbour_id", "distance"]
+                    [pa.array([f[0] for f in flat], pa_q), pa.array([f[1] for f in flat], pa_b), pa.array([f[2] for f in flat], pa.float64())], names=["query_id", "neighbour_id", "distance"]
                 )
 
             from pyspark.sql.pandas.types import to_arrow_type
