@@ -20,6 +20,17 @@ def refusals_of(df):
     return {r["new_id"]: r["seen_id"] for r in repeats_of_history(df).collect()}
 
 
+def test_few_links_lose_nothing(spark, monkeypatch):
+    """Classes with more partners in a signature than LINKS: the second look brings the rest."""
+    monkeypatch.setattr(alike, "LINKS", 2)
+    monkeypatch.setattr(alike, "large_from", lambda cells: 1 << 20)
+    rows = similar_docs(10, 60, hot=40)
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = brute.alike_pairs(rows)
+    assert groups_of(df) == brute.grouped(pairs)
+    assert refusals_of(df) == brute.refused(pairs)
+
+
 @pytest.mark.parametrize("seed", [5, 6])
 def test_groups_and_refusals_match_brute_force(spark, seed):
     rows = similar_docs(seed)

@@ -44,6 +44,8 @@ COSINE = 0.98
 #: Cells of the word counter: a fixed size, whatever the vocabulary.
 COUNTER = 1 << 18
 HOT = 4096
+#: Pairs with earlier classes that a class yields in one signature; more wait for the second look.
+LINKS = 64
 #: Pairs compared at once.
 CHUNK = 1 << 20
 TEXT, LIST, VEC, COPY, LINK = 0, 1, 2, 3, 4
@@ -302,7 +304,8 @@ def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray,
     start = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
     length = np.diff(np.append(start, len(s)))
     end = np.repeat(start + length, length)
-    hot = np.repeat(length > HOT, length) & (kind != LIST) | (again == "new")
+    hot = np.repeat(length > (HOT if again is None else min(HOT, LINKS)), length) & (kind != LIST) | (again == "new")
+    links = np.zeros(len(s), np.int64)
     here = np.arange(len(s))
     if again is None:
         hot_seen = bool(hot.any())
@@ -321,6 +324,15 @@ def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray,
         ok = like_sketch(kind, rows, x, y)
         if kind == LIST:
             ok &= (rows["n"][x] >= large) | (rows["n"][y] >= large)
+        if again is None and kind != LIST and ok.any():
+            at = np.flatnonzero(ok)
+            late = np.argsort(j[at], kind="stable")
+            to = j[at][late]
+            rank = np.arange(len(to)) - np.searchsorted(to, to) + links[to]
+            np.add.at(links, to, 1)
+            if (rank >= LINKS).any():
+                hot_seen = True
+                ok[at[late[rank >= LINKS]]] = False
         if ok.any():
             p, q = ids[x[ok]], ids[y[ok]]
             found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1))
