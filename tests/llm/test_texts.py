@@ -13,6 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from vexalith.llm import leaks as L
+from vexalith.llm import pii
 from vexalith.llm.pii import identity_letter, luhn, mod97, personal_information, redacted, spans
 from vexalith.llm.tokenize import PATTERN, TOKENIZERS, VOCABULARY, Encoder, model_of, read_ranks, token_ids
 
@@ -132,6 +133,18 @@ def test_spans(text, want):
     assert got == want
 
 
+ADDRESSES = ["I live at 163 Nettle Avenue.", "Vivo en Calle Faroles, 140.", "Ich wohne Drosselbergstraße 349.", "J'habite 43, avenue du Tisserolles.", "Я живу: ул. Озерницкая, д. 868."]
+
+
+@pytest.mark.parametrize("end", ["\n", "\r\n", "\r"])
+@pytest.mark.parametrize("text", ADDRESSES)
+def test_addresses_in_cues_whatever_the_line_ends(text, end):
+    cues = [f"{n}{end}00:00:0{n},000 --> 00:00:0{n},500{end}{x}{end}{end}" for n, x in enumerate(["No.", text, "Yes."], 1)]
+    v = "".join(cues)
+    whole = {m.span() for p in pii._ADDRESSES for m in p.finditer(v)}
+    assert len(whole) == 1 and set(pii._addresses(v, v.lower())) == whole
+
+
 def test_rows_of_personal_information(spark):
     rows = [(1, "a@example.org and a@example.org, by Laura Quillelli"), (2, None), (3, ""), (4, "x " * 40_000 + "b@example.net"), (1, "a@example.org")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, kind string")

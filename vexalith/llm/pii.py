@@ -352,12 +352,23 @@ _SIGNS = (
 
 #: Characters before and after a word for a street that can belong to the address.
 _REACH = 90
+#: The number and timing of a cue after an empty line: none of its digits can belong to an address.
+_CUE = re.compile(r"(?:\A|\n[ \t]*\n)(?:[ \t]*\d+[ \t]*\n)?[ \t]*\d+(?:[:.,]\d+)+[ \t]*-+>[ \t]*\d+(?:[:.,]\d+)+")
+_DIGIT = re.compile(r"\d")
 
 
-def _windows(low: str, signs: tuple[str, ...]) -> Iterator[tuple[int, int]]:
-    """Stretches around the signs that hold a digit outside of timings, overlapping ones as one."""
+def _without_cues(low: str) -> str:
+    """The text with line ends as \\n and blanks for the numbers and timings of cues, all in their places."""
+    if "\r" in low:
+        low = low.replace("\r\n", " \n").replace("\r", "\n")
+    return _CUE.sub(lambda m: "\n" * len(m.group()), low)
+
+
+def _windows(plain: str, signs: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Stretches around the signs that hold a digit outside of cue numbers and timings, overlapping
+    ones as one. plain: the text as _without_cues gives it."""
     at = []
-    flat = low.replace("\n", " ")
+    flat = plain.replace("\n", " ")
     for sign in signs:
         i = flat.find(sign)
         while i >= 0:
@@ -373,13 +384,14 @@ def _windows(low: str, signs: tuple[str, ...]) -> Iterator[tuple[int, int]]:
             n += 1
             b = at[n] + _REACH
         last = b
-        if any(any(map(str.isdigit, line)) for line in low[a:b].split("\n") if "->" not in line and not line.strip().isdigit()):
+        if _DIGIT.search(plain, a, b):
             yield a, b
 
 
 def _addresses(v: str, low: str) -> Iterator[tuple[int, int]]:
+    plain = _without_cues(low)
     for pattern, signs in zip(_ADDRESSES, _SIGNS):
-        for a, b in _windows(low, signs) if len(low) == len(v) else [(0, len(v))]:
+        for a, b in _windows(plain, signs) if len(low) == len(v) else [(0, len(v))]:
             for m in pattern.finditer(v, a, min(len(v), b + _REACH)):
                 yield m.start(), m.end()
 
