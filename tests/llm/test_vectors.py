@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 
 from vexalith.llm.clusters import similarity_clusters
-from vexalith.llm.neighbours import MultiIndex, kmeans, similar_vectors
+from vexalith.llm.neighbours import MultiIndex, build_index, kmeans, similar_vectors
 from vexalith.llm.subset import varied_subset
 
 from . import brute
@@ -43,6 +43,36 @@ def test_neighbours_have_recall(spark):
     assert wanted > 1000 and hits / wanted > 0.98
 
 
+@pytest.mark.parametrize("noise", [0, 0.003])
+def test_a_hot_group_hides_no_neighbours(spark, noise):
+    """A third of the rows are copies or near copies of one vector: small groups around it stay whole."""
+    rng = np.random.default_rng(5)
+    hot = rng.normal(0, 1, (1, 128))
+    groups = hot + 0.2 * rng.normal(0, 1, (76, 128))
+    members = (groups[:, None] + 0.14 * rng.normal(0, 1, (76, 4, 128))).reshape(-1, 128)
+    x = np.concatenate([hot, members, rng.normal(0, 1, (1500, 128)), hot + noise * rng.normal(0, 1, (900, 128))])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    n = len(x) - 900
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(4)
+    got = {}
+    for r in similar_vectors(df, visit=400).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    s = u[:n] @ u[:n].T
+    hits = wanted = 0
+    for i in range(1, 305):
+        closer = {j for j in np.argsort(-s[i])[:4].tolist() if j not in (0, i) and s[i, j] > s[i, 0]}
+        hits += len(closer & got.get(i, set()))
+        wanted += len(closer)
+    assert wanted > 800 and hits / wanted > 0.995, (hits, wanted)
+
+
+def test_cells_count_classes(spark):
+    rng = np.random.default_rng(13)
+    x = np.concatenate([rng.normal(0, 1, (50, 128)), np.ones((100, 128))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(4)
+    assert build_index(df).size.sum() == 51
+
+
 def test_clusters_match_brute_force(spark):
     rows = clustered(4)
     ids, c = brute.cosines(rows)

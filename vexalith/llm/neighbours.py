@@ -3,13 +3,13 @@
 Both halves of the unit vectors are quantised separately (k-means, fitted on a sample of about
 ``SAMPLE`` vectors); a cell is a pair of half centroids and every vector is indexed in one. A query
 goes through centroid pairs in the order of summed distance, skipping empty cells, until the cells
-hold ``visit`` vectors, and the entries found are reranked by their cosine. The order is read off
+hold ``visit`` different vectors (a crowded cell counts as an eighth of them at most), and the entries found are reranked by their cosine. The order is read off
 the sorted sums of the ``GRID`` nearest centroids of either half, for a block of queries at once; a
 query that this grid does not satisfy goes on with the heap.
 
 Cells of neighbouring centroids share a bucket (weighted bisection of the cell centres). A query
-travels to the buckets its cells lie in, once each, but for buckets that hold under ``FAR`` of what
-it would visit, and a bucket's task multiplies whole cells. Vectors travel as 16-bit components
+travels to the buckets its cells lie in, once each, but for buckets that hold under ``FAR`` of the
+``visit`` vectors, and a bucket's task multiplies whole cells. Vectors travel as 16-bit components
 (the cosine changes by some 1e-6). Vectors equal in these are one class with its least ids: a group
 of copies costs one query a block.
 """
@@ -35,7 +35,8 @@ BUCKET = 25_000
 #: Centroids of either half whose sums are sorted.
 GRID = 48
 FAR = 0.01
-#: Vectors in the cells that a query goes through.
+#: Different vectors in the cells that a query goes through, and the share of them that one cell can count as.
+CROWD = 8
 VISIT = 4096
 #: Rows of a query block multiplied with a cell at once.
 ROWS = 1024
@@ -50,7 +51,7 @@ BLOCK = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("entrie
 
 @dataclass
 class MultiIndex:
-    """The fitted index: half centroids, entries per cell, bucket of each cell."""
+    """The fitted index: half centroids, classes of equal vectors per cell, bucket of each cell."""
 
     left: np.ndarray
     right: np.ndarray
@@ -84,7 +85,7 @@ class MultiIndex:
             order = sums.argsort(1)
             cell = (fx[:, :m, None] * len(self.right) + fy[:, None, :n]).reshape(len(x), -1)
             cell = np.take_along_axis(cell, order, 1)
-            size = self.size[cell]
+            size = self.counted(self.size[cell], visit)
             before = np.cumsum(size, 1) - size
             take = (size > 0) & (before < visit)
             short = np.flatnonzero(before[:, -1] + size[:, -1] < visit)
@@ -101,15 +102,20 @@ class MultiIndex:
         order = np.argsort(row, kind="stable")
         return row[order], out[order]
 
+    @staticmethod
+    def counted(size: np.ndarray, visit: int) -> np.ndarray:
+        """What cells use up of a visit."""
+        return np.minimum(size, max(1, visit // CROWD))
+
     def walked(self, da: list[float], db: list[float], fa: np.ndarray, fb: np.ndarray, visit: int) -> np.ndarray:
         """The cells of one query, in the order of summed distance, by a heap of pairs."""
-        heap, out = [(da[0] + db[0], 0, 0)], []
-        while heap and visit > 0:
+        heap, out, left = [(da[0] + db[0], 0, 0)], [], visit
+        while heap and left > 0:
             _, i, j = heappop(heap)
             cell = int(fa[i]) * len(self.right) + int(fb[j])
             if self.size[cell]:
                 out.append(cell)
-                visit -= int(self.size[cell])
+                left -= int(self.counted(self.size[cell], visit))
             if j + 1 < len(db):
                 heappush(heap, (da[i] + db[j + 1], i, j + 1))
             if j == 0 and i + 1 < len(da):
@@ -130,6 +136,11 @@ def coded(u: np.ndarray) -> np.ndarray:
     return np.rint(u * (32767 / np.abs(u).max(1, keepdims=True))).astype(np.int16)
 
 
+def hashed(code: np.ndarray) -> np.ndarray:
+    """Hash of each row of 16-bit components: the class of its equal vectors."""
+    return mix(mix(code.view(np.uint64) + mix(np.arange(1, DIM // 4 + 1, dtype=np.uint64))).sum(1))
+
+
 def kmeans(x: np.ndarray, k: int, seed: int, rounds: int = 10) -> np.ndarray:
     """k centroids of the rows of x; an empty one moves to a random row."""
     rng = np.random.default_rng(seed)
@@ -183,7 +194,7 @@ def bisected(centres: np.ndarray, weight: np.ndarray, parts: int) -> np.ndarray:
 
 
 def build_index(docs: DataFrame, seed: int = 11) -> MultiIndex | None:
-    """Fits the centroids and counts every cell over all vectors; None without usable vectors."""
+    """Fits the centroids and counts the different vectors of every cell; None without usable vectors."""
     total = docs.count()
     x = sampled(docs, total).astype(np.float32)
     if not len(x):
@@ -192,22 +203,32 @@ def build_index(docs: DataFrame, seed: int = 11) -> MultiIndex | None:
     index = MultiIndex(kmeans(x[:, :HALF_DIM], k, seed), kmeans(x[:, HALF_DIM:], k, seed + 1), np.zeros(0), np.zeros(0), 0)
     shared = docs.sparkSession.sparkContext.broadcast(astuple(index))
 
-    def count(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    buckets = max(8, -(-total // BUCKET))
+
+    def classes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The different vectors of a block as (cell, hash), by the remainder of the cell."""
         ix = MultiIndex(*shared.value)
-        n = np.zeros(len(ix.left) * len(ix.right), np.int64)
-        for t in batches(rows):
+        for t in batches(rows, BLOCK_ROWS):
             _, v = vectors(t.column("embedding"))
-            if len(v):
-                n += np.bincount(ix.cells(unit(v)), minlength=len(n))
-        used = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], names=["cell", "n"])
+            code = coded(unit(v)) if len(v) else np.zeros((0, DIM), np.int16)
+            h, first = np.unique(hashed(code), return_index=True)
+            cell = ix.cells(unit(code[first])) if len(h) else np.zeros(0, np.int64)
+            for part in np.unique(cell % buckets):
+                x = np.stack([cell[cell % buckets == part].view(np.uint64), h[cell % buckets == part]])
+                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "x"])
+
+    def count(t: pa.Table) -> pa.Table:
+        x = np.concatenate([np.frombuffer(v, np.uint64).reshape(2, -1) for v in t.column("x").to_pylist()], 1)
+        x = x[:, np.lexsort((x[1], x[0]))]
+        new = np.concatenate([[True], (x[:, 1:] != x[:, :-1]).any(0)])
+        cell, n = np.unique(x[0, new].view(np.int64), return_counts=True)
+        return pa.table({"cell": pa.array(cell), "n": pa.array(n.astype(np.int64))})
 
     size = np.zeros(len(index.left) * len(index.right), np.int64)
-    for r in docs.select("embedding").mapInArrow(count, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():
+    for r in docs.select("embedding").mapInArrow(classes, "part int, x binary").groupBy("part").applyInArrow(count, "cell long, n long").collect():
         size[r["cell"]] = r["n"]
     used = np.flatnonzero(size)
     centres = np.concatenate([index.left[used // len(index.right)], index.right[used % len(index.right)]], 1).astype(np.float64)
-    buckets = max(8, -(-total // BUCKET))
     bucket = np.zeros(len(size), np.int32)
     bucket[used] = bisected(centres, size[used].astype(np.float64), buckets)
     return MultiIndex(index.left, index.right, size, bucket, buckets)
@@ -226,8 +247,7 @@ def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
                 continue
             ids = t.column("id").to_numpy()[at]
             code = coded(unit(x))
-            place = mix(np.arange(1, DIM // 4 + 1, dtype=np.uint64))
-            h = mix(mix(code.view(np.uint64) + place).sum(1))
+            h = hashed(code)
             order = np.lexsort((ids, h))
             new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
             first = order[new]
@@ -240,7 +260,7 @@ def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
             q, cell = ix.probes(u, visit)
             to = ix.bucket[cell]
             share = np.bincount(q * ix.buckets + to, ix.size[cell], len(first) * ix.buckets).reshape(len(first), -1)
-            near = share >= FAR * share.sum(1, keepdims=True)
+            near = share >= FAR * np.minimum(share.sum(1, keepdims=True), visit)
             near[np.arange(len(first)), home] = True
             keep = near[q, to]
             q, cell, to = q[keep], cell[keep], to[keep]
