@@ -6,6 +6,7 @@ import base64
 import os
 from pathlib import Path
 
+import numpy as np
 import pytest
 import regex
 import tiktoken
@@ -82,6 +83,18 @@ def test_leaks_are_found_in_damaged_cues(spark):
     assert L.leaks(docs, items.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("change", ["dropped", "damaged", "added"])
+@pytest.mark.parametrize("at", [(3, 7, 11), (2, 6, 10), (4, 8, 12), (4, 9, 13)])
+def test_passages_with_damage_at_every_fourth_or_fifth_word(change, at):
+    """Fifteen words of an item with three errors: no window of five is left whole."""
+    block = L.Items([i for i, _ in ITEMS], [t for _, t in ITEMS])
+    w = ITEM_A.split()[:15]
+    w = [y for k, x in enumerate(w) for y in ([x] if k not in at else {"dropped": [], "damaged": ["xx" + x], "added": ["hm", x]}[change])]
+    coded = L.Coded()
+    h = np.array([coded[x] for x in L.spoken(srt(" ".join(w)))], np.uint64)
+    assert [(d, block.ids[i]) for d, i, _ in L.leaked_pairs(h, np.array([0, len(h)]), block)] == [(0, 1)]
+
+
 def test_blocks_of_items_change_nothing(spark, monkeypatch):
     docs = spark.createDataFrame([(1, srt(ITEM_A)), (2, srt(ITEMS[3][1]))], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")

@@ -8,6 +8,10 @@ so a damaged filler does not lose a window. Then the slots are compared: a windo
 least half of its slots hold the item's own words, which a re-parameterised question does not.
 Documents and items with such windows are aligned word by word, and a passage of at least
 ``PASSAGE`` consecutive item words with few of them missing, added or damaged is a leak.
+
+Damage can break every such window. So runs of ``SHORT`` equal words are joined as well: a passage
+with at most ``DAMAGE`` errors keeps ``SHORT_RUNS`` of them within ``SHORT_SPAN`` words, and places
+with as many are aligned when enough of the item's words are there and half of the slots agree.
 """
 
 from __future__ import annotations
@@ -35,6 +39,13 @@ PASSAGE = 15
 DAMAGE = 0.21
 #: Items sent to the tasks at once; more are gone through in blocks.
 ITEMS = 50_000
+#: A passage of 30 words or more has a part of PASSAGE to 29 words with no greater share of errors. Of
+#: n words with e errors at least n - e - 2 * (e + 1) runs of three stay whole: four or more, up to e
+#: words farther apart than in the item.
+SHORT, SHORT_RUNS, LONGEST_PART = 3, 4, 2 * PASSAGE - 1
+#: Score of a match that keeps a single word at the end of a passage, beyond up to three errors.
+LOOSE = 12
+SHORT_SPAN = LONGEST_PART + int(DAMAGE * LONGEST_PART)
 #: Words that a piece of a torn passage must match; document words its pieces may lie apart.
 LEAST_PIECE, NEAR_PIECE = 4, 150
 #: Words around the matching windows that the alignment sees.
@@ -97,6 +108,19 @@ def windows(c: np.ndarray, is_fixed: np.ndarray, off: np.ndarray) -> tuple[np.nd
     return start, w[start]
 
 
+def short_runs(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of all runs of SHORT words inside a text, words as they are."""
+    n = len(h) - SHORT + 1
+    if n <= 0:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    w = np.zeros(n, np.uint64)
+    for d in range(SHORT):
+        w = mix(w * np.uint64(31) + h[d : d + n])
+    start = np.arange(n)
+    start = start[np.searchsorted(off, start, "right") == np.searchsorted(off, start + SHORT - 1, "right")]
+    return start, w[start]
+
+
 class Items:
     """The items of one block: their words, windows sorted by hash, and the fixed words."""
 
@@ -114,6 +138,44 @@ class Items:
         order = np.argsort(key, kind="stable")
         self.key, self.start = key[order], start[order]
         self.item = np.searchsorted(self.off, self.start, "right") - 1
+        start, key = short_runs(self.flat, self.off)
+        order = np.argsort(key, kind="stable")
+        self.short_key = key[order]
+        self.short_item = np.searchsorted(self.off, start[order], "right") - 1
+
+    def places(self, h: np.ndarray, off: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(document, item, first, last position) where SHORT_RUNS short runs of an item come together."""
+        start, key = short_runs(h, off)
+        lo = np.searchsorted(self.short_key, key)
+        n = np.searchsorted(self.short_key, key, "right") - lo
+        p = np.repeat(start, n)
+        it = self.short_item[np.repeat(lo, n) + ragged(n)]
+        order = np.lexsort((p, it))
+        p, it = p[order], it[order]
+        doc = np.searchsorted(off, p, "right") - 1
+        m = SHORT_RUNS - 1
+        if len(p) <= m:
+            return
+        dense = np.flatnonzero((it[m:] == it[:-m]) & (doc[m:] == doc[:-m]) & (p[m:] - p[:-m] <= SHORT_SPAN))
+        if not len(dense):
+            return
+        new = np.concatenate([[True], (it[dense[1:]] != it[dense[:-1]]) | (doc[dense[1:]] != doc[dense[:-1]]) | (p[dense[1:]] - p[dense[:-1] + m] > AROUND)])
+        first = np.flatnonzero(new)
+        last = np.append(first[1:], len(dense)) - 1
+        for a, b in zip(dense[first], dense[last] + m):
+            yield int(doc[a]), int(it[a]), int(p[a]), int(p[b])
+
+    def may_hold(self, item: int, words: list[int]) -> bool:
+        """Are enough words of some part of the item among the words?"""
+        there = set(words)
+        missing = np.cumsum([0] + [w not in there for w in self.words(item)])
+        return any((missing[n:] - missing[:-n] <= DAMAGE * n).any() for n in range(PASSAGE, min(LONGEST_PART + 1, len(missing))))
+
+    def slots_agree(self, item: int, pairs: list[tuple[int, int]]) -> bool:
+        """Do at least half of the slots between the first and the last pair hold the item's own words?"""
+        a = self.off[item]
+        kept = sum(bool(self.slot[a + i]) for i, _ in pairs)
+        return 2 * kept >= int(self.slot[a + pairs[0][0] : a + pairs[-1][0] + 1].sum())
 
     def hits(self, h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(document position, item, item position) of windows whose slots agree."""
@@ -146,8 +208,8 @@ class Items:
         return self.flat[self.off[item] : self.off[item + 1]].tolist()
 
 
-def aligned(doc: list[int], item: list[int]) -> list[tuple[int, int]]:
-    """Matched positions (item, document) of the best local alignment: match 2, error -3."""
+def aligned(doc: list[int], item: list[int], match: int = 2) -> list[tuple[int, int]]:
+    """Matched positions (item, document) of the best local alignment: error -3."""
     width = len(doc) + 1
     above, score = [0] * width, []
     top, at = 0, (0, 0)
@@ -155,7 +217,7 @@ def aligned(doc: list[int], item: list[int]) -> list[tuple[int, int]]:
         row = [0] * width
         left = 0
         for j, d in enumerate(doc, 1):
-            s = above[j - 1] + (2 if d == w else -3)
+            s = above[j - 1] + (match if d == w else -3)
             if above[j] - 3 > s:
                 s = above[j] - 3
             if left - 3 > s:
@@ -173,7 +235,7 @@ def aligned(doc: list[int], item: list[int]) -> list[tuple[int, int]]:
         s = score[i - 1][j]
         diagonal = score[i - 2][j - 1] if i > 1 else 0
         same = doc[j - 1] == item[i - 1]
-        if s == diagonal + (2 if same else -3):
+        if s == diagonal + (match if same else -3):
             if same:
                 out.append((i - 1, j - 1))
             i, j = i - 1, j - 1
@@ -207,13 +269,12 @@ def leaked_pairs(flat: np.ndarray, off: np.ndarray, items: Items) -> Iterator[tu
     doc = np.searchsorted(off, p, "right") - 1
     order = np.lexsort((p, it, doc))
     p, it, doc = p[order], it[order], doc[order]
-    if not len(p):
-        return
-    new = np.concatenate([[True], (it[1:] != it[:-1]) | (doc[1:] != doc[:-1])])
+    begin = np.ones(min(len(p), 1), bool)
+    new = np.concatenate([begin, (it[1:] != it[:-1]) | (doc[1:] != doc[:-1])])
     # A gap of more than AROUND words begins another place in the document.
-    new_place = new | np.concatenate([[True], p[1:] - p[:-1] > AROUND])
+    new_place = new | np.concatenate([begin, p[1:] - p[:-1] > AROUND])
     first = np.flatnonzero(new_place)
-    last = np.append(first[1:], len(p)) - 1
+    last = np.append(first[1:], len(p))[: len(first)] - 1
     best: dict[tuple[int, int], int] = {}
     pieces: dict[tuple[int, int], list[tuple[int, list[tuple[int, int]]]]] = {}
     for a, b in zip(first, last):
@@ -233,6 +294,17 @@ def leaked_pairs(flat: np.ndarray, off: np.ndarray, items: Items) -> Iterator[tu
     for at, parts in pieces.items():
         if best[at] < PASSAGE and len(parts) > 1:
             best[at] = max(best[at], *(pieced(parts, j) for j in range(len(parts))))
+    for d, i, a, b in items.places(flat, off):
+        if best.get((d, i), 0) >= PASSAGE:
+            continue
+        words = flat[max(off[d], a - AROUND) : min(off[d + 1], b + SHORT + AROUND)].tolist()
+        if items.may_hold(i, words):
+            for match in (2, LOOSE):
+                pairs = aligned(words, items.words(i), match)
+                n = longest_passage(pairs)
+                if n >= PASSAGE and items.slots_agree(i, pairs):
+                    best[d, i] = max(n, best.get((d, i), 0))
+                    break
     for (d, i), n in best.items():
         if n >= PASSAGE:
             yield d, i, n
