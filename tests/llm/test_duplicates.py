@@ -94,3 +94,36 @@ def test_stored_history_gives_what_the_replay_gives(spark, tmp_path):
     assert got == want
     parts = h.catalog.state()["segments"].parts
     assert len(parts) == 2  # three batches: the first two are one segment
+
+
+def evenly_edited():
+    """Near copies of short contents at a share of 0.80 with no run of four words in common, and reordered ones."""
+    rows = []
+    for words, at in ((10, (3, 6)), (11, (3, 7)), (15, (3, 7, 11))):
+        base = [f"b{words}x{k}" for k in range(words)]
+        for c in range(20):
+            w = [f"own{words}x{c}x{k}" if c and k in at else x for k, x in enumerate(base)]
+            rows.append(" ".join(w))
+        rows.append(" ".join(base[::-1]))
+    for c in range(30):
+        w = [f"l{k}" for k in range(30)]
+        for k in (4, 9, 14, 19, 24, 29):
+            w[k] = f"other{c}x{k}" if c else w[k]
+        rows.append(" ".join(w))
+    return [(i + 1, None, t, None, i // 25, 0, "", 0, 0) for i, t in enumerate(rows)]
+
+
+def test_short_and_shuffled_contents_are_found_in_the_replay(spark):
+    rows = evenly_edited()
+    want = brute.refused(brute.alike_pairs(rows))
+    assert len(want) == len(rows) - 4
+    assert refusals_of(spark.createDataFrame(rows, SCHEMA)) == want
+
+
+def test_short_and_shuffled_contents_are_found_in_the_stored_history(spark, tmp_path):
+    rows = evenly_edited()
+    got: dict[int, int] = {}
+    h = history.History(spark, str(tmp_path / "history"), 1000)
+    for b in range(4):
+        got |= {r["new_id"]: r["seen_id"] for r in h.add(spark.createDataFrame([r for r in rows if r[4] == b], SCHEMA)).collect()}
+    assert got == brute.refused(brute.alike_pairs(rows))

@@ -6,15 +6,11 @@ six decimals, is at least 0.98. One pass over the records packs signatures into
 per bucket turns equal signatures into candidate pairs that survive a sketch test which no alike
 pair fails, and the pairs are then checked on the words and vectors themselves.
 
-Contents, by one of two candidate finders:
-
-``subsets``  Size-aware heavy-light join. Words are put in one global order, rarest first. If two
-    contents share the share, their first two common words lie in both *prefixes* (the rarest
-    ``n - ceil(0.8 n) + 2`` words). A small set enumerates the two-word subsets of its prefix; a
-    large one, whose subsets would cost more than reading inverted lists, is matched by scanning
-    the lists of its prefix words. The boundary comes from the corpus's word counts. No alike pair
-    is missed.
-``suffixes``  Positions of the text in suffix order to a depth of six words; see ``history.py``.
+Contents: a size-aware heavy-light join. Words are put in one global order, rarest first. If two
+contents share the share, their first two common words lie in both *prefixes* (the rarest
+``n - ceil(0.8 n) + 2`` words). A small set enumerates the two-word subsets of its prefix; a large
+one, whose subsets would cost more than reading inverted lists, is matched by scanning the lists of
+its prefix words. The boundary comes from the corpus's word counts. No alike pair is missed.
 
 Embeddings: the signs against fixed orthogonal directions make a set; ``tables`` subsets of ``bits``
 signs are enumerated per vector. Their number keeps the chance of missing a pair at the threshold
@@ -29,7 +25,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -175,7 +171,7 @@ class Packer:
         self.idx.append(idx.astype(np.uint16))
         self.sig.append(sig)
 
-    def pack(self, rows: np.ndarray, wide: bool = False) -> Iterator[pa.RecordBatch]:
+    def pack(self, rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         if not self.sig:
             return
         sig, idx = np.concatenate(self.sig), np.concatenate(self.idx)
@@ -189,7 +185,7 @@ class Packer:
                 used = np.zeros(len(rows), bool)
                 used[idx[part]] = True
                 local = (np.cumsum(used) - 1).astype(np.uint16)
-                s = sig[part] if wide else (sig[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+                s = (sig[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
                 yield block(self.kind, b, rows[used], s, local[idx[part]])
 
 
@@ -339,7 +335,7 @@ def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray,
     return (np.unique(np.concatenate(found, 1), axis=1) if found else empty), hot_seen
 
 
-def pairs_of_bucket(large: int, again: str | None, special: dict[int, Callable] | None = None):
+def pairs_of_bucket(large: int, again: str | None):
     def task(t: pa.Table) -> pa.Table:
         kind = t.column("kind")[0].as_py()
         rows, sigs, idxs = (t.column(c).to_pylist() for c in ("rows", "sigs", "idx"))
@@ -361,11 +357,8 @@ def pairs_of_bucket(large: int, again: str | None, special: dict[int, Callable]
             kind_rows = [np.frombuffer(x, VEC_ROW if kind == VEC else TEXT_ROW) for x in rows]
             base = np.cumsum([0] + [len(x) for x in kind_rows[:-1]])
             idx = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + o for x, o in zip(idxs, base)])
-            if special and kind in special:
-                got, hot = special[kind](np.concatenate(kind_rows), sigs, idx, again)
-            else:
-                sig = np.concatenate([np.frombuffer(x, np.uint32) for x in sigs])
-                got, hot = bucket_pairs(kind, np.concatenate(kind_rows), sig, idx, large, again)
+            sig = np.concatenate([np.frombuffer(x, np.uint32) for x in sigs])
+            got, hot = bucket_pairs(kind, np.concatenate(kind_rows), sig, idx, large, again)
             kinds.append(np.full(got.shape[1], VEC if kind == VEC else TEXT))
             pairs.append(got)
             if hot:
@@ -377,36 +370,31 @@ def pairs_of_bucket(large: int, again: str | None, special: dict[int, Callable]
     return task
 
 
-def candidates(docs: DataFrame, finder: str, counts, labels: DataFrame | None = None, again: str | None = None) -> DataFrame:
+def candidates(docs: DataFrame, counts, labels: DataFrame | None = None, again: str | None = None) -> DataFrame:
     """Checkpointed (kind, a, b), distinct: TEXT and VEC candidates between least ids of classes,
     10 + kind for links of copies (less id, greater id), -1 where a hot signature was met."""
-    return nominated(signature_blocks(docs, finder, counts, labels, again), finder, large_from(counts[1]), again)
+    return nominated(signature_blocks(docs, counts, labels, again), large_from(counts[1]), again)
 
 
-def nominated(blocks: DataFrame, finder: str, large: int, again: str | None) -> DataFrame:
+def nominated(blocks: DataFrame, large: int, again: str | None) -> DataFrame:
     """The candidates among the signatures of the blocks, checkpointed."""
-    from . import history
-
-    special = {TEXT: history.suffix_pairs} if finder == "suffixes" else None
-    return cut(blocks.groupBy("kind", "bucket").applyInArrow(pairs_of_bucket(large, again, special), PAIRS_SQL).distinct())
+    return cut(blocks.groupBy("kind", "bucket").applyInArrow(pairs_of_bucket(large, again), PAIRS_SQL).distinct())
 
 
-def signature_blocks(docs: DataFrame, finder: str, counts, labels: DataFrame | None = None, again: str | None = None, buckets: int = 0) -> DataFrame:
+def signature_blocks(docs: DataFrame, counts, labels: DataFrame | None = None, again: str | None = None, buckets: int = 0) -> DataFrame:
     """Packed signatures of the docs by kind and bucket. buckets: their number, if it must not follow the table."""
-    from . import history
-
     total, cells, sizes = counts
     large = large_from(cells)
     bits, tables = tables_for(total)
     counted = np.arange(len(sizes))
     prefix = np.where(counted >= LEAST_WORDS, counted - needed(counted) + 2, 0)
-    entries = int((sizes * np.where(counted < large, prefix * (prefix - 1) // 2, 0)).sum()) if finder == "subsets" else int((sizes * counted).sum())
+    entries = int((sizes * np.where(counted < large, prefix * (prefix - 1) // 2, 0)).sum())
     listed = int((sizes * np.where(counted >= needed(np.int64(large)), prefix, 0)).sum())
     nt, nl, nv = buckets_for(entries, 4_000_000), buckets_for(listed, 2_000_000, 1), buckets_for(tables * total, 2_000_000)
     if buckets:
         nt = nl = nv = buckets
     spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(np.minimum(cells, (1 << 31) - 1).astype(np.int32)) if finder == "subsets" else None
+    shared = spark.sparkContext.broadcast(np.minimum(cells, (1 << 31) - 1).astype(np.int32))
     source = docs
     if labels is None and "label" not in docs.columns:
         source = source.withColumn("label", F.lit(0).cast("long"))
@@ -426,13 +414,10 @@ def signature_blocks(docs: DataFrame, finder: str, counts, labels: DataFrame | N
                 pick[mine] = True
                 flat = np.repeat(pick, n)
                 rank = np.cumsum(pick) - 1
-                if finder == "subsets":
-                    small, lists = Packer(TEXT, nt), Packer(LIST, nl)
-                    subset_signatures(out[pick], n[pick], rank[row[flat]], h[flat], token[flat], shared.value, large, small, lists)
-                    yield from small.pack(out[pick])
-                    yield from lists.pack(out[pick])
-                else:
-                    yield from history.suffix_blocks(out[pick], n[pick], rank[row[flat]], h[flat], nt)
+                small, lists = Packer(TEXT, nt), Packer(LIST, nl)
+                subset_signatures(out[pick], n[pick], rank[row[flat]], h[flat], token[flat], shared.value, large, small, lists)
+                yield from small.pack(out[pick])
+                yield from lists.pack(out[pick])
             at, x = vectors(t.column("embedding"))
             if len(at):
                 u = unit(x)

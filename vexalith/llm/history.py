@@ -1,168 +1,27 @@
 """Problem 4: new batches against everything accepted before.
 
-Every batch gives one immutable segment per bucket: the positions of its contents in suffix order.
-A later batch looks its own substrings up in the live segments by binary search. A match of
-``DEPTH`` words nominates a pair of records where few records hold it; one that more than ``FEW``
-hold must go on to ``DEEPER`` words. (A record with a fifth of its words replaced keeps a run of
-four.) The matches are aggregated per pair of records that pass the sketch test. Afterwards
-segments of like size are merged, so a bucket holds a logarithmic number of them. No text of an
-earlier batch is read again: what a lookup needs of it (suffix keys, sketches, word counts) is in
-its segments; texts are read only for the exact check of nominated pairs.
-
-Positions go to buckets by the hash of their suffix, so equal suffixes meet and one long lookup is
-spread over all buckets.
+Pairs of contents are nominated by the two-word subsets and inverted lists of their prefixes
+(``alike.py``), which miss no alike pair: however short or shuffled the contents are, however many
+records hold the same words. A new batch meets the signatures of what was accepted before it; no
+text of an earlier batch is signed again, and texts are read only for the exact check of nominated
+pairs. ``History`` keeps the signatures in immutable segments, of which those of like size are
+merged after each batch, so their number stays logarithmic.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog, Version
 from . import alike
-from .alike import HOT, TEXT, VEC, Packer, candidates, checked, corpus_counts, like_sketch, plain, ragged, run_partners
-from .common import cut, mix, table
-
-#: Words of a match, and of one that many hold. A suffix key holds ten bits of each of the first
-#: DEPTH words, which order it, and below them 24 bits of a hash of these; then comes a hash of
-#: DEEPER words.
-DEPTH, DEEPER, CODE_BITS = 4, 6, 10
-FEW = 16
-SUFFIX = np.dtype([("key", "<u8"), ("deep", "<u4")])
-
-
-def suffix_blocks(rows: np.ndarray, n: np.ndarray, row: np.ndarray, h: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """The suffixes of the block's contents, by bucket."""
-    if not len(rows):
-        return
-    code = mix(h) >> np.uint64(64 - CODE_BITS)
-    start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    count = n - DEPTH + 1
-    at = np.repeat(start, count) + ragged(count)
-    end = np.repeat(start + n, count)
-    order, whole = np.zeros(len(at), np.uint64), np.zeros(len(at), np.uint64)
-    for d in range(DEPTH):
-        whole = mix(whole * np.uint64(31) + h[at + d])
-        order = (order << np.uint64(CODE_BITS)) | code[at + d]
-    out = np.zeros(len(at), SUFFIX)
-    rest = np.uint64(64 - DEPTH * CODE_BITS)
-    out["key"] = (order << rest) | (whole >> (np.uint64(64) - rest))
-    for d in range(DEPTH, DEEPER):
-        more = at + d < end
-        whole = np.where(more, mix(whole * np.uint64(31) + h[np.minimum(at + d, len(h) - 1)]), whole)
-    out["deep"] = (whole >> np.uint64(32)).astype(np.uint32)
-    packer = SuffixPacker(TEXT, buckets)
-    packer.add(np.repeat(np.arange(len(rows)), count), out)
-    yield from packer.pack(rows)
-
-
-class SuffixPacker(Packer):
-    """Buckets by the hash of the suffix; keys keep all their bits and come in suffix order."""
-
-    def pack(self, rows: np.ndarray, wide: bool = True) -> Iterator[pa.RecordBatch]:
-        key, idx = np.concatenate(self.sig), np.concatenate(self.idx)
-        to = (mix(key["key"].copy()) % np.uint64(self.buckets)).astype(np.uint16)
-        order = np.lexsort((key["key"], to))
-        cuts = np.searchsorted(to[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            part = order[cuts[b] : cuts[b + 1]]
-            if len(part):
-                used = np.zeros(len(rows), bool)
-                used[idx[part]] = True
-                local = (np.cumsum(used) - 1).astype(np.uint16)
-                yield alike.block(self.kind, b, rows[used], key[part], local[idx[part]])
-
-
-def suffix_pairs(rows: np.ndarray, sigs: list[bytes], idx: np.ndarray, again: str | None) -> tuple[np.ndarray, bool]:
-    """Candidate pairs of one bucket, batch after batch; labels hold 2 * batch + accepted."""
-    both = np.concatenate([np.frombuffer(x, SUFFIX) for x in sigs])
-    key, deep, k = both["key"].copy(), both["deep"].copy(), idx
-    found: list[np.ndarray] = []
-
-    def repeated(key: np.ndarray, deep: np.ndarray, k: np.ndarray):
-        """Of keys that more than one class holds: one entry a class, by key and id; their runs."""
-        if not len(key):
-            return key, deep, k, np.zeros(0, np.int64), np.zeros(0, np.int64)
-        order = np.argsort(key)
-        key = key[order]
-        same = np.concatenate([[False], key[1:] == key[:-1]])
-        in_run = same.copy()
-        in_run[:-1] |= same[1:]
-        order, key = order[in_run], key[in_run]
-        deep, k = deep[order], k[order]
-        order = np.lexsort((rows["id"][k], deep, rows["h"][k], key))
-        key, deep, k = key[order], deep[order], k[order]
-        new = np.ones(len(key), bool)
-        new[1:] = (key[1:] != key[:-1]) | (rows["h"][k][1:] != rows["h"][k][:-1]) | (deep[1:] != deep[:-1])
-        key, deep, k = key[new], deep[new], k[new]
-        order = np.lexsort((rows["id"][k], key))
-        key, deep, k = key[order], deep[order], k[order]
-        start = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
-        length = np.diff(np.append(start, len(key)))
-        return key, deep, k, np.repeat(start, length), np.repeat(length, length)
-
-    def nominate(i: np.ndarray, j: np.ndarray) -> None:
-        """i, j: rows of matched positions. How often a pair comes is its coverage; once is enough."""
-        ok = like_sketch(TEXT, rows, i, j) & (rows["h"][i] != rows["h"][j])
-        p, q = rows["id"][i[ok]], rows["id"][j[ok]]
-        found.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
-        if sum(x.shape[1] for x in found) > 1 << 21:
-            found[:] = [np.unique(np.concatenate(found, 1), axis=1)]
-
-    def replay(key: np.ndarray, k: np.ndarray) -> None:
-        """Batch after batch: within itself, against the live segments, then into them."""
-        batch = rows["label"][k] >> 1
-        live: list[tuple[np.ndarray, np.ndarray]] = []
-        for b in np.unique(batch):
-            q, of = key[batch == b], k[batch == b]
-            for i, j in run_partners(np.arange(1, len(q) + 1), np.searchsorted(q, q, "right")):
-                nominate(of[i], of[j])
-            for seg, seg_of in live:
-                for i, j in run_partners(np.searchsorted(seg, q, "left"), np.searchsorted(seg, q, "right")):
-                    nominate(of[i], seg_of[j])
-            live.append((q, of))
-            while len(live) > 1 and len(live[-2][0]) <= 2 * len(live[-1][0]):
-                (s, f), (t, g) = live.pop(), live.pop()
-                merged, rows_of = np.concatenate([t, s]), np.concatenate([g, f])
-                order = np.argsort(merged, kind="stable")
-                live.append((merged[order], rows_of[order]))
-
-    def meet_new(key: np.ndarray, k: np.ndarray) -> None:
-        """The positions of new records (odd labels) against the segments of the accepted, and each other."""
-        fresh = (rows["label"][k] & 1) > 0
-        q, of = key[fresh], k[fresh]
-        seg, seg_of = key[~fresh], k[~fresh]
-        for i, j in run_partners(np.searchsorted(seg, q, "left"), np.searchsorted(seg, q, "right")):
-            nominate(of[i], seg_of[j])
-        for i, j in run_partners(np.arange(1, len(q) + 1), np.searchsorted(q, q, "right")):
-            nominate(of[i], of[j])
+from .alike import HOT, TEXT, VEC, candidates, checked, corpus_counts, plain  # noqa: F401 (tests lower HOT)
+from .common import cut, table
 
-    key, deep, k, _, length = repeated(key, deep, k)
-    few = length <= FEW
-    if again is None:
-        replay(key[few], k[few])
-    elif again == "new":
-        meet_new(key[few], k[few])
-    # What many hold goes on to the deeper match: keys in their order, then by the deeper hash.
-    rank = np.cumsum(np.concatenate([[True], key[~few][1:] != key[~few][:-1]])) if (~few).any() else np.zeros(0, np.int64)
-    key, deep, k, begin, length = repeated((rank.astype(np.uint64) << np.uint64(32)) | deep[~few], deep[~few], k[~few])
-    hot, here = length > HOT, np.arange(len(key))
-    if again == "kept":
-        kept = (rows["label"][k] & 1) > 0
-        for i, j in run_partners(begin, np.where(hot & kept, begin + length, 0)):
-            nominate(k[i[i != j]], k[j[i != j]])
-    elif again == "new":
-        meet_new(key, k)
-    else:
-        for i, j in run_partners(begin, np.where(hot & (here > begin), begin + 1, 0)):
-            nominate(k[i], k[j])
-        replay(key[~hot], k[~hot])
-    pairs = np.unique(np.concatenate(found, 1), axis=1) if found else np.zeros((2, 0), np.int64)
-    return pairs, again is None and bool(hot.any())
+#: Count of every word as a stored history takes it: it has no corpus to count, and the order of words
+#: must be the same for all batches. From it follows where contents are large (alike.large_from).
+EVEN_COUNT = 20
 
 
 def representatives(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -226,17 +85,17 @@ def repeats_of_history(docs: DataFrame, id_col: str = "id", content_col: str = "
     counts = corpus_counts(docs)
     if not counts[0]:
         return docs.select(F.col("id").alias("seen_id"), F.col("id").alias("new_id")).limit(0)
-    pairs = candidates(docs, "suffixes", counts)
+    pairs = candidates(docs, counts)
     edges = cut(checked(docs, pairs))
     state = accept(order, pairs, edges)
     if pairs.where("kind = -1").limit(1).count():
-        # Hot suffixes gave stars. Pairs with the accepted are added until they change nothing.
+        # Hot signatures gave stars. Pairs with the accepted are added until they change nothing.
         before = -1
         while before != (before := edges.count()):
             known = state.where("accepted").select("id", F.lit(1).alias("kept"))
             touched = state.select("id", F.lit(1).alias("any"))
             now = order.join(known, "id", "left").join(touched, "id", "left").select(F.col("id").alias("node"), (F.col("batch") * 2 + F.coalesce("kept", F.when(F.col("any").isNull(), 1), F.lit(0))).alias("label"))
-            more = candidates(docs.drop("label"), "suffixes", counts, now, "kept").where("kind >= 0").join(edges, ["kind", "a", "b"], "left_anti")
+            more = candidates(docs.drop("label"), counts, now, "kept").where("kind >= 0").join(edges, ["kind", "a", "b"], "left_anti")
             edges = cut(edges.unionByName(checked(docs, more)).distinct())
             state = accept(order, pairs, edges)
     return state.where("not accepted").select(F.col("seen").alias("seen_id"), F.col("id").alias("new_id"))
@@ -266,11 +125,11 @@ class History:
         """
         docs_sql = "id long, content string, embedding array<float>"
         new = cut(plain(batch, id_col, content_col, embedding_col))
-        counts = (self.expected, np.zeros(alike.COUNTER, np.int64), np.zeros(1 << 16, np.int64))
+        counts = (self.expected, np.full(alike.COUNTER, EVEN_COUNT, np.int64), np.zeros(1 << 16, np.int64))
         buckets = max(8, self.expected // 25_000)
-        sign = lambda d, label: alike.signature_blocks(d.withColumn("label", F.lit(label).cast("long")), "suffixes", counts, None, "new", buckets)
+        sign = lambda d, label: alike.signature_blocks(d.withColumn("label", F.lit(label).cast("long")), counts, None, "new", buckets)
         blocks = sign(new, 1).unionByName(self._stored("segments", alike.BLOCK_SQL))
-        pairs = alike.nominated(blocks, "suffixes", 1 << 30, "new").join(new.select(F.col("id").alias("b")), "b", "left_semi").select("kind", "a", "b")
+        pairs = alike.nominated(blocks, alike.large_from(counts[1]), "new").join(new.select(F.col("id").alias("b")), "b", "left_semi").select("kind", "a", "b")
         records = new.unionByName(self._stored("records", docs_sql))
         edges = cut(checked(records, pairs))
         order = records.select("id").join(new.select("id", F.lit(1).alias("batch")), "id", "left").select("id", F.coalesce("batch", F.lit(0)).cast("long").alias("batch"))

@@ -23,13 +23,13 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "id", content_col: str
     counts = corpus_counts(docs)
     if not counts[0]:
         return docs.select("id", F.col("id").alias("group_id")).limit(0)
-    pairs = candidates(docs, "subsets", counts)
+    pairs = candidates(docs, counts)
     edges = cut(checked(docs, pairs).select("a", "b").unionByName(pairs.where("kind >= 10").select("a", "b")))
     groups = components(edges)
     if pairs.where("kind = -1").limit(1).count():
         # Hot signatures gave stars; what their members still need is pairs across groups.
         labels = groups.select("node", F.col("root").alias("label"))
-        more = checked(docs, candidates(docs, "subsets", counts, labels, "labels")).select("a", "b")
+        more = checked(docs, candidates(docs, counts, labels, "labels")).select("a", "b")
         groups = components(edges.unionByName(more))
     return groups.select(F.col("node").alias("id"), F.col("root").alias("group_id"))
 
