@@ -158,6 +158,17 @@ def test_addresses_in_cues_whatever_the_line_ends(text, end):
     assert len(whole) == 1 and set(pii._addresses(v, v.lower())) == whole
 
 
+@pytest.mark.parametrize("text", ["I live at 12 Oak St, Apt 4", "I live at 12 Oak Sq, Unit 4", "He is at 12 Oak Hwy now", "J'habite 4 av. Tisserolles", "Go to 12\nOak Street"])
+def test_the_signs_of_an_address_are_those_of_its_patterns(text):
+    whole = {m.span() for p in pii._ADDRESSES for m in p.finditer(text)}
+    assert whole and set(pii._addresses(text, text.lower())) == whole
+
+
+@pytest.mark.parametrize("text", ["walter (ät) example.org", "walter (ät) example (point) org"])
+def test_the_signs_of_spelt_mail_are_those_of_its_patterns(text):
+    assert list(pii._mails(text, text))
+
+
 def test_rows_of_personal_information(spark):
     rows = [(1, "a@example.org and a@example.org, by Laura Quillelli"), (2, None), (3, ""), (4, "x " * 40_000 + "b@example.net"), (1, "a@example.org")]
     df = spark.createDataFrame([(*r, "clash") for r in rows], "doc_id long, text string, kind string")

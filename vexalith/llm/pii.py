@@ -182,8 +182,8 @@ _SPELT = (
     re.compile(rf"{_LOCAL}{_MARK}[\w-]+(?:(?:{_DOT}|\.)[\w-]+)+", re.I),
     re.compile(rf"{_LOCAL}{_SP}(?:at|arroba|@){_SP}[\w-]+(?:{_DOT}[\w-]+)+", re.I),
 )
-_SPELT_SIGNS = ("dot", "punto", "punkt", "(at", "[at", "{at", "<at", "( at", "[ at", "arroba")
-_SPELT_SIGN = re.compile(r"\bdot\b|\bpunto\b|\bpunkt\b|[\[({<]\s*(?:at|arroba)\s*[\])}>]", re.I)
+_SPELT_SIGNS = ("dot", "punto", "punkt", "(", "[", "{", "<")
+_SPELT_SIGN = re.compile(rf"\bdot\b|\bpunto\b|\bpunkt\b|[\[({{<]{_OPT}(?:at|arroba|ät|dot|punto|point|punkt){_OPT}[\])}}>]", re.I)
 
 
 def _mails(v: str, low: str) -> Iterator[tuple[int, int]]:
@@ -341,12 +341,15 @@ _ADDRESSES = (
     re.compile(rf"{_NUM}(?:{_SP}(?i:bis|ter|quater))?,?{_SP}(?i:{STREETS_FR}){_SP}(?:(?i:de{_SP}la|de{_SP}l['’]|des|du|de|d['’]){_OPT})?{_CAP}"),
     re.compile(rf"(?<!\w)(?i:{STREETS_RU}){_OPT}{_CAP}(?:{_SP}{_CAP})?,?{_SP}(?:(?i:д\.|дом){_OPT})?\d{{1,4}}[а-яА-Я]?(?!\w)(?:,{_SP}(?i:кв\.|квартира){_OPT}\d{{1,4}})?"),
 )
+def _signs(*words: str) -> tuple[str, ...]:
+    """The words of the patterns as they are looked for, without those that hold another."""
+    w = {x.replace("\\.?", "").replace("\\", "").lower() for x in words}
+    return tuple(sorted(x for x in w if not any(y != x and y in x for y in w)))
+
+
 _SIGNS = (
-    tuple(w.lower() for w in STREETS_AFTER.split() if len(w) > 3) + (" st.", " ave", " rd", " ln", " ct", " dr", " row", " way", " pl"),
-    ("c/", "calle", "avenida", "avda", "av.", "plaza", "paseo", "camino", "carrera", "ronda", "traves", "carretera"),
-    ("straße", "strasse", "str.", "weg", "gasse", "allee", "platz", "ring", "damm", "ufer", "steig", "stieg", "chaussee", "promenade"),
-    ("rue", "avenue", "boulevard", "chemin", "place", "impasse", "quai", "allée", "cours", "route", "passage", "square", "sentier", " bd"),
-    ("ул", "пр", "пер", "пл", "бульвар", "шоссе", "наб"),
+    _signs(*(f" {w}" for w in STREETS_AFTER.split())),
+    *(_signs(*words.split("|")) for words in (STREETS_ES, STREETS_DE, STREETS_FR, STREETS_RU)),
 )
 
 
@@ -368,7 +371,7 @@ def _windows(plain: str, signs: tuple[str, ...]) -> Iterator[tuple[int, int]]:
     """Stretches around the signs that hold a digit outside of cue numbers and timings, overlapping
     ones as one. plain: the text as _without_cues gives it."""
     at = []
-    flat = plain.replace("\n", " ")
+    flat = plain.replace("\n", " ").replace("\t", " ")
     for sign in signs:
         i = flat.find(sign)
         while i >= 0:
