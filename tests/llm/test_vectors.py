@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from vexalith.llm import neighbours
 from vexalith.llm.clusters import similarity_clusters
 from vexalith.llm.neighbours import MultiIndex, build_index, kmeans, similar_vectors
 from vexalith.llm.subset import varied_subset
@@ -82,18 +83,55 @@ def test_clusters_match_brute_force(spark):
     assert all(r["flow"] > 0 for r in flow.collect())
 
 
-def test_heap_and_grid_give_the_same_order():
+def fitted(x, k, heavy=()):
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    none = np.zeros(0, np.int64)
+    f = u.astype(np.float32)
+    ix = MultiIndex(kmeans(f[:, :64], k, 1), kmeans(f[:, 64:], k, 2), none, none, none, none, np.zeros((0, 128)), np.array([k * k]))
+    ix.size = np.bincount(ix.cells(u), minlength=k * k)
+    return u, ix
+
+
+@pytest.mark.parametrize("k, n, visit", [(20, 300, 50), (258, 60_000, 4096), (258, 60_000, 30)])
+def test_the_pairs_looked_at_give_the_order_of_the_heap(k, n, visit):
+    """Also where a half's 49th, 100th, 200th centroid comes early, and beyond the first pops."""
     rng = np.random.default_rng(1)
-    u = rng.normal(0, 1, (300, 128))
-    u /= np.linalg.norm(u, axis=1, keepdims=True)
-    x = u.astype(np.float32)
-    ix = MultiIndex(kmeans(x[:, :64], 20, 1), kmeans(x[:, 64:], 20, 2), np.zeros(0), np.zeros(0), 0)
-    ix.size = np.bincount(ix.cells(u), minlength=400)
-    q, cell = ix.probes(u[:20], 50)
-    a, b = ix.halves(u[:20])
-    for i in range(20):
-        fa, fb = a[i].argsort(), b[i].argsort()
-        assert cell[q == i].tolist() == ix.walked(a[i][fa].tolist(), b[i][fb].tolist(), fa, fb, 50).tolist()
+    x = rng.normal(0, 1, (25, 128))[rng.integers(0, 25, n)] + rng.normal(0, 0.8, (n, 128))
+    u, ix = fitted(x, k)
+    q, cell = ix.probes(u[:40], visit)
+    a, b = ix.halves(u[:40])
+    for i in range(40):
+        fa, fb = a[i].argsort(kind="stable"), b[i].argsort(kind="stable")
+        assert set(cell[q == i].tolist()) == set(ix.walked(a[i][fa].tolist(), b[i][fb].tolist(), fa, fb, visit).tolist())
+
+
+def test_the_heap_goes_on_where_the_pairs_end(monkeypatch):
+    rng = np.random.default_rng(2)
+    u, ix = fitted(rng.normal(0, 1, (5000, 128)), 60)
+    want = ix.probes(u[:20], 900)
+    monkeypatch.setattr(neighbours, "MOST_POPS", 1)
+    got = ix.probes(u[:20], 900)
+    assert [sorted(want[1][want[0] == i]) for i in range(20)] == [sorted(got[1][got[0] == i]) for i in range(20)]
+
+
+def test_a_hot_cell_is_divided_and_its_bucket_shared(spark, monkeypatch):
+    """Near copies by the hundred in one cell, made heavy: lists by signs, buckets in parts; recall stays."""
+    monkeypatch.setattr(neighbours, "HEAVY", 60)
+    monkeypatch.setattr(neighbours, "BUCKET", 64)
+    rng = np.random.default_rng(6)
+    hot = rng.normal(0, 1, 128)
+    x = np.concatenate([rng.normal(0, 1, (300, 128)), hot + 0.05 * rng.normal(0, 1, (400, 128))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(4)
+    index = build_index(df)
+    assert len(index.heavy) and index.parts.max() >= 1 and index.size[index.size.shape[0] - int(index.first[-1] - index.first[0]) :].sum() >= 300
+    got = {}
+    for r in similar_vectors(df).collect():
+        got.setdefault(r["id"], set()).add(r["neighbour"])
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    s = u @ u.T
+    np.fill_diagonal(s, -2)
+    hits = sum(len(set(np.argsort(-s[i])[:5].tolist()) & got.get(i, set())) for i in range(300, 700))
+    assert hits / 2000 > 0.9, hits
 
 
 def test_tables_without_vectors(spark):

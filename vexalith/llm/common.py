@@ -25,11 +25,18 @@ BLOCK_ROWS = 8192
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and drop its lineage, in the shared folder the session names."""
+    """Materialise ``df`` and drop its lineage, in the shared folder the session names.
+
+    Where it names none, a local session (one machine) gets a folder of its own; on a cluster it is
+    an error, since executors and driver would see different disks.
+    """
     spark = df.sparkSession
-    if not spark.sparkContext.getCheckpointDir():
+    context = spark.sparkContext
+    if not context.getCheckpointDir():
         place = spark.conf.get("spark.checkpoint.dir", None)
-        spark.sparkContext.setCheckpointDir(place or tempfile.mkdtemp(prefix="vexalith-"))
+        if place is None and context.master.partition("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="vexalith-"))
     return df.checkpoint(eager=True)
 
 
@@ -37,6 +44,16 @@ def buckets_for(entries: int, per_bucket: int, least: int = 8) -> int:
     return max(least, -(-entries // per_bucket))
 
 
+def runs(to: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(value, its positions) for each value that occurs, by one stable sort."""
+    order = np.argsort(to, kind="stable")
+    if not len(order):
+        return
+    start = np.flatnonzero(np.concatenate([[True], to[order[1:]] != to[order[:-1]]]))
+    for lo, hi in zip(start, np.append(start[1:], len(order))):
+        yield int(to[order[lo]]), order[lo:hi]
+
+
 def batches(rows: Iterator[pa.RecordBatch], size: int = BLOCK_ROWS) -> Iterator[pa.Table]:
     """Regroup Arrow batches into tables of at most ``size`` rows."""
     held: list[pa.RecordBatch] = []

@@ -1,17 +1,24 @@
 """Problem 2: the most similar vectors for every vector, by an inverted multi-index.
 
-Both halves of the unit vectors are quantised separately (k-means, fitted on a sample of about
-``SAMPLE`` vectors); a cell is a pair of half centroids and every vector is indexed in one. A query
-goes through centroid pairs in the order of summed distance, skipping empty cells, until the cells
-hold ``visit`` different vectors (a crowded cell counts as an eighth of them at most), and the entries found are reranked by their cosine. The order is read off
-the sorted sums of the ``GRID`` nearest centroids of either half, for a block of queries at once; a
-query that this grid does not satisfy goes on with the heap.
+Both halves of the unit vectors are quantised separately (k-means, fitted on a bounded sample); a
+cell is a pair of half centroids and every vector is indexed in one. A query goes through centroid
+pairs in the order of summed distance, skipping empty cells, until the cells hold ``visit``
+different vectors (a crowded cell counts as an eighth of them at most), and the entries found are
+reranked by their cosine.
+
+The order is that of a heap of pairs (``walked``), found for many queries at once: of two sorted
+rows the first t pairs by sum all have (i + 1) (j + 1) <= t, so these few sums are sorted; t grows
+until the cells suffice, and beyond ``MOST_POPS`` the heap itself runs.
 
 Cells of neighbouring centroids share a bucket (weighted bisection of the cell centres). A query
-travels to the buckets its cells lie in, once each, but for buckets that hold under ``FAR`` of the
-``visit`` vectors, and a bucket's task multiplies whole cells. Vectors travel as 16-bit components
-(the cosine changes by some 1e-6). Vectors equal in these are one class with its least ids: a group
-of copies costs one query a block.
+travels to all buckets its cells lie in, once each, and a bucket's task multiplies whole cells.
+Vectors travel as 16-bit components (the cosine changes by some 1e-6). Vectors equal in these are
+one class with its least ids: a group of copies costs one query a block.
+
+Hot groups: a cell of more than ``HEAVY`` different vectors is divided by the signs of its vectors
+against its mean in fixed directions, so that no list grows with the table; a query goes through the
+``NEAR_LISTS`` lists whose signs fit it best. A bucket of more than two times ``BUCKET`` vectors is
+gone through by several tasks, each with all its vectors and a share of its queries.
 """
 
 from __future__ import annotations
@@ -25,19 +32,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .alike import ragged
-from .common import BLOCK_ROWS, DIM, batches, cut, mix, table, unit, vectors
+from .alike import directions, ragged
+from .common import BLOCK_ROWS, DIM, batches, cut, mix, runs, table, unit, vectors
 
-#: Vectors, about, that the centroids are fitted on; all vectors are indexed.
-SAMPLE = 16_384
-CELL = 3
-BUCKET = 25_000
-#: Centroids of either half whose sums are sorted.
-GRID = 48
-FAR = 0.01
+#: Vectors, about, that the centroids are fitted on: so many, or so many a centroid; all vectors are indexed.
+SAMPLE, SAMPLE_EACH = 16_384, 32
+#: Different vectors a cell holds on average, while the centroids of a half are no more than MOST_CENTROIDS.
+CELL, MOST_CENTROIDS = 16, 2048
+BUCKET = 8192
+#: Pairs of centroids looked at first, and from which on the heap goes on.
+POPS, MOST_POPS = 256, 1 << 14
 #: Different vectors in the cells that a query goes through, and the share of them that one cell can count as.
-CROWD = 8
 VISIT = 4096
+CROWD = 8
+#: Different vectors from which on a cell is divided, about as many in each list; lists that a query goes through.
+HEAVY, NEAR_LISTS = 1 << 16, 8
+#: Directions the centres of cells are compared in when buckets are formed.
+AXES = 16
 #: Rows of a query block multiplied with a cell at once.
 ROWS = 1024
 LEAST_COSINE = 0.70
@@ -45,19 +56,31 @@ LEAST_COSINE = 0.70
 HALF = 5e-7
 HALF_DIM = DIM // 2
 ENTRY = np.dtype([("id", "<i8"), ("h", "<u8"), ("x", "<i2", (DIM,))])
-BLOCK_SQL = "bucket int, entries binary, members binary, counts binary, probes binary"
-BLOCK = pa.schema([("bucket", pa.int32())] + [(c, pa.binary()) for c in ("entries", "members", "counts", "probes")])
+BLOCK_SQL = "bucket int, part int, entries binary, members binary, counts binary, cells binary, probes binary"
+BLOCK = pa.schema([("bucket", pa.int32()), ("part", pa.int32())] + [(c, pa.binary()) for c in ("entries", "members", "counts", "cells", "probes")])
+
+
+def visit_for(total: int, visit: int = VISIT) -> int:
+    """Different vectors a query goes through: as many in a table of up to four million rows, then more."""
+    return max(visit, int(visit * (total / 4_000_000) ** 0.5))
 
 
 @dataclass
 class MultiIndex:
-    """The fitted index: half centroids, classes of equal vectors per cell, bucket of each cell."""
+    """The fitted index: half centroids, classes of equal vectors per cell, bucket of each cell.
+
+    heavy: divided cells, sorted; mean: their centres; first: number of the first list of each and,
+    at the end, of all. Lists are numbered after the cells; size and bucket go on with them.
+    """
 
     left: np.ndarray
     right: np.ndarray
     size: np.ndarray
     bucket: np.ndarray
-    buckets: int
+    parts: np.ndarray
+    heavy: np.ndarray
+    mean: np.ndarray
+    first: np.ndarray
 
     def halves(self, u: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Squared distances to the half centroids, up to what is the same for all of them."""
@@ -68,37 +91,66 @@ class MultiIndex:
         )
 
     def cells(self, u: np.ndarray) -> np.ndarray:
+        """The cell of each vector, or its list where the cell is divided."""
         a, b = self.halves(u)
-        return a.argmin(1) * len(self.right) + b.argmin(1)
+        cell = a.argmin(1) * len(self.right) + b.argmin(1)
+        for n, c in enumerate(self.heavy):
+            at = np.flatnonzero(cell == c)
+            if len(at):
+                cell[at] = self.lists(n, u[at], 1)[:, 0]
+        return cell
+
+    def lists(self, n: int, u: np.ndarray, most: int) -> np.ndarray:
+        """The lists of divided cell n that fit each vector best: its own signs, then the least certain ones changed."""
+        count = int(self.first[n + 1] - self.first[n])
+        bits = count.bit_length() - 1
+        margin = (u - self.mean[n]).astype(np.float32) @ directions(bits, 77)
+        code = ((margin > 0) * (1 << np.arange(bits))).sum(1)
+        flips = min(bits, max(0, most.bit_length() - 1))
+        doubtful = np.argsort(np.abs(margin), axis=1, kind="stable")[:, :flips]
+        out = np.empty((len(u), 1 << flips), np.int64)
+        for k in range(1 << flips):
+            change = ((k >> np.arange(flips) & 1) << doubtful).sum(1) if flips else 0
+            out[:, k] = self.first[n] + (code ^ change)
+        return out
 
     def probes(self, u: np.ndarray, visit: int) -> tuple[np.ndarray, np.ndarray]:
         """(query, cell), sorted by query, for all cells that each query goes through."""
         a, b = self.halves(u)
-        m, n = min(GRID, a.shape[1]), min(GRID, b.shape[1])
-        rows: list[np.ndarray] = []
-        cells: list[np.ndarray] = []
-        for at in range(0, len(u), 1024):
-            x, y = a[at : at + 1024], b[at : at + 1024]
-            fx, fy = x.argsort(1), y.argsort(1)
-            x, y = np.take_along_axis(x, fx, 1), np.take_along_axis(y, fy, 1)
-            sums = (x[:, :m, None] + y[:, None, :n]).reshape(len(x), -1)
-            order = sums.argsort(1)
-            cell = (fx[:, :m, None] * len(self.right) + fy[:, None, :n]).reshape(len(x), -1)
-            cell = np.take_along_axis(cell, order, 1)
-            size = self.counted(self.size[cell], visit)
-            before = np.cumsum(size, 1) - size
-            take = (size > 0) & (before < visit)
-            short = np.flatnonzero(before[:, -1] + size[:, -1] < visit)
-            if len(short) and (m < a.shape[1] or n < b.shape[1]):
-                take[short] = False
-                for q in short:
-                    found = self.walked(x[q].tolist(), y[q].tolist(), fx[q], fy[q], visit)
-                    rows.append(np.full(len(found), at + q))
-                    cells.append(found)
-            r, c = np.nonzero(take)
-            rows.append(r + at)
-            cells.append(cell[r, c])
+        fx, fy = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
+        x, y = np.take_along_axis(a, fx, 1), np.take_along_axis(b, fy, 1)
+        rows, cells = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        left, pops = np.arange(len(u)), POPS
+        while len(left) and pops <= MOST_POPS:
+            i, j = first_pairs(pops, x.shape[1], y.shape[1])
+            whole = len(i) == x.shape[1] * y.shape[1]
+            keep = len(i) if whole else pops
+            step, still = max(1, (1 << 22) // len(i)), []
+            for at in range(0, len(left), step):
+                q = left[at : at + step]
+                sums = x[q][:, i] + y[q][:, j]
+                near = np.argpartition(sums, keep - 1, 1)[:, :keep] if keep < len(i) else np.broadcast_to(np.arange(len(i)), sums.shape)
+                near = np.take_along_axis(near, np.take_along_axis(sums, near, 1).argsort(1), 1)
+                cell = np.take_along_axis(fx[q], i[near], 1) * len(self.right) + np.take_along_axis(fy[q], j[near], 1)
+                size = self.counted(self.size[cell], visit)
+                before = np.cumsum(size, 1) - size
+                done = (before[:, -1] + size[:, -1] >= visit) | whole
+                r, c = np.nonzero((size > 0) & (before < visit) & done[:, None])
+                rows.append(q[r])
+                cells.append(cell[r, c])
+                still.append(q[~done])
+            left, pops = np.concatenate(still), pops * 4
+        for q in left:
+            found = self.walked(x[q].tolist(), y[q].tolist(), fx[q], fy[q], visit)
+            rows.append(np.full(len(found), q))
+            cells.append(found)
         row, out = np.concatenate(rows), np.concatenate(cells)
+        for n, c in enumerate(self.heavy):
+            at = np.flatnonzero(out == c)
+            if len(at):
+                lists = self.lists(n, u[row[at]], NEAR_LISTS)
+                row = np.concatenate([np.delete(row, at), np.repeat(row[at], lists.shape[1])])
+                out = np.concatenate([np.delete(out, at), lists.ravel()])
         order = np.argsort(row, kind="stable")
         return row[order], out[order]
 
@@ -108,8 +160,9 @@ class MultiIndex:
         return np.minimum(size, max(1, visit // CROWD))
 
     def walked(self, da: list[float], db: list[float], fa: np.ndarray, fb: np.ndarray, visit: int) -> np.ndarray:
-        """The cells of one query, in the order of summed distance, by a heap of pairs."""
-        heap, out, left = [(da[0] + db[0], 0, 0)], [], visit
+        """The cells of one query, in the order of summed distance (in single precision), by a heap of pairs."""
+        add = lambda i, j: (float(np.float32(da[i] + db[j])), i, j)
+        heap, out, left = [add(0, 0)], [], visit
         while heap and left > 0:
             _, i, j = heappop(heap)
             cell = int(fa[i]) * len(self.right) + int(fb[j])
@@ -117,18 +170,20 @@ class MultiIndex:
                 out.append(cell)
                 left -= int(self.counted(self.size[cell], visit))
             if j + 1 < len(db):
-                heappush(heap, (da[i] + db[j + 1], i, j + 1))
+                heappush(heap, add(i, j + 1))
             if j == 0 and i + 1 < len(da):
-                heappush(heap, (da[i + 1] + db[0], i + 1, 0))
+                heappush(heap, add(i + 1, 0))
         return np.array(out, np.int64)
 
-    def ranks(self) -> np.ndarray:
-        """Number of each cell within its bucket."""
-        order = np.argsort(self.bucket, kind="stable")
-        start = np.searchsorted(self.bucket[order], np.arange(self.buckets))
-        out = np.empty(len(order), np.int64)
-        out[order] = np.arange(len(order)) - start[self.bucket[order]]
-        return out
+
+def first_pairs(pops: int, m: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j) of a superset of the first ``pops`` pairs by sum of two ascending rows of m and n entries.
+
+    When a pair is popped, all pairs that are no greater in both places are: (i + 1) (j + 1) <= pops.
+    """
+    i = np.arange(min(m, pops))
+    width = np.minimum(pops // (i + 1), n)
+    return np.repeat(i, width), ragged(width)
 
 
 def coded(u: np.ndarray) -> np.ndarray:
@@ -174,12 +229,11 @@ def sampled(docs: DataFrame, total: int, size: int = SAMPLE) -> np.ndarray:
 def bisected(centres: np.ndarray, weight: np.ndarray, parts: int) -> np.ndarray:
     """Part of each centre: halved again and again across the widest direction, by weight."""
     out = np.zeros(len(centres), np.int32)
-    todo, made = [(np.arange(len(centres)), parts, 0)], 0
+    todo = [(np.arange(len(centres)), parts, 0)]
     while todo:
         rows, p, base = todo.pop()
         if p <= 1 or len(rows) <= 1:
             out[rows] = base
-            made = max(made, base)
             continue
         x = centres[rows] - np.average(centres[rows], axis=0, weights=weight[rows])
         d = np.random.default_rng(3).standard_normal(x.shape[1])
@@ -193,54 +247,80 @@ def bisected(centres: np.ndarray, weight: np.ndarray, parts: int) -> np.ndarray:
     return out
 
 
-def build_index(docs: DataFrame, seed: int = 11) -> MultiIndex | None:
-    """Fits the centroids and counts the different vectors of every cell; None without usable vectors."""
-    total = docs.count()
-    x = sampled(docs, total).astype(np.float32)
-    if not len(x):
-        return None
-    k = int(np.clip(round((total / CELL) ** 0.5), 1, 1024))
-    index = MultiIndex(kmeans(x[:, :HALF_DIM], k, seed), kmeans(x[:, HALF_DIM:], k, seed + 1), np.zeros(0), np.zeros(0), 0)
+def counted_cells(docs: DataFrame, index: MultiIndex, total: int) -> np.ndarray:
+    """Different vectors in every cell and list. Equal vectors of a block count once before the shuffle."""
     shared = docs.sparkSession.sparkContext.broadcast(astuple(index))
-
-    buckets = max(8, -(-total // BUCKET))
+    slices = max(8, -(-total // 65_536))
 
     def classes(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """The different vectors of a block as (cell, hash), by the remainder of the cell."""
         ix = MultiIndex(*shared.value)
         for t in batches(rows, BLOCK_ROWS):
             _, v = vectors(t.column("embedding"))
-            code = coded(unit(v)) if len(v) else np.zeros((0, DIM), np.int16)
+            if not len(v):
+                continue
+            code = coded(unit(v))
             h, first = np.unique(hashed(code), return_index=True)
-            cell = ix.cells(unit(code[first])) if len(h) else np.zeros(0, np.int64)
-            for part in np.unique(cell % buckets):
-                x = np.stack([cell[cell % buckets == part].view(np.uint64), h[cell % buckets == part]])
-                yield pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["part", "x"])
+            cell = ix.cells(unit(code[first]))
+            got = [(b, np.stack([cell[at].view(np.uint64), h[at]]).tobytes()) for b, at in runs(cell % slices)]
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in got], pa.int32()), pa.array([x for _, x in got], pa.binary())], names=["part", "x"])
 
     def count(t: pa.Table) -> pa.Table:
         x = np.concatenate([np.frombuffer(v, np.uint64).reshape(2, -1) for v in t.column("x").to_pylist()], 1)
         x = x[:, np.lexsort((x[1], x[0]))]
         new = np.concatenate([[True], (x[:, 1:] != x[:, :-1]).any(0)])
         cell, n = np.unique(x[0, new].view(np.int64), return_counts=True)
-        return pa.table({"cell": pa.array(cell), "n": pa.array(n.astype(np.int64))})
+        return pa.table({"x": pa.array([np.stack([cell, n]).tobytes()], pa.binary())})
 
-    size = np.zeros(len(index.left) * len(index.right), np.int64)
-    for r in docs.select("embedding").mapInArrow(classes, "part int, x binary").groupBy("part").applyInArrow(count, "cell long, n long").collect():
-        size[r["cell"]] = r["n"]
-    used = np.flatnonzero(size)
-    centres = np.concatenate([index.left[used // len(index.right)], index.right[used % len(index.right)]], 1).astype(np.float64)
-    bucket = np.zeros(len(size), np.int32)
-    bucket[used] = bisected(centres, size[used].astype(np.float64), buckets)
-    return MultiIndex(index.left, index.right, size, bucket, buckets)
+    size = np.zeros(len(index.left) * len(index.right) + int(index.first[-1] - index.first[0]), np.int32)
+    for r in docs.select("embedding").mapInArrow(classes, "part int, x binary").groupBy("part").applyInArrow(count, "x binary").toLocalIterator():
+        cell, n = np.frombuffer(r["x"], np.int64).reshape(2, -1)
+        size[cell] = n
+    return size
+
+
+def build_index(docs: DataFrame, seed: int = 11) -> MultiIndex | None:
+    """Fits the centroids and counts the different vectors of every cell; None without usable vectors."""
+    total = docs.count()
+    k = int(np.clip(round((total / CELL) ** 0.5), 1, MOST_CENTROIDS))
+    x = sampled(docs, total, max(SAMPLE, SAMPLE_EACH * k)).astype(np.float32)
+    if not len(x):
+        return None
+    left, right = kmeans(x[:, :HALF_DIM], k, seed), kmeans(x[:, HALF_DIM:], k, seed + 1)
+    n = len(left) * len(right)
+    none = np.zeros(0, np.int64)
+    index = MultiIndex(left, right, none, none, none, none, np.zeros((0, DIM)), np.array([n]))
+    size = counted_cells(docs, index, total)
+    heavy = np.flatnonzero(size > HEAVY)
+    if len(heavy):
+        of = index.cells(x)
+        centre = lambda c: np.concatenate([left[c // len(right)], right[c % len(right)]])
+        mean = np.stack([x[of == c].mean(0) if (of == c).any() else centre(c) for c in heavy])
+        lists = 1 << np.ceil(np.log2(size[heavy] / HEAVY)).astype(np.int64)
+        index = MultiIndex(left, right, none, none, none, heavy, mean, n + np.concatenate([[0], np.cumsum(lists)]))
+        whole = size[heavy]
+        size = counted_cells(docs, index, total)
+    cells = np.concatenate([np.flatnonzero(size[:n]), np.arange(n, len(size))])
+    of = np.concatenate([cells[cells < n], np.repeat(index.heavy, np.diff(index.first))])
+    axes = np.linalg.svd(x[:SAMPLE] - x[:SAMPLE].mean(0), full_matrices=False)[2][:AXES].astype(np.float32)
+    centres = (left @ axes[:, :HALF_DIM].T)[of // len(right)] + (right @ axes[:, HALF_DIM:].T)[of % len(right)]
+    weight = size[cells].astype(np.float32) + 1e-6
+    buckets = max(8, -(-int(size.sum()) // BUCKET))
+    bucket = np.full(len(size), -1, np.int32)
+    bucket[cells] = bisected(centres, weight, buckets)
+    held = np.bincount(bucket[cells], size[cells], buckets)
+    if len(heavy):
+        size[heavy] = whole  # as the traversal counts them
+    return MultiIndex(left, right, size, bucket, np.maximum(1, -(-held // (2 * BUCKET))).astype(np.int32), index.heavy, index.mean, index.first)
 
 
 def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
-    """Blocks by bucket: classes with their vectors, ids of class members at home, cells to go through."""
+    """Blocks by bucket and part: classes with their vectors, ids of class members at home, cells to go through."""
     shared = docs.sparkSession.sparkContext.broadcast(astuple(index))
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = MultiIndex(*shared.value)
-        rank = ix.ranks()
+        most = int(ix.parts.max())
         for t in batches(rows, BLOCK_ROWS):
             at, x = vectors(t.column("embedding"))
             if not len(at):
@@ -256,30 +336,29 @@ def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
             entries = np.zeros(len(first), ENTRY)
             entries["id"], entries["h"], entries["x"] = ids[first], h[first], code[first]
             u = unit(code[first])
-            home = ix.bucket[ix.cells(u)]
+            home = ix.bucket[ix.cells(u)].astype(np.int64)
             q, cell = ix.probes(u, visit)
-            to = ix.bucket[cell]
-            share = np.bincount(q * ix.buckets + to, ix.size[cell], len(first) * ix.buckets).reshape(len(first), -1)
-            near = share >= FAR * np.minimum(share.sum(1, keepdims=True), visit)
-            near[np.arange(len(first)), home] = True
-            keep = near[q, to]
-            q, cell, to = q[keep], cell[keep], to[keep]
-            for b in range(ix.buckets):
-                here = to == b
-                used = home == b
+            to = ix.bucket[cell].astype(np.int64)
+            part = (entries["h"][q] >> np.uint64(20)).astype(np.int64) % ix.parts[to]
+            asks = dict(runs(to * most + part))
+            # A bucket's vectors go to all its parts.
+            count = ix.parts[home]
+            held = dict((key, np.repeat(np.arange(len(first)), count)[at]) for key, at in runs(np.repeat(home * most, count) + ragged(count)))
+            owned = dict(runs(home[member_of]))
+            for key in sorted(asks.keys() | held.keys()):
+                b, p = divmod(key, most)
+                here = asks.get(key, np.zeros(0, np.int64))
+                used = np.zeros(len(first), bool)
                 used[q[here]] = True
-                if not used.any():
-                    continue
+                used[held.get(key, [])] = True
                 local = np.cumsum(used) - 1
-                mine = home[member_of] == b
+                mine = owned.get(b, np.zeros(0, np.int64)) if key in held else np.zeros(0, np.int64)
                 members = np.stack([local[member_of[mine]], ids[mine]])
-                counts = np.bincount(local[q[here]], minlength=int(used.sum())).astype(np.uint16)
-                number = rank[cell[here]]
-                number = number.astype(np.uint16 if rank.max() < 1 << 16 else np.uint32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([b], pa.int32())] + [pa.array([v.tobytes()], pa.binary()) for v in (entries[used], members, counts, number)],
-                    schema=BLOCK,
-                )
+                counts = np.bincount(local[q[here]], minlength=int(used.sum())).astype(np.uint32)
+                cells, number = np.unique(cell[here], return_inverse=True)
+                number = number.astype(np.uint16 if len(cells) < 1 << 16 else np.uint32)
+                parts = (entries[used], members, counts, cells.astype(np.int64), number)
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([p], pa.int32())] + [pa.array([v.tobytes()], pa.binary()) for v in parts], schema=BLOCK)
 
     return docs.select("id", "embedding").mapInArrow(emit, BLOCK_SQL)
 
@@ -296,19 +375,19 @@ class Bucket:
 
     @staticmethod
     def read(t: pa.Table, index: MultiIndex) -> Bucket:
-        bucket = t.column("bucket")[0].as_py()
-        cells = np.flatnonzero(index.bucket == bucket)
-        wide = np.uint16 if index.ranks().max() < 1 << 16 else np.uint32
         entries = [np.frombuffer(v, ENTRY) for v in t.column("entries").to_pylist()]
         base = np.cumsum([0] + [len(e) for e in entries[:-1]])
         members = np.concatenate([np.frombuffer(v, np.int64).reshape(2, -1) + np.array([[o], [0]]) for v, o in zip(t.column("members").to_pylist(), base)], 1)
-        counts = np.concatenate([np.frombuffer(v, np.uint16) for v in t.column("counts").to_pylist()]).astype(np.int64)
-        number = np.concatenate([np.frombuffer(v, wide) for v in t.column("probes").to_pylist()])
+        counts = np.concatenate([np.frombuffer(v, np.uint32) for v in t.column("counts").to_pylist()]).astype(np.int64)
+        probe = []
+        for c, p in zip(t.column("cells").to_pylist(), t.column("probes").to_pylist()):
+            c = np.frombuffer(c, np.int64)
+            probe.append(c[np.frombuffer(p, np.uint16 if len(c) < 1 << 16 else np.uint32)])
         entries = np.concatenate(entries)
         h, first, of = np.unique(entries["h"], return_index=True, return_inverse=True)
         members[0] = of[members[0]]
         members = members[:, np.lexsort((members[1], members[0]))]
-        probe = of[np.repeat(np.arange(len(counts)), counts)] * np.int64(1 << 32) + cells[number]
+        probe = of[np.repeat(np.arange(len(counts)), counts)] * np.int64(1 << 32) + np.concatenate(probe)
         if len(h) < len(entries):
             probe = np.unique(probe)
         u = unit(entries["x"][first])
@@ -327,11 +406,18 @@ class Bucket:
 
 def best_of(s: np.ndarray, keep: int, least: float) -> tuple[np.ndarray, np.ndarray]:
     """(row, column) of the keep greatest entries of each row, those of at least ``least``."""
-    if s.shape[1] > keep:
-        part = np.argpartition(s, s.shape[1] - keep, 1)[:, -keep:]
-        r, c = np.nonzero(np.take_along_axis(s, part, 1) >= least - HALF)
-        return r, part[r, c]
-    return np.nonzero(s >= least - HALF)
+    close = s >= least - HALF
+    if s.shape[1] <= keep:
+        return np.nonzero(close)
+    n = np.count_nonzero(close, 1)
+    full = np.flatnonzero(n > keep)
+    if len(full):
+        close[full] = False
+    r, c = np.nonzero(close)
+    if not len(full):
+        return r, c
+    part = np.argpartition(s[full], s.shape[1] - keep, 1)[:, -keep:]
+    return np.concatenate([r, np.repeat(full, keep)]), np.concatenate([c, part.ravel()])
 
 
 def best_per_query(q: np.ndarray, cos: np.ndarray, ids: np.ndarray, keep: int) -> np.ndarray:
@@ -355,9 +441,10 @@ def search_bucket(b: Bucket, keep: int, least: float, each_cell=None, ids_a_clas
     qs: list[np.ndarray] = []
     cs: list[np.ndarray] = []
     ds: list[np.ndarray] = []
+    of = b.cell[home]
     for cell in np.unique(pc):
         q = pq[np.searchsorted(pc, cell) : np.searchsorted(pc, cell, "right")]
-        m = home[np.searchsorted(b.cell[home], cell) : np.searchsorted(b.cell[home], cell, "right")]
+        m = home[np.searchsorted(of, cell) : np.searchsorted(of, cell, "right")]
         if not len(m):
             continue
         seen = each_cell(m) if each_cell else None
@@ -382,7 +469,7 @@ def search_bucket(b: Bucket, keep: int, least: float, each_cell=None, ids_a_clas
     return q[best], d[best], ids[best]
 
 
-def similar_vectors(docs: DataFrame, k: int = 5, least: float = LEAST_COSINE, visit: int = VISIT, id_col: str = "id", embedding_col: str = "embedding") -> DataFrame:
+def similar_vectors(docs: DataFrame, k: int = 5, least: float = LEAST_COSINE, visit: int | None = None, id_col: str = "id", embedding_col: str = "embedding") -> DataFrame:
     """(id, neighbour, cosine, rank): for every usable vector the k most similar others.
 
     Cosines (of 16-bit components) are rounded to six decimals; ties go to the less id; neighbours below ``least``
@@ -395,6 +482,7 @@ def similar_vectors(docs: DataFrame, k: int = 5, least: float = LEAST_COSINE, vi
     if index is None:
         return docs.sparkSession.createDataFrame([], "id long, neighbour long, cosine double, rank int")
     keep = k + 1
+    visit = visit or visit_for(int(index.size.sum()))
     shared = docs.sparkSession.sparkContext.broadcast(astuple(index))
 
     def search(t: pa.Table) -> pa.Table:
@@ -403,13 +491,12 @@ def similar_vectors(docs: DataFrame, k: int = 5, least: float = LEAST_COSINE, vi
         start = np.flatnonzero(np.concatenate([[True], q[1:] != q[:-1]])) if len(q) else np.zeros(0, np.int64)
         near = pa.StructArray.from_arrays([pa.array(-cos), pa.array(ids)], names=["d", "id"])
         lists = pa.ListArray.from_arrays(pa.array(np.append(start, len(q)).astype(np.int32)), near)
-        h = np.concatenate([b.h[q[start]], b.h[b.members[0]]]).view(np.int64)
-        none = pa.nulls(len(b.members[1]), lists.type)
-        return pa.table(
-            {"h": pa.array(h), "id": pa.concat_arrays([pa.nulls(len(start), pa.int64()), pa.array(b.members[1])]), "near": pa.concat_arrays([lists, none])}
-        )
+        own = b.members if t.column("part")[0].as_py() == 0 else b.members[:, :0]
+        h = np.concatenate([b.h[q[start]], b.h[own[0]]]).view(np.int64)
+        none = pa.nulls(len(own[1]), lists.type)
+        return pa.table({"h": pa.array(h), "id": pa.concat_arrays([pa.nulls(len(start), pa.int64()), pa.array(own[1])]), "near": pa.concat_arrays([lists, none])})
 
-    found = cut(routed(docs, index, visit).groupBy("bucket").applyInArrow(search, "h long, id long, near array<struct<d:double,id:long>>"))
+    found = cut(routed(docs, index, visit).groupBy("bucket", "part").applyInArrow(search, "h long, id long, near array<struct<d:double,id:long>>"))
     best = found.where("id is null").groupBy("h").agg(F.slice(F.array_sort(F.flatten(F.collect_list("near"))), 1, keep).alias("near"))
     own = found.where("id is not null").select("h", "id")
     lists = own.join(best, "h").select("id", F.slice(F.filter("near", lambda x: x["id"] != F.col("id")), 1, k).alias("near"))
