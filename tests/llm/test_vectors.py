@@ -114,16 +114,23 @@ def test_the_heap_goes_on_where_the_pairs_end(monkeypatch):
     assert [sorted(want[1][want[0] == i]) for i in range(20)] == [sorted(got[1][got[0] == i]) for i in range(20)]
 
 
+def test_reach_takes_the_fullest_buckets(monkeypatch):
+    monkeypatch.setattr(neighbours, "REACH", 2)
+    q, to, size = np.array([0, 0, 0, 0, 1, 1]), np.array([5, 6, 5, 7, 9, 8]), np.array([1, 3, 4, 2, 1, 1])
+    assert neighbours.reached(q, to, size).tolist() == [True, True, True, False, True, True]
+
+
 def test_a_hot_cell_is_divided_and_its_bucket_shared(spark, monkeypatch):
     """Near copies by the hundred in one cell, made heavy: lists by signs, buckets in parts; recall stays."""
     monkeypatch.setattr(neighbours, "HEAVY", 60)
     monkeypatch.setattr(neighbours, "BUCKET", 64)
+    monkeypatch.setattr(neighbours, "PART", 40)
     rng = np.random.default_rng(6)
     hot = rng.normal(0, 1, 128)
     x = np.concatenate([rng.normal(0, 1, (300, 128)), hot + 0.05 * rng.normal(0, 1, (400, 128))])
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(4)
     index = build_index(df)
-    assert len(index.heavy) and index.parts.max() >= 1 and index.size[index.size.shape[0] - int(index.first[-1] - index.first[0]) :].sum() >= 300
+    assert len(index.heavy) and index.parts.max() > 1 and index.size[index.size.shape[0] - int(index.first[-1] - index.first[0]) :].sum() >= 300
     got = {}
     for r in similar_vectors(df).collect():
         got.setdefault(r["id"], set()).add(r["neighbour"])

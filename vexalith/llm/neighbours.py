@@ -11,14 +11,14 @@ rows the first t pairs by sum all have (i + 1) (j + 1) <= t, so these few sums a
 until the cells suffice, and beyond ``MOST_POPS`` the heap itself runs.
 
 Cells of neighbouring centroids share a bucket (weighted bisection of the cell centres). A query
-travels to all buckets its cells lie in, once each, and a bucket's task multiplies whole cells.
-Vectors travel as 16-bit components (the cosine changes by some 1e-6). Vectors equal in these are
+travels to the buckets its cells lie in, once each (of more than ``REACH`` to those that hold most of
+what it goes through), and a bucket's task multiplies whole cells. Vectors travel as 16-bit components (the cosine changes by some 1e-6). Vectors equal in these are
 one class with its least ids: a group of copies costs one query a block.
 
 Hot groups: a cell of more than ``HEAVY`` different vectors is divided by the signs of its vectors
 against its mean in fixed directions, so that no list grows with the table; a query goes through the
-``NEAR_LISTS`` lists whose signs fit it best. A bucket of more than two times ``BUCKET`` vectors is
-gone through by several tasks, each with all its vectors and a share of its queries.
+``NEAR_LISTS`` lists whose signs fit it best. A bucket of more than ``PART`` vectors is gone through by
+several tasks, each with all its vectors and a share of its queries.
 """
 
 from __future__ import annotations
@@ -39,7 +39,8 @@ from .common import BLOCK_ROWS, DIM, batches, cut, mix, runs, table, unit, vecto
 SAMPLE, SAMPLE_EACH = 16_384, 32
 #: Different vectors a cell holds on average, while the centroids of a half are no more than MOST_CENTROIDS.
 CELL, MOST_CENTROIDS = 16, 2048
-BUCKET = 8192
+#: Vectors of a bucket; vectors for whose queries a part of a bucket is there; buckets that a query goes to at most.
+BUCKET, PART, REACH = 25_000, 16_384, 32
 #: Pairs of centroids looked at first, and from which on the heap goes on.
 POPS, MOST_POPS = 256, 1 << 14
 #: Different vectors in the cells that a query goes through, and the share of them that one cell can count as.
@@ -311,7 +312,22 @@ def build_index(docs: DataFrame, seed: int = 11) -> MultiIndex | None:
     held = np.bincount(bucket[cells], size[cells], buckets)
     if len(heavy):
         size[heavy] = whole  # as the traversal counts them
-    return MultiIndex(left, right, size, bucket, np.maximum(1, -(-held // (2 * BUCKET))).astype(np.int32), index.heavy, index.mean, index.first)
+    return MultiIndex(left, right, size, bucket, np.maximum(1, -(-held // PART)).astype(np.int32), index.heavy, index.mean, index.first)
+
+
+def reached(q: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Which of the probes (query, bucket, vectors) lie in one of their query's REACH fullest buckets."""
+    order = np.lexsort((to, q))
+    new = np.concatenate([[True], (q[order][1:] != q[order][:-1]) | (to[order][1:] != to[order][:-1])])
+    start = np.flatnonzero(new)
+    total = np.add.reduceat(size[order], start)
+    of = q[order][start]
+    ranked = np.lexsort((-total, of))
+    place = np.empty(len(start), np.int64)
+    place[ranked] = np.arange(len(start)) - np.searchsorted(of, of)
+    out = np.empty(len(q), bool)
+    out[order] = (place < REACH)[np.cumsum(new) - 1]
+    return out
 
 
 def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
@@ -339,6 +355,9 @@ def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
             home = ix.bucket[ix.cells(u)].astype(np.int64)
             q, cell = ix.probes(u, visit)
             to = ix.bucket[cell].astype(np.int64)
+            if len(ix.parts) > REACH:
+                keep = reached(q, to, ix.size[cell])
+                q, cell, to = q[keep], cell[keep], to[keep]
             part = (entries["h"][q] >> np.uint64(20)).astype(np.int64) % ix.parts[to]
             asks = dict(runs(to * most + part))
             # A bucket's vectors go to all its parts.
