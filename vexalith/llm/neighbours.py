@@ -40,7 +40,7 @@ SAMPLE, SAMPLE_EACH = 16_384, 32
 #: Different vectors a cell holds on average, while the centroids of a half are no more than MOST_CENTROIDS.
 CELL, MOST_CENTROIDS = 16, 2048
 #: Vectors of a bucket; vectors for whose queries a part of a bucket is there; buckets that a query goes to at most.
-BUCKET, PART, REACH = 25_000, 16_384, 32
+BUCKET, PART, REACH = 25_000, 32_768, 32
 #: Pairs of centroids looked at first, and from which on the heap goes on.
 POPS, MOST_POPS = 256, 1 << 14
 #: Different vectors in the cells that a query goes through, and the share of them that one cell can count as.
@@ -56,7 +56,7 @@ LEAST_COSINE = 0.70
 #: A cosine that rounds to LEAST_COSINE at six decimals is at least this much less.
 HALF = 5e-7
 HALF_DIM = DIM // 2
-ENTRY = np.dtype([("id", "<i8"), ("h", "<u8"), ("x", "<i2", (DIM,))])
+ENTRY = np.dtype([("h", "<u8"), ("x", "<i2", (DIM,))])
 BLOCK_SQL = "bucket int, part int, entries binary, members binary, counts binary, cells binary, probes binary"
 BLOCK = pa.schema([("bucket", pa.int32()), ("part", pa.int32())] + [(c, pa.binary()) for c in ("entries", "members", "counts", "cells", "probes")])
 
@@ -350,7 +350,7 @@ def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
             member_of = np.empty(len(h), np.int64)
             member_of[order] = np.cumsum(new) - 1
             entries = np.zeros(len(first), ENTRY)
-            entries["id"], entries["h"], entries["x"] = ids[first], h[first], code[first]
+            entries["h"], entries["x"] = h[first], code[first]
             u = unit(code[first])
             home = ix.bucket[ix.cells(u)].astype(np.int64)
             q, cell = ix.probes(u, visit)
