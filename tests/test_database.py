@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import io
 import threading
+from dataclasses import replace
 
 import pytest
 
 from vexalith.cli import Shell
 from vexalith.client import Client
 from vexalith.database import Database
-from vexalith.errors import ConnectionClosedError, ConstraintError, DimensionMismatchError, ParseError, QueryError, TableNotFoundError, TransactionError
+from vexalith.errors import ConflictError, ConnectionClosedError, ConstraintError, DimensionMismatchError, ParseError, QueryError, TableNotFoundError, TransactionError
 from vexalith.prepared import BatchInserter, PreparedStatement, StatementCache
+from vexalith.sources import catalog
 from vexalith.streaming.ingest import ingest
 from vexalith.tools import Tools
 from vexalith.transactions import ConcurrentDatabase, Connection, DatabasePool
@@ -253,3 +255,61 @@ def test_a_stream_is_ingested_once(spark, tmp_path):
         q = ingest(d, "s", stream, str(tmp_path / "progress"), availableNow=True)
         q.awaitTermination(60)
     assert rows(d, "SELECT COUNT(*), MAX(n) FROM s") == [(5, 4)]
+
+
+def test_a_change_rewrites_only_the_parts_it_meets(spark, tmp_path):
+    d = Database(spark, str(tmp_path / "db"))
+    d.execute("CREATE TABLE t (k INTEGER UNIQUE, name TEXT)")
+    for n in range(4):
+        d.execute(f"INSERT INTO t VALUES ({2 * n}, 'a'), ({2 * n + 1}, 'b')")
+    before = d.catalog.version("t").parts
+    assert d.execute("UPDATE t SET name = 'c' WHERE k = 5").affected == 1
+    after = d.catalog.version("t").parts
+    assert len(set(after) - set(before)) == 1 and set(before) - set(after) == {before[2]}
+    assert d.execute("DELETE FROM t WHERE k IN (0, 1)").affected == 2
+    assert set(after) - set(d.catalog.version("t").parts) == {before[0]}
+    assert rows(d, "SELECT k, name FROM t WHERE name != 'a' ORDER BY k") == [(3, "b"), (5, "c"), (7, "b")]
+    with pytest.raises(ConstraintError):  # against a row of another part
+        d.execute("UPDATE t SET k = 2 WHERE k = 7")
+    assert d.execute("UPDATE t SET name = 'x' WHERE k = 99").affected == 0 and d.execute("DELETE FROM t WHERE k = 99").affected == 0
+
+
+def test_two_writers_on_one_path_keep_all_commits(spark, tmp_path):
+    a, b = Database(spark, str(tmp_path / "db")), Database(spark, str(tmp_path / "db"))
+    a.execute("CREATE TABLE t (id INTEGER, n INTEGER)")
+    b.execute("CREATE TABLE u (n INTEGER)")
+    assert a.execute("INSERT INTO t (n) VALUES (1)").ids == [1]
+    assert b.execute("INSERT INTO t (n) VALUES (2)").ids == [2]
+    state, base = b.catalog.state(), b.catalog.state()
+    a.execute("INSERT INTO t (n) VALUES (3)")
+    state["t"] = replace(state["t"], next_id=50)
+    with pytest.raises(ConflictError):
+        b.catalog.publish(state, base)
+    other = dict(base) | {"w": base["u"]}  # another table: laid over what a has published
+    b.catalog.publish(other, base)
+    assert a.tables() == ["t", "u", "w"] and rows(a, "SELECT id, n FROM t ORDER BY id") == rows(b, "SELECT id, n FROM t ORDER BY id") == [(1, 1), (2, 2), (3, 3)]
+
+
+def test_writers_in_threads_on_one_path(spark, tmp_path):
+    path = str(tmp_path / "db")
+    Database(spark, path).execute("CREATE TABLE t (id INTEGER, n INTEGER)")
+
+    def work(n):
+        d = Database(spark, path)
+        for _ in range(3):
+            d.execute("INSERT INTO t (n) VALUES (?)", [n])
+
+    threads = [threading.Thread(target=work, args=(n,)) for n in range(3)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert [r[0] for r in rows(Database(spark, path), "SELECT id FROM t ORDER BY id")] == list(range(1, 10))
+
+
+def test_manifests_far_ahead_are_found(spark, tmp_path, monkeypatch):
+    a, b = Database(spark, str(tmp_path / "db")), Database(spark, str(tmp_path / "db"))
+    monkeypatch.setattr(catalog, "KEPT", 20)
+    for n in range(30):
+        a.execute(f"CREATE TABLE t{n} (k INTEGER)")
+    assert len(b.tables()) == 30 and len(list((tmp_path / "db").glob("_catalog.*.json"))) <= 21

@@ -10,6 +10,8 @@ import pytest
 
 from vexalith import queries as Q
 
+#: Queries that the smallest tables may hold no case of.
+RARE = {"unique_violations_existing"}
 ORDERED = {n for n, (s, _) in Q.DIALECT.items() if "ORDER BY" in s}
 
 
@@ -42,6 +44,7 @@ def test_query_and_twin_agree(spark, sf, duck, name):
     assert sorted(df.columns) == sorted(names)
     if name not in ORDERED:
         got, want = sorted(got, key=repr), sorted(want, key=repr)
+    assert want or name in RARE, "a twin without rows proves nothing"
     assert got == want
 
 

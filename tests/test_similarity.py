@@ -65,7 +65,7 @@ def test_nearest(vectors):
 
 def test_nearest_for_each_in_blocks(vectors, monkeypatch):
     rows, df = vectors
-    monkeypatch.setattr(similarity, "QUERIES", 7)
+    monkeypatch.setattr(similarity, "QUERY_BYTES", 7 * 8 * 16)
     got = {}
     for r in similarity.nearest_for_each(df.where("id % 40 = 0 or id > 599"), df, "id", "id", "v", "v", 4).orderBy("rank").collect():
         got.setdefault(r["query_id"], []).append(r["neighbour_id"])
@@ -80,10 +80,11 @@ def test_centroid(vectors):
     assert c == pytest.approx(np.mean([r[1] for r in rows[:600]], 0).tolist())
 
 
-def test_indexes_have_recall(vectors):
+def test_indexes_have_recall(spark, vectors, tmp_path):
     rows, df = vectors
-    ivf = IVFIndex(df, "v", IndexConfig(n_probe=8))
-    lsh = LSHIndex(df, "v", IndexConfig(n_bits=5, n_tables=12))
+    IVFIndex.build(df, "v", str(tmp_path / "ivf"), IndexConfig(n_probe=8))
+    LSHIndex.build(df, "v", str(tmp_path / "lsh"), IndexConfig(n_bits=5, n_tables=12))
+    ivf, lsh = IVFIndex.open(spark, str(tmp_path / "ivf")), LSHIndex.open(spark, str(tmp_path / "lsh"))
     hits = {"ivf": 0, "lsh": 0}
     for i in range(0, 600, 60):
         want = set(ranked(rows, rows[i][1], 10))
@@ -93,7 +94,23 @@ def test_indexes_have_recall(vectors):
     with pytest.raises(QueryError):
         ivf.search([1.0], 3)
     with pytest.raises(QueryError):
-        IVFIndex(df.limit(0), "v")
+        IVFIndex.build(df.limit(0), "v", str(tmp_path / "none"))
+    each = {r["neighbour_id"] for r in ivf.search_each(df.where("id = 60"), "id", "v", "id", 10).collect()}
+    assert each == {r["id"] for r in ivf.search(rows[60][1], 10, tie=["id"]).collect()}
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_search_reads_only_its_partitions_and_computes_a_distance_once(spark, vectors, tmp_path):
+    rows, df = vectors
+    ivf = IVFIndex.build(df, "v", str(tmp_path / "ivf"), IndexConfig(n_probe=3))
+    found = ivf.search(rows[0][1], 5, tie=["id"])
+    assert len(found.inputFiles()) and plan_of(found).count("ArrowEvalPython") == 1
+    assert "PartitionFilters: [isnotnull(_cell" in plan_of(found) or "PartitionFilters: [_cell" in plan_of(found)
+    for d in (similarity.nearest(df, "v", rows[0][1], 5), similarity.nearest_per_group(df, "v", rows[0][1], "id", 1)):
+        assert plan_of(d).count("ArrowEvalPython") == 1
 
 
 def test_accuracy(spark):

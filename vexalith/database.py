@@ -4,24 +4,27 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Sequence
 from dataclasses import dataclass, field, replace
-from typing import Any
+from typing import Any, TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .errors import QueryError
+from .errors import ConflictError, QueryError
 from .functions import predicates
 from .operators.similarity import nearest
 from .plans import planner
 from .plans.ast import CreateTable, Delete, DropTable, Insert, Parameter, Parsed, Select, ShowTables, Statement, Update
 from .plans.parser import parse
-from .sources.catalog import Catalog, State, Version, appended, with_ids
+from .sources.catalog import Catalog, State, Version, appended, materialised, with_ids
 from .sources.constraints import check
 from .types import ROW_ID, Column, fitted
 
+X = TypeVar("X")
 #: Parts of a table from which on an in-memory change cuts its lineage.
 LONG_LINEAGE = 24
+#: Times a change is tried while other writers change the same table.
+RETRIES = 20
 
 
 @dataclass
@@ -98,11 +101,22 @@ class Database:
             return Result("select", s.table, planner.select(s, lambda n: self.frame(n, state)))
         if isinstance(s, ShowTables):
             return Result("show", frame=self.show())
+        return self.changed(lambda state: self.change(s, state))
+
+    def changed(self, change: Callable[[State], X]) -> X:
+        """Applies ``change`` to a snapshot and publishes it; again on a newer one if another writer was first."""
         with self.catalog.lock:
-            state = self.catalog.state()
-            result = self.change(s, state)
-            self.catalog.publish(state)
-        return result
+            for attempt in range(RETRIES):
+                base = self.catalog.state()
+                state = dict(base)
+                result = change(state)
+                try:
+                    self.catalog.publish(state, base)
+                    return result
+                except ConflictError:
+                    if attempt == RETRIES - 1:
+                        raise
+        raise AssertionError
 
     def show(self) -> DataFrame:
         rows = []
@@ -172,38 +186,48 @@ class Database:
             state[name] = self._shortened(new)
 
     def _shortened(self, v: Version) -> Version:
-        if self.catalog.path or len(v.parts) <= LONG_LINEAGE or not self.spark.sparkContext.getCheckpointDir():
+        if self.catalog.path or len(v.parts) <= LONG_LINEAGE:
             return v
-        return replace(v, parts=(self.catalog.frame(v).checkpoint(),))
+        return replace(v, parts=(materialised(self.catalog.frame(v)),))
 
     def append(self, table: str, rows: DataFrame) -> Result:
         """Rows of a DataFrame, columns by name, as one atomic insert. Missing columns get defaults.
 
         The rows are written first and numbered from what was written.
         """
-        with self.catalog.lock:
-            state = self.catalog.state()
+        staged: list[DataFrame] = []
+
+        def add(state: State) -> Result:
             v = self.catalog.version(table, state)
-            for c in rows.columns:
-                if c != ROW_ID:
-                    v.column(c)
-            chosen = []
-            for c in v.columns:
-                kind = c.field().dataType
-                value = F.col(f"`{c.name}`").cast(kind) if c.name in rows.columns else F.lit(c.default).cast(kind)
-                chosen.append(value.alias(c.name))
-            staged = rows.select(*chosen)
-            if self.catalog.path:
-                place = self.catalog.part(f"_staged/{table}", staged)
-                staged = self.spark.read.parquet(f"{self.catalog.path}/{place}")
-            elif self.spark.sparkContext.getCheckpointDir():
-                staged = staged.checkpoint()
-            numbered, count = with_ids(staged, v.next_id)
-            if any(c.name == "id" for c in v.columns):
-                numbered = numbered.withColumn("id", F.col(ROW_ID))
-            self._append(table, v, numbered.select(ROW_ID, *[c.name for c in v.columns]), count, state)
-            self.catalog.publish(state)
-            return Result("insert", table, affected=count, ids=[v.next_id, v.next_id + count - 1] if count else [])
+            if not staged:
+                staged.append(self._staged(table, v, rows))
+            return self.append_to(state, table, staged[0])
+
+        return self.changed(add)
+
+    def _staged(self, table: str, v: Version, rows: DataFrame) -> DataFrame:
+        """The rows with the table's columns, stable to recomputation."""
+        for c in rows.columns:
+            if c != ROW_ID:
+                v.column(c)
+        chosen = []
+        for c in v.columns:
+            kind = c.field().dataType
+            value = F.col(f"`{c.name}`").cast(kind) if c.name in rows.columns else F.lit(c.default).cast(kind)
+            chosen.append(value.alias(c.name))
+        staged = rows.select(*chosen)
+        if not self.catalog.path:
+            return materialised(staged)
+        return self.spark.read.parquet(f"{self.catalog.path}/{self.catalog.part(f'_staged/{table}', staged)}")
+
+    def append_to(self, state: State, table: str, staged: DataFrame) -> Result:
+        """Puts the table's next version, with the staged rows, into the state."""
+        v = self.catalog.version(table, state)
+        numbered, count = with_ids(staged, v.next_id)
+        if any(c.name == "id" for c in v.columns):
+            numbered = numbered.withColumn("id", F.col(ROW_ID))
+        self._append(table, v, numbered.select(ROW_ID, *[c.name for c in v.columns]), count, state)
+        return Result("insert", table, affected=count, ids=[v.next_id, v.next_id + count - 1] if count else [])
 
     def _resolve(self, v: Version, df: DataFrame) -> Callable:
         return planner.Scope(df).resolve
@@ -222,24 +246,35 @@ class Database:
         values = {c: fitted(v.column(c), x) for c, x in s.values}
         if len(values) < len(s.values):
             raise QueryError("A column is set twice")
-        count = old.where(hit).count()
-        if count:
+        met = self.catalog.parts_with(v, hit)
+        if met:
             kinds = {f.name: f.dataType for f in v.schema().fields}
             literal = lambda c: F.array(*[F.lit(float(x)) for x in values[c]]).cast(kinds[c]) if isinstance(values[c], list) else F.lit(values[c]).cast(kinds[c])
-            new = old.select(*[F.when(hit, literal(c)).otherwise(F.col(f"`{c}`")).alias(c) if c in values else F.col(f"`{c}`") for c in old.columns])
-            constrained = [c for c in v.columns if c.name in values]
-            check(new, constrained, None)
-            state[s.table] = replace(v, parts=(self.catalog.part(s.table, new),))
-        return Result("update", s.table, affected=count)
+            change = lambda df: df.select(*[F.when(hit, literal(c)).otherwise(F.col(f"`{c}`")).alias(c) if c in values else F.col(f"`{c}`") for c in df.columns])
+            check(change(old), [c for c in v.columns if c.name in values], None)
+            state[s.table] = self._rewritten(s.table, v, met, change)
+        return Result("update", s.table, affected=sum(met.values()))
+
+    def _rewritten(self, table: str, v: Version, met: dict[int, int], change: Callable[[DataFrame], DataFrame]) -> Version:
+        """The version with the parts met changed, as one new part; the others stay as they are."""
+        old = replace(v, parts=tuple(v.parts[n] for n in sorted(met)))
+        rows = change(self.catalog.frame(old))
+        part = self.catalog.part(table, rows) if self.catalog.path else materialised(rows)
+        return replace(v, parts=(*(p for n, p in enumerate(v.parts) if n not in met), part))
 
     def delete(self, s: Delete, state: State) -> Result:
         v = self.catalog.version(s.table, state)
         old = self.catalog.frame(v)
+        if s.where is None:
+            count = old.count()
+            if count:
+                state[s.table] = replace(v, parts=())
+            return Result("delete", s.table, affected=count)
         hit = self._chosen(s.where, v, old)
-        count = old.where(hit).count()
-        if count:
-            state[s.table] = replace(v, parts=() if s.where is None else (self.catalog.part(s.table, old.where(~hit)),))
-        return Result("delete", s.table, affected=count)
+        met = self.catalog.parts_with(v, hit)
+        if met:
+            state[s.table] = self._rewritten(s.table, v, met, lambda df: df.where(~hit))
+        return Result("delete", s.table, affected=sum(met.values()))
 
     # -- the direct interface --
     def create_table(self, name: str, columns: Iterable[Column], if_not_exists: bool = False) -> Result:
@@ -286,10 +321,9 @@ class Database:
         if path is None or path.rstrip("/") == self.catalog.path:
             return
         target = Catalog(self.spark, path)
-        state = target.state()
-        for name, v in self.catalog.state().items():
-            state[name] = replace(v, parts=(target.part(name, self.catalog.frame(v)),) if v.parts else ())
-        target.publish(state)
+        base = target.state()
+        copies = {name: replace(v, parts=(target.part(name, self.catalog.frame(v)),) if v.parts else ()) for name, v in self.catalog.state().items()}
+        target.publish(base | copies, base)
 
 
 def replace_type(f: T.StructField) -> T.StructField:

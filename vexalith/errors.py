@@ -31,6 +31,10 @@ class ConstraintError(QueryError):
     """A UNIQUE, PRIMARY KEY or NOT NULL constraint is violated."""
 
 
+class ConflictError(EngineError):
+    """Another writer has changed the same table since the change began."""
+
+
 class TransactionError(EngineError):
     """begin, commit or rollback out of order."""
 

@@ -99,7 +99,7 @@ def rows_of(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def to_query(name: str, vector: Column, query: Sequence[float]) -> Column:
-    """The distance of a column to one vector; NULL for NULLs and other lengths."""
+    """The distance of a column to one vector; NULL for NULLs, other lengths and what is not a number."""
     kernel = metric(name)[1]
     q = np.array([list(query)], np.float64)
     if not np.isfinite(q).all() or not q.size:
@@ -111,9 +111,7 @@ def to_query(name: str, vector: Column, query: Sequence[float]) -> Column:
             at, x = rows_of(v, q.shape[1])
             out = np.full(len(v), np.nan)
             out[at] = kernel(x, q)[:, 0]
-            miss = np.ones(len(v), bool)
-            miss[at] = False
-            yield pa.array(out, mask=miss)
+            yield pa.array(out, mask=np.isnan(out))
 
     return distance(vector)
 

@@ -1,4 +1,4 @@
-"""One query per operator, over whole tables, with its SQL twin for DuckDB.
+"""One query per operator, over whole tables, with its SQL twin for DuckDB (changes: queries_changes.py).
 
 ``DIALECT`` holds statements of the dialect (run by the parser and planner); ``QUERIES`` all queries
 as (spark, sf_dir) -> DataFrame; ``ORACLE`` the twins. The twins state what the dialect means: NULL
@@ -16,9 +16,9 @@ from .client import Client
 from .database import Database
 from .functions import distance
 from .operators import accuracy, similarity
-from .operators.index import IndexConfig, IVFIndex, LSHIndex
 from .plans.ast import Delete, Insert
 from .prepared import PreparedStatement
+from .queries_changes import CHANGES
 from .sources.constraints import violations
 from .transactions import Connection
 from .types import ROW_ID, Column
@@ -117,8 +117,8 @@ DIALECT: dict[str, tuple[str, str | None]] = {
         "SELECT account_id AS a, users.id AS u FROM accounts RIGHT JOIN users ON user_id = users.id",
     ),
     "join_null_keys": (
-        "SELECT accounts.account_id AS a, products.sku AS sku FROM accounts JOIN products ON accounts.status = products.category",
-        "SELECT account_id AS a, sku FROM accounts JOIN products ON status IS NOT DISTINCT FROM category",
+        "SELECT accounts.account_id AS a, sales.sale_id AS s, sales.user_id AS u FROM accounts JOIN sales ON accounts.user_id = sales.user_id",
+        "SELECT account_id AS a, sale_id AS s, sales.user_id AS u FROM accounts JOIN sales ON accounts.user_id IS NOT DISTINCT FROM sales.user_id",
     ),
     "join_number_kinds": (
         "SELECT part.p_partkey AS p, lineitem.l_orderkey AS o FROM part JOIN lineitem ON part.p_size = lineitem.l_quantity WHERE part.p_partkey <= 20",
@@ -249,16 +249,6 @@ def distance_error(spark: SparkSession, sf_dir: str) -> DataFrame:
     return accuracy.distance_error(a, b, 5).select(F.round("distance_error", 6).alias("distance_error"))
 
 
-def ann_ivf(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = IVFIndex(load(spark, sf_dir, "embeddings"), "embedding", IndexConfig(n_probe=6))
-    return ix.search(query_vector(spark, sf_dir), 10, tie=["vec_id"]).select("vec_id", "label", "distance")
-
-
-def ann_lsh(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ix = LSHIndex(load(spark, sf_dir, "embeddings"), "embedding", IndexConfig(n_bits=6, n_tables=12))
-    return ix.search(query_vector(spark, sf_dir), 10, tie=["vec_id"]).select("vec_id", "label", "distance")
-
-
 _CUSTOMER = (Column("c_custkey", "INTEGER", unique=True), Column("c_name", "TEXT"), Column("c_nationkey", "INTEGER"), Column("c_acctbal", "FLOAT"), Column("c_mktsegment", "TEXT"))
 
 
@@ -343,9 +333,11 @@ def prepared_bind(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def point_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row by its hidden row id, as Client.get reads it."""
-    db = _customers(spark, sf_dir)
-    return db.frame("customer").where(F.col(ROW_ID) == 7).groupBy().agg(F.count(F.lit(1)).alias("n"))
+    """A row by its hidden row id, as Client.get reads it; rows are numbered in the order they are appended in."""
+    db = Database(spark)
+    db.create_table("customer", _CUSTOMER)
+    db.append("customer", load(spark, sf_dir, "customer").orderBy("c_custkey"))
+    return db.frame("customer").where(F.col(ROW_ID) == 7).drop(ROW_ID)
 
 
 def client_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -417,8 +409,6 @@ QUERIES: dict[str, Query] = {name: _dialect(sql) for name, (sql, _) in DIALECT.i
     "centroid_by_label": centroid_by_label,
     "accuracy_measures": accuracy_measures,
     "distance_error": distance_error,
-    "ann_ivf": ann_ivf,
-    "ann_lsh": ann_lsh,
     "update_then_select": update_then_select,
     "delete_then_select": delete_then_select,
     "insert_auto_id": insert_auto_id,
@@ -433,7 +423,7 @@ QUERIES: dict[str, Query] = {name: _dialect(sql) for name, (sql, _) in DIALECT.i
     "client_search": client_search,
     "vector_store_query": vector_store_query,
     "delete_and_insert": delete_and_insert,
-}
+} | {name: query for name, (query, _) in CHANGES.items()}
 
 ORACLE: dict[str, str] = {name: twin or sql for name, (sql, twin) in DIALECT.items()} | {
     "agg_sum": "SELECT round(coalesce(sum(l_quantity::double), 0.0), 2) AS s FROM lineitem",
@@ -468,9 +458,9 @@ ORACLE: dict[str, str] = {name: twin or sql for name, (sql, twin) in DIALECT.ite
     "transaction_commit": "SELECT count(*) AS n, 'within' AS at FROM customer UNION ALL SELECT count(*), 'after' FROM customer WHERE c_acctbal >= 0 AND c_custkey > 10",
     "transaction_rollback": "SELECT count(*) AS n, round(sum(c_acctbal), 2) AS s FROM customer",
     "prepared_bind": "SELECT o_orderkey, o_totalprice FROM orders WHERE o_orderstatus = 'O' AND o_totalprice BETWEEN 1000 AND 90000.5 AND o_orderpriority IN ('1-URGENT', '5-LOW')",
-    "point_lookup": "SELECT least(count(*), 1) AS n FROM customer WHERE (SELECT count(*) FROM customer) >= 7",
+    "point_lookup": "SELECT c_custkey::bigint AS c_custkey, c_name, c_nationkey::bigint AS c_nationkey, c_acctbal, c_mktsegment FROM customer ORDER BY c_custkey LIMIT 1 OFFSET 6",
     "client_search": f"SELECT vec_id, label, round(d, 6) AS distance FROM (SELECT vec_id, label, {_cos('embedding', '(SELECT embedding FROM embeddings WHERE vec_id = 1)')} AS d FROM embeddings WHERE label <> 2 AND vec_id > 1) ORDER BY d, vec_id LIMIT 10",
     "vector_store_query": f"""SELECT id, round(d, 6) AS distance FROM (SELECT id, CASE WHEN id = 2 THEN 0.0 ELSE -{_product('embedding', _Q)} END AS d
         FROM (SELECT row_number() OVER (ORDER BY vec_id) AS id, embedding FROM embeddings) WHERE id <> 1) ORDER BY d, id LIMIT 10""",
     "delete_and_insert": "SELECT 'new' AS name, 0.02::double AS distance",
-}
+} | {name: twin for name, (_, twin) in CHANGES.items() if twin}

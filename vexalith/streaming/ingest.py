@@ -6,12 +6,16 @@ the table, and not inserted twice.
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..database import Database
 from ..errors import QueryError
-from ..plans.ast import Chain, Condition, Insert, Name
+from ..plans.ast import Insert
+from ..sources.catalog import State
 from ..types import Column
 
 PROGRESS = "_ingested"
@@ -25,25 +29,22 @@ def ingest(database: Database, table: str, stream: DataFrame, checkpoint: str, n
     database.create_table(PROGRESS, [Column("stream", "TEXT"), Column("batch", "INTEGER")], if_not_exists=True)
 
     def write(rows: DataFrame, batch: int) -> None:
-        catalog = database.catalog
-        with catalog.lock:
-            done = Chain(Condition(Name("stream"), "=", (stream_name,)), (("AND", Condition(Name("batch"), "=", (batch,))),))
-            from ..functions.predicates import chain
-            from ..plans.planner import Scope
-
-            seen = catalog.read(PROGRESS)
-            if not seen.where(chain(done, Scope(seen).resolve)).isEmpty():
+        staged: list[DataFrame] = []
+
+        def add(state: State) -> None:
+            """Rows and progress in one change. Progress keeps the last batch of each stream, in one part."""
+            v = database.catalog.version(PROGRESS, state)
+            last = {r["stream"]: r["batch"] for r in database.catalog.frame(v).groupBy("stream").agg(F.max("batch").alias("batch")).collect()}
+            if last.get(stream_name, -1) >= batch:
                 return
-            publish, catalog.publish = catalog.publish, lambda state: None
-            try:  # both changes in one publication
-                states: list = []
-                catalog.publish = states.append
-                database.append(table, rows)
-                state = states[-1]
-            finally:
-                catalog.publish = publish
-            database.insert(Insert(PROGRESS, ("stream", "batch"), ((stream_name, batch),)), state)
-            catalog.publish(state)
+            if not staged:
+                staged.append(database._staged(table, database.catalog.version(table, state), rows))
+            database.append_to(state, table, staged[0])
+            last[stream_name] = batch
+            state[PROGRESS] = replace(v, parts=())
+            database.insert(Insert(PROGRESS, ("stream", "batch"), tuple(sorted(last.items()))), state)
+
+        database.changed(add)
 
     writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).queryName(stream_name)
     return (writer.trigger(**trigger) if trigger else writer).start()

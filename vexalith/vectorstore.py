@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 
 import numpy as np
@@ -13,6 +14,7 @@ from .errors import DimensionMismatchError, QueryError
 from .operators import similarity
 from .operators.index import IndexConfig, IVFIndex
 from .plans.ast import Chain, Condition, Delete, Insert, Name, Update
+from .sources.catalog import Version, checkpoint_folder
 from .types import ROW_ID, Column
 
 TABLE, VECTOR = "vectors", "vector"
@@ -26,6 +28,7 @@ class VectorStore:
             raise QueryError("The dimension must be at least 1")
         self.database = Database(spark, path)
         self.metric = metric
+        self._index: tuple[Version, IVFIndex] | None = None
         self.database.create_table(TABLE, [Column(VECTOR, "VECTOR", dimension)], if_not_exists=True)
         self.dimension = self._version().columns[0].dim
         if self.dimension != dimension:
@@ -62,9 +65,16 @@ class VectorStore:
         return similarity.nearest(self.frame(), VECTOR, vector, k, self.metric, tie="id").select("id", "distance")
 
     def query_with_probes(self, vector: Sequence[float], k: int = 10, n_probe: int = 8) -> DataFrame:
-        """As query, by an inverted-list index built over the current vectors; n_probe is the breadth."""
-        index = IVFIndex(self.frame(), VECTOR, IndexConfig(n_probe=n_probe))
-        return index.search(vector, k, metric=self.metric, tie=["id"]).select("id", "distance")
+        """As query, by an inverted-list index of the current vectors; n_probe is the breadth.
+
+        The index is stored (below the store's path, else in the checkpoint folder) at the first
+        query after a change, and read by the others.
+        """
+        version = self._version()
+        if self._index is None or self._index[0] != version:
+            place = f"{self.database.catalog.path}/_index" if self.database.catalog.path else checkpoint_folder(self.database.spark)
+            self._index = (version, IVFIndex.build(self.frame(), VECTOR, f"{place}/ivf-{uuid.uuid4().hex}", IndexConfig()))
+        return self._index[1].search(vector, k, n_probe, self.metric, ["id"]).select("id", "distance")
 
     def get(self, id_: int) -> list[float] | None:
         got = self.database.get(TABLE, id_)
