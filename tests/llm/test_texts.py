@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import os
+from collections import Counter
 from pathlib import Path
 
 import numpy as np
@@ -56,6 +57,10 @@ ITEM_A = "Every steep timbertunnel in Vestam carries 91 bronze wickumbrella mark
 ITEMS = [(1, ITEM_A)] + [(k, ITEM_A.replace("timbertunnel", f"t{k}").replace("Vestam", f"V{k}").replace("91", str(k)).replace("wickumbrella", f"u{k}").replace("wired", f"d{k}").replace("vectorbarrel", f"b{k}").replace("Jefost", f"J{k}")) for k in range(2, 9)]
 
 
+USES = Counter(w for _, t in ITEMS for w in set(L.item_words(t)))
+FIXED = np.sort(np.array([L.Coded()[w] for w, n in USES.items() if n >= 3], np.uint64))
+
+
 def srt(text: str, words: int = 6) -> str:
     w = text.split()
     cues = [" ".join(w[i : i + words]) for i in range(0, len(w), words)]
@@ -87,7 +92,7 @@ def test_leaks_are_found_in_damaged_cues(spark):
 @pytest.mark.parametrize("at", [(3, 7, 11), (2, 6, 10), (4, 8, 12), (4, 9, 13)])
 def test_passages_with_damage_at_every_fourth_or_fifth_word(change, at):
     """Fifteen words of an item with three errors: no window of five is left whole."""
-    block = L.Items([i for i, _ in ITEMS], [t for _, t in ITEMS])
+    block = L.Items([i for i, _ in ITEMS], [t for _, t in ITEMS], FIXED)
     w = ITEM_A.split()[:15]
     w = [y for k, x in enumerate(w) for y in ([x] if k not in at else {"dropped": [], "damaged": ["xx" + x], "added": ["hm", x]}[change])]
     coded = L.Coded()
@@ -95,12 +100,31 @@ def test_passages_with_damage_at_every_fourth_or_fifth_word(change, at):
     assert [(d, block.ids[i]) for d, i, _ in L.leaked_pairs(h, np.array([0, len(h)]), block)] == [(0, 1)]
 
 
-def test_blocks_of_items_change_nothing(spark, monkeypatch):
-    docs = spark.createDataFrame([(1, srt(ITEM_A)), (2, srt(ITEMS[3][1]))], "doc_id long, text string")
+@pytest.mark.parametrize("size", [1, 2, 3, 8, 50_000])
+def test_blocks_of_items_change_nothing(spark, monkeypatch, size):
+    monkeypatch.setattr(L, "ITEMS", size)
+    docs = spark.createDataFrame([(1, srt(ITEM_A)), (2, srt(ITEMS[3][1])), (3, srt(" ".join(ITEM_A.split()[:9])))], "doc_id long, text string")
+    items = spark.createDataFrame([*ITEMS, ITEMS[0]], "item_id long, text string")
+    assert {(r[0], r[1]) for r in L.leaks(docs, items).collect()} == {(1, 1), (2, 4)}
+
+
+@pytest.mark.parametrize("n", [1, 2])
+def test_a_single_item_leaks(spark, n):
+    """Without words that several items use nothing is fixed: runs of three words find the passage."""
+    w = ITEM_A.split()
+    docs = spark.createDataFrame([(1, srt(ITEM_A)), (2, srt(" ".join(x if i % 6 else "xx" + x for i, x in enumerate(w)))), (3, srt(" ".join(w[:9])))], "doc_id long, text string")
+    other = [(2, "Nothing of this second question stands anywhere in the documents that are searched here at all today")]
+    items = spark.createDataFrame([(1, ITEM_A), *other][:n], "item_id long, text string")
+    assert {(r[0], r[1]) for r in L.leaks(docs, items).collect()} == {(1, 1), (2, 1)}
+
+
+def test_places_where_an_item_is_repeated_are_cut(spark):
+    assert list(L.stretches(0, 100, 100)) == [(0, 100)]
+    parts = list(L.stretches(0, 5000, 20))
+    assert parts[-1][1] == 5000 and all(b[0] <= a[1] - L.PASSAGE * 1.3 for a, b in zip(parts, parts[1:])) and max(b - a for a, b in parts) < 250
+    docs = spark.createDataFrame([(1, srt(" ".join(ITEM_A.split()[:9]) + " " + ITEM_A)), (2, srt(" ".join([" ".join(ITEM_A.split()[:9])] * 300))), (3, srt(" ".join([" ".join(ITEM_A.split()[:9])] * 300 + [ITEM_A])))], "doc_id long, text string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    whole = {(r[0], r[1]) for r in L.leaks(docs, items).collect()}
-    monkeypatch.setattr(L, "FIXED_FROM", 1)
-    assert {(1, 1), (2, 4)} == whole
+    assert {(r[0], r[1]) for r in L.leaks(docs, items).collect()} == {(1, 1), (3, 1)}
 
 
 def test_torn_passages():

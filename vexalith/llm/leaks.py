@@ -1,6 +1,7 @@
 """Problem 7: held-out test items that leaked into documents, by template windows.
 
-Words of an item are *fixed* when many items use them, else they fill a *slot*. A text becomes
+Words of an item are *fixed* when many items use them (counted once over all items), else they fill a
+*slot*. A text becomes
 canonical by keeping its fixed words and putting a typed placeholder (number, unit, other word: a
 name or content word; capitals are no help in files all in capitals) in each slot. Windows of
 ``WINDOW`` canonical words with enough fixed ones are joined by hash between items and documents,
@@ -32,8 +33,8 @@ from .common import WORD, batches, mix, table
 
 WINDOW = 5
 FIXED_IN_WINDOW = 2
-#: Items that use a word, from which on it is fixed.
-FIXED_FROM = 3
+#: Items that use a word, from which on it is fixed: so many, and such a share of all items.
+FIXED_FROM, FIXED_SHARE = 3, 1 / 80
 PASSAGE = 15
 #: Errors a passage may hold, as a share of its words.
 DAMAGE = 0.21
@@ -121,15 +122,38 @@ def short_runs(h: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return start, w[start]
 
 
+def item_words(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def fixed_from(items: int) -> int:
+    return max(FIXED_FROM, -int(-items * FIXED_SHARE // 1))
+
+
+def fixed_words(items: DataFrame, count: int) -> np.ndarray:
+    """Sorted hashes of the words that at least fixed_from(count) items use; items: (i, t), different ones.
+
+    There are no more than 1 / FIXED_SHARE times the words of a mean item: a bound that does not grow.
+    """
+
+    def use(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coded = Coded()
+        for t in batches(rows):
+            n = Counter(h for x in t.column("t").to_pylist() for h in {coded[w] for w in item_words(x)})
+            yield pa.RecordBatch.from_arrays([pa.array(np.array(list(n), np.uint64).view(np.int64)), pa.array(list(n.values()), pa.int64())], names=["h", "n"])
+
+    got = items.select("t").mapInArrow(use, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= fixed_from(count)).select("h").collect()
+    return np.sort(np.array([r["h"] for r in got], np.int64).view(np.uint64))
+
+
 class Items:
-    """The items of one block: their words, windows sorted by hash, and the fixed words."""
+    """The items of one block: their words, windows sorted by hash, and the fixed words of all items."""
 
-    def __init__(self, ids: list[int], texts: list[str | None]):
+    def __init__(self, ids: list[int], texts: list[str | None], fixed: np.ndarray):
         coded = Coded()
         self.ids = ids
-        words = [[coded[w] for w in WORD.findall((t or "").lower())] for t in texts]
-        use = Counter(h for w in words for h in set(w))
-        self.fixed = np.array(sorted(h for h, n in use.items() if n >= FIXED_FROM), np.uint64)
+        words = [[coded[w] for w in item_words(t)] for t in texts]
+        self.fixed = fixed
         self.flat = np.array([h for w in words for h in w], np.uint64)
         self.off = np.concatenate([[0], np.cumsum([len(w) for w in words])]).astype(np.int64)
         c, f = canonical(self.flat, self.fixed)
@@ -263,6 +287,18 @@ def longest_passage(pairs: list[tuple[int, int]], damage: float = DAMAGE) -> int
     return best
 
 
+def stretches(lo: int, hi: int, item: int) -> Iterator[tuple[int, int]]:
+    """Parts of a place in which one item is aligned: any passage of the item lies within one of them.
+
+    A place is long where an item or its template is repeated; its cost stays in proportion.
+    """
+    width = int(item * (1 + DAMAGE)) + 2 * AROUND
+    while hi - lo > 3 * width:
+        yield lo, lo + 2 * width
+        lo += width
+    yield lo, hi
+
+
 def leaked_pairs(flat: np.ndarray, off: np.ndarray, items: Items) -> Iterator[tuple[int, int, int]]:
     """(document, item, words of the passage) for the batch's documents and the block's items."""
     p, it, q = items.hits(flat, off)
@@ -279,32 +315,33 @@ def leaked_pairs(flat: np.ndarray, off: np.ndarray, items: Items) -> Iterator[tu
     pieces: dict[tuple[int, int], list[tuple[int, list[tuple[int, int]]]]] = {}
     for a, b in zip(first, last):
         d, i = int(doc[a]), int(it[a])
-        lo, hi = max(off[d], p[a] - AROUND), min(off[d + 1], p[b] + WINDOW + AROUND)
-        words, item = flat[lo:hi].tolist(), items.words(i)
-        pairs = aligned(words, item)
-        n = longest_passage(pairs)
-        best[d, i] = max(n, best.get((d, i), 0))
-        for _ in range(3):  # what cues out of order have torn apart
-            if n >= PASSAGE or len(pairs) < LEAST_PIECE:
+        for lo, hi in stretches(max(off[d], p[a] - AROUND), min(off[d + 1], p[b] + WINDOW + AROUND), int(items.off[i + 1] - items.off[i])):
+            if best.get((d, i), 0) >= PASSAGE:
                 break
-            pieces.setdefault((d, i), []).append((int(lo), pairs))
-            for k, m in pairs:
-                item[k], words[m] = 0, -1
+            words, item = flat[lo:hi].tolist(), items.words(i)
             pairs = aligned(words, item)
+            n = longest_passage(pairs)
+            best[d, i] = max(n, best.get((d, i), 0))
+            while n < PASSAGE and len(pairs) >= LEAST_PIECE:  # what cues out of order have torn apart
+                pieces.setdefault((d, i), []).append((int(lo), pairs))
+                for k, m in pairs:
+                    item[k], words[m] = 0, -1
+                pairs = aligned(words, item)
     for at, parts in pieces.items():
         if best[at] < PASSAGE and len(parts) > 1:
             best[at] = max(best[at], *(pieced(parts, j) for j in range(len(parts))))
     for d, i, a, b in items.places(flat, off):
         if best.get((d, i), 0) >= PASSAGE:
             continue
-        words = flat[max(off[d], a - AROUND) : min(off[d + 1], b + SHORT + AROUND)].tolist()
-        if items.may_hold(i, words):
-            for match in (2, LOOSE):
-                pairs = aligned(words, items.words(i), match)
-                n = longest_passage(pairs)
-                if n >= PASSAGE and items.slots_agree(i, pairs):
-                    best[d, i] = max(n, best.get((d, i), 0))
-                    break
+        for lo, hi in stretches(max(off[d], a - AROUND), min(off[d + 1], b + SHORT + AROUND), int(items.off[i + 1] - items.off[i])):
+            words = flat[lo:hi].tolist()
+            if best.get((d, i), 0) < PASSAGE and items.may_hold(i, words):
+                for match in (2, LOOSE):
+                    pairs = aligned(words, items.words(i), match)
+                    n = longest_passage(pairs)
+                    if n >= PASSAGE and items.slots_agree(i, pairs):
+                        best[d, i] = max(n, best.get((d, i), 0))
+                        break
     for (d, i), n in best.items():
         if n >= PASSAGE:
             yield d, i, n
@@ -319,19 +356,22 @@ def pieced(parts: list[tuple[int, list[tuple[int, int]]]], j: int) -> int:
 def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """(doc_id, item_id, passage_words): the documents that hold a passage of an item, each pair once.
 
-    Items go to the tasks in blocks of about ITEMS; documents are read once a block and never
-    shuffled. Null, empty and short texts hold and leak nothing; repeated documents and items count
-    as one by their ids; empty tables give no rows; other columns are ignored.
+    Which words are fixed is counted once over all items. Items go to the tasks in blocks of about
+    ITEMS, which change nothing; documents are read once a block and never shuffled. Null, empty and
+    short texts hold and leak nothing; repeated documents and items count as one by their ids; empty
+    tables give no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     kinds = docs.schema[id_col].dataType.simpleString(), items.schema[item_id_col].dataType.simpleString()
+    items = items.select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t")).where("t is not null").distinct()
     count = items.count()
+    fixed = fixed_words(items, count)
     blocks = max(1, -(-count // ITEMS))
     out = None
     for b in range(blocks):
-        part = items.where(F.pmod(F.hash(F.col(item_id_col), F.col(item_text_col)), F.lit(blocks)) == b) if blocks > 1 else items
-        got = part.select(F.col(item_id_col).alias("i"), F.col(item_text_col).alias("t")).where("t is not null").collect()
-        shared = spark.sparkContext.broadcast(([r["i"] for r in got], [r["t"] for r in got]))
+        part = items.where(F.pmod(F.hash("i", "t"), F.lit(blocks)) == b) if blocks > 1 else items
+        got = part.collect()
+        shared = spark.sparkContext.broadcast(([r["i"] for r in got], [r["t"] for r in got], fixed))
 
         def find(rows: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             block, coded = None, Coded()
