@@ -83,6 +83,20 @@ def test_clusters_match_brute_force(spark):
     assert all(r["flow"] > 0 for r in flow.collect())
 
 
+def test_dense_groups_joined_by_a_few_pairs_are_one_cluster(spark):
+    """Two groups larger than a visit, which their own members use up, and a bridge between them."""
+    rng = np.random.default_rng(8)
+    a, b = np.linalg.qr(rng.normal(0, 1, (128, 2)))[0].T
+    bridge = [np.cos(t) * a + np.sin(t) * b for t in np.linspace(0, np.pi / 2, 4)]
+    noise = lambda c, n: c + 0.05 * rng.normal(0, 1, (n, 128))
+    x = np.concatenate([noise(a, 400), noise(b, 400), np.stack(bridge), rng.normal(0, 1, (600, 128))])
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(4)
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    pairs = np.argwhere(np.triu(np.round(u @ u.T, 6) >= 0.7, 1))
+    members, _ = similarity_clusters(df, visit=60)
+    assert {r["id"]: r["cluster_id"] for r in members.collect()} == brute.grouped(pairs.tolist())
+
+
 def fitted(x, k, heavy=()):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)
     none = np.zeros(0, np.int64)

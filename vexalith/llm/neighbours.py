@@ -115,8 +115,11 @@ class MultiIndex:
             out[:, k] = self.first[n] + (code ^ change)
         return out
 
-    def probes(self, u: np.ndarray, visit: int) -> tuple[np.ndarray, np.ndarray]:
-        """(query, cell), sorted by query, for all cells that each query goes through."""
+    def probes(self, u: np.ndarray, visit: int, own: np.ndarray | None = None, pure: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(query, cell), sorted by query, for all cells that each query goes through.
+
+        own: a label of each query; cells whose vectors all have it (pure) are passed over like empty ones.
+        """
         a, b = self.halves(u)
         fx, fy = a.argsort(1, kind="stable"), b.argsort(1, kind="stable")
         x, y = np.take_along_axis(a, fx, 1), np.take_along_axis(b, fy, 1)
@@ -134,6 +137,8 @@ class MultiIndex:
                 near = np.take_along_axis(near, np.take_along_axis(sums, near, 1).argsort(1), 1)
                 cell = np.take_along_axis(fx[q], i[near], 1) * len(self.right) + np.take_along_axis(fy[q], j[near], 1)
                 size = self.counted(self.size[cell], visit)
+                if own is not None:
+                    size = np.where(pure[cell] == own[q][:, None], 0, size)
                 before = np.cumsum(size, 1) - size
                 done = (before[:, -1] + size[:, -1] >= visit) | whole
                 r, c = np.nonzero((size > 0) & (before < visit) & done[:, None])
@@ -142,7 +147,8 @@ class MultiIndex:
                 still.append(q[~done])
             left, pops = np.concatenate(still), pops * 4
         for q in left:
-            found = self.walked(x[q].tolist(), y[q].tolist(), fx[q], fy[q], visit)
+            skip = None if own is None else pure == own[q]
+            found = self.walked(x[q].tolist(), y[q].tolist(), fx[q], fy[q], visit, skip)
             rows.append(np.full(len(found), q))
             cells.append(found)
         row, out = np.concatenate(rows), np.concatenate(cells)
@@ -160,14 +166,14 @@ class MultiIndex:
         """What cells use up of a visit."""
         return np.minimum(size, max(1, visit // CROWD))
 
-    def walked(self, da: list[float], db: list[float], fa: np.ndarray, fb: np.ndarray, visit: int) -> np.ndarray:
+    def walked(self, da: list[float], db: list[float], fa: np.ndarray, fb: np.ndarray, visit: int, skip: np.ndarray | None = None) -> np.ndarray:
         """The cells of one query, in the order of summed distance (in single precision), by a heap of pairs."""
         add = lambda i, j: (float(np.float32(da[i] + db[j])), i, j)
         heap, out, left = [add(0, 0)], [], visit
         while heap and left > 0:
             _, i, j = heappop(heap)
             cell = int(fa[i]) * len(self.right) + int(fb[j])
-            if self.size[cell]:
+            if self.size[cell] and not (skip is not None and skip[cell]):
                 out.append(cell)
                 left -= int(self.counted(self.size[cell], visit))
             if j + 1 < len(db):
@@ -330,12 +336,16 @@ def reached(q: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
-    """Blocks by bucket and part: classes with their vectors, ids of class members at home, cells to go through."""
-    shared = docs.sparkSession.sparkContext.broadcast(astuple(index))
+def routed(docs: DataFrame, index: MultiIndex, visit: int, pure: np.ndarray | None = None) -> DataFrame:
+    """Blocks by bucket and part: classes with their vectors, ids of class members at home, cells to go through.
+
+    pure: label of the cells whose vectors all have it, else -1. Then docs has a column label, only
+    rows with one ask, and they pass over the cells that are purely of their own.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((astuple(index), pure))
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix = MultiIndex(*shared.value)
+        ix, pure = MultiIndex(*shared.value[0]), shared.value[1]
         most = int(ix.parts.max())
         for t in batches(rows, BLOCK_ROWS):
             at, x = vectors(t.column("embedding"))
@@ -353,7 +363,13 @@ def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
             entries["h"], entries["x"] = h[first], code[first]
             u = unit(code[first])
             home = ix.bucket[ix.cells(u)].astype(np.int64)
-            q, cell = ix.probes(u, visit)
+            if pure is None:
+                q, cell = ix.probes(u, visit)
+            else:
+                label = t.column("label").fill_null(-1).to_numpy()[at][first]
+                asking = np.flatnonzero(label >= 0)
+                q, cell = ix.probes(u[asking], visit, label[asking], pure)
+                q = asking[q]
             to = ix.bucket[cell].astype(np.int64)
             if len(ix.parts) > REACH:
                 keep = reached(q, to, ix.size[cell])
@@ -379,7 +395,7 @@ def routed(docs: DataFrame, index: MultiIndex, visit: int) -> DataFrame:
                 parts = (entries[used], members, counts, cells.astype(np.int64), number)
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([p], pa.int32())] + [pa.array([v.tobytes()], pa.binary()) for v in parts], schema=BLOCK)
 
-    return docs.select("id", "embedding").mapInArrow(emit, BLOCK_SQL)
+    return docs.select("id", "embedding", *(["label"] if pure is not None else [])).mapInArrow(emit, BLOCK_SQL)
 
 
 @dataclass
