@@ -179,13 +179,24 @@ def test_addresses_in_cues_whatever_the_line_ends(text, end):
     cues = [f"{n}{end}00:00:0{n},000 --> 00:00:0{n},500{end}{x}{end}{end}" for n, x in enumerate(["No.", text, "Yes."], 1)]
     v = "".join(cues)
     whole = {m.span() for p in pii._ADDRESSES for m in p.finditer(v)}
-    assert len(whole) == 1 and set(pii._addresses(v, v.lower())) == whole
+    assert len(whole) == 1 and set(pii._addresses(v, pii._without_cues(v))) == whole
 
 
 @pytest.mark.parametrize("text", ["I live at 12 Oak St, Apt 4", "I live at 12 Oak Sq, Unit 4", "He is at 12 Oak Hwy now", "J'habite 4 av. Tisserolles", "Go to 12\nOak Street"])
 def test_the_signs_of_an_address_are_those_of_its_patterns(text):
     whole = {m.span() for p in pii._ADDRESSES for m in p.finditer(text)}
-    assert whole and set(pii._addresses(text, text.lower())) == whole
+    assert whole and set(pii._addresses(text, text)) == whole
+
+
+@pytest.mark.parametrize("local", ["a" * 200, "first.second+" + "x" * 150, "я" * 120])
+def test_mail_of_any_length_comes_out_whole(local):
+    mail = f"{local}@{'sub.' * 40}example.org"
+    assert [(k, f"Write: {mail}."[a:b]) for k, a, b in spans(f"Write: {mail}.")] == [("email", mail)]
+
+
+def test_a_number_does_not_run_into_the_next_cue():
+    text = "00:02:06,540 --> 00:02:08,931\r\nTel. +44 20 7946 0721\r\n\r\n20\r\n00:02:09,232 --> 00:02:10,000\r\nHi"
+    assert [text[a:b] for _, a, b in spans(text)] == ["+44 20 7946 0721"]
 
 
 @pytest.mark.parametrize("text", ["walter (ät) example.org", "walter (ät) example (point) org"])

@@ -182,33 +182,44 @@ _SPELT = (
     re.compile(rf"{_LOCAL}{_MARK}[\w-]+(?:(?:{_DOT}|\.)[\w-]+)+", re.I),
     re.compile(rf"{_LOCAL}{_SP}(?:at|arroba|@){_SP}[\w-]+(?:{_DOT}[\w-]+)+", re.I),
 )
-_SPELT_SIGNS = ("dot", "punto", "punkt", "(", "[", "{", "<")
-_SPELT_SIGN = re.compile(rf"\bdot\b|\bpunto\b|\bpunkt\b|[\[({{<]{_OPT}(?:at|arroba|ät|dot|punto|point|punkt){_OPT}[\])}}>]", re.I)
+_SPELT_WORDS = ("dot", "punto", "punkt")
+_SPELT_WORD = re.compile(r"\b(?:dot|punto|punkt)\b")
+_SPELT_BRACKET = re.compile(rf"[\[({{<]{_OPT}(?:at|arroba|ät|dot|punto|point|punkt){_OPT}[\])}}>]")
+
+
+def _local_start(v: str, at: int) -> int:
+    """Where the run of characters that a local part can consist of, before the sign at ``at``, begins."""
+    i = at
+    while i > 0 and v[i - 1] in " \t\r\n":
+        i -= 1
+    while i > 0 and (v[i - 1].isalnum() or v[i - 1] in "_+.-"):
+        i -= 1
+    return i
 
 
 def _mails(v: str, low: str) -> Iterator[tuple[int, int]]:
     at = v.find("@")
     while at >= 0:
         here, at = at, v.find("@", at + 1)
-        for m in _MAIL.finditer(v, max(0, here - 80), min(len(v), here + 120)):
-            if not m.start() < here < m.end():
-                continue
-            domain = v[m.start() : m.end()].rpartition("@")[2].strip()
-            end = m.end()
-            if domain.rpartition(".")[2].lower() not in _TOP and "@" in m.group().split()[0]:
-                next_ = end
-                for _ in range(3):
-                    tail = _MAIL_TAIL.match(v, next_)
-                    if not tail:
-                        break
-                    next_ = tail.end()
-                    if tail.group(1).lower() in _TOP:
-                        end = next_
-                        break
-            if "." not in domain and end == m.end():
-                continue
-            yield m.start(), end
-    if any(x in low for x in _SPELT_SIGNS) and _SPELT_SIGN.search(low):
+        m = _MAIL.search(v, _local_start(v, here), len(v) if at < 0 else at)
+        if not m or not m.start() < here < m.end():
+            continue
+        domain = v[m.start() : m.end()].rpartition("@")[2].strip()
+        end = m.end()
+        if domain.rpartition(".")[2].lower() not in _TOP and "@" in m.group().split()[0]:
+            next_ = end
+            for _ in range(3):
+                tail = _MAIL_TAIL.match(v, next_)
+                if not tail:
+                    break
+                next_ = tail.end()
+                if tail.group(1).lower() in _TOP:
+                    end = next_
+                    break
+        if "." not in domain and end == m.end():
+            continue
+        yield m.start(), end
+    if (any(x in low for x in _SPELT_WORDS) and _SPELT_WORD.search(low)) or _SPELT_BRACKET.search(low):
         for pattern in _SPELT:
             for m in pattern.finditer(v):
                 yield m.start(), m.end()
@@ -240,8 +251,8 @@ _SHAPES = (
     ("phone", re.compile(r"999[ -]999[ -]999|999 99 99 99|9{9,10}"), 0.4),
 )
 _WORDED = re.compile("|".join(rf"(?<!\w)(?:{w})(?:[-, ]{{1,2}}(?:\r?\n)?(?:{w})){{6,14}}(?!\w)" for w in DIGIT_WORDS.values()), re.I)
-_WORD_PAIRS = tuple(re.compile(rf"(?:{w})-(?:{w})[-, ]|(?:{w}),? (?:{w}),? (?:{w})[-, ]") for w in DIGIT_WORDS.values())
-_DIGIT_WORDS = tuple(tuple(w.split("|")) for w in DIGIT_WORDS.values())
+_DIGIT_WORDS = frozenset(x for w in DIGIT_WORDS.values() for x in w.split("|"))
+_BETWEEN_WORDS = re.compile(r"[-, \r\n]+")
 
 
 def luhn(digits: str) -> bool:
@@ -305,8 +316,10 @@ def _number_kind(v: str, start: int, raw: str) -> str | None:
     return best[1] if best and best[0] >= ACCEPT else None
 
 
-def _numbers(v: str, low: str) -> Iterator[tuple[str, int, int]]:
-    for m in _RUN.finditer(v):
+def _numbers(v: str, low: str, plain: str) -> Iterator[tuple[str, int, int]]:
+    """plain: v without the numbers and timings of cues, all else in its place."""
+    near = list(_around_digits(plain, _NUMBER_REACH))
+    for m in (m for a, b in near for m in _RUN.finditer(plain, a, b)):
         whole = m.group()
         if sum(c.isdigit() for c in whole) < 4:
             continue
@@ -316,14 +329,15 @@ def _numbers(v: str, low: str) -> Iterator[tuple[str, int, int]]:
                     raw = raw[:-1]
                 yield kind, m.start(), m.start() + len(raw)
                 break
-    for sign in _CODED.finditer(v):
+    for sign in (m for a, b in near for m in _CODED.finditer(plain, a, b)):
         if m := _LETTERED.match(v, sign.start()):
             if 0.6 + _context(v, m.start(), "id_number") >= ACCEPT:
                 yield "id_number", m.start(), m.end()
         if m := _IBAN.match(v, sign.start()):
             if len(s := m.group().replace(" ", "")) >= 15 and mod97(s):
                 yield "id_number", m.start(), m.end()
-    if any(sum(map(low.count, words)) > 6 and _WORD_PAIRS[n].search(low) for n, words in enumerate(_DIGIT_WORDS)):
+    # Seven words or more: all but the first and the last stand between what divides them.
+    if sum(map(_DIGIT_WORDS.__contains__, _BETWEEN_WORDS.split(low))) >= 5:
         for m in _WORDED.finditer(v):
             yield "phone", m.start(), m.end()
 
@@ -353,50 +367,53 @@ _SIGNS = (
 )
 
 
-#: Characters before and after a word for a street that can belong to the address.
-_REACH = 90
-#: The number and timing of a cue after an empty line: none of its digits can belong to an address.
-_CUE = re.compile(r"(?:\A|\n[ \t]*\n)(?:[ \t]*\d+[ \t]*\n)?[ \t]*\d+(?:[:.,]\d+)+[ \t]*-+>[ \t]*\d+(?:[:.,]\d+)+")
+#: Characters before and after a digit that can belong to the number or address it is part of.
+_NUMBER_REACH, _REACH = 40, 180
+#: The timing of a cue, and its number after an empty line: none of the digits can belong to a span.
+_TIMING = re.compile(r"\d+(?:[:.,]\d+)+[ \t]*-+>[ \t]*\d+(?:[:.,]\d+)+")
+_CUE_NUMBER = re.compile(r"(?:\A|\n[ \t]*\n)[ \t]*\d+[ \t]*\n[ \t]*\Z")
 _DIGIT = re.compile(r"\d")
 
 
-def _without_cues(low: str) -> str:
-    """The text with line ends as \\n and blanks for the numbers and timings of cues, all in their places."""
-    if "\r" in low:
-        low = low.replace("\r\n", " \n").replace("\r", "\n")
-    return _CUE.sub(lambda m: "\n" * len(m.group()), low)
-
-
-def _windows(plain: str, signs: tuple[str, ...]) -> Iterator[tuple[int, int]]:
-    """Stretches around the signs that hold a digit outside of cue numbers and timings, overlapping
-    ones as one. plain: the text as _without_cues gives it."""
-    at = []
-    flat = plain.replace("\n", " ").replace("\t", " ")
-    for sign in signs:
-        i = flat.find(sign)
-        while i >= 0:
-            at.append(i)
-            i = flat.find(sign, i + 1)
-    at.sort()
-    last = -1
-    for n, i in enumerate(at):
-        if i < last:
-            continue
-        a, b = max(0, i - _REACH), i + _REACH
-        while n + 1 < len(at) and at[n + 1] < b:
-            n += 1
-            b = at[n] + _REACH
-        last = b
-        if _DIGIT.search(plain, a, b):
-            yield a, b
-
-
-def _addresses(v: str, low: str) -> Iterator[tuple[int, int]]:
-    plain = _without_cues(low)
-    for pattern, signs in zip(_ADDRESSES, _SIGNS):
-        for a, b in _windows(plain, signs) if len(low) == len(v) else [(0, len(v))]:
-            for m in pattern.finditer(v, a, min(len(v), b + _REACH)):
-                yield m.start(), m.end()
+def _without_cues(v: str) -> str:
+    """The text with line ends as \\n in place of the numbers and timings of cues, all in their places."""
+    if "\r" in v:
+        v = v.replace("\r\n", " \n").replace("\r", "\n")
+    if "->" not in v:
+        return v
+    out, last = [], 0
+    for m in _TIMING.finditer(v):
+        a = m.start()
+        if number := _CUE_NUMBER.search(v, max(last, a - 32), a):
+            a = number.start()
+        out += (v[last:a], "\n" * (m.end() - a))
+        last = m.end()
+    out.append(v[last:])
+    return "".join(out)
+
+
+def _around_digits(plain: str, reach: int) -> Iterator[tuple[int, int]]:
+    """Stretches around the digits, overlapping ones as one."""
+    a, b = 0, -1
+    for m in _DIGIT.finditer(plain):
+        i = m.start()
+        if b < 0 or i - reach > b:
+            if b >= 0:
+                yield a, b
+            a = max(0, i - reach)
+        b = i + reach
+    if b >= 0:
+        yield a, b
+
+
+def _addresses(v: str, plain: str) -> Iterator[tuple[int, int]]:
+    """plain: v without the numbers and timings of cues, all else in its place."""
+    for a, b in _around_digits(plain, _REACH):
+        low = plain[a:b].lower().replace("\n", " ").replace("\t", " ")
+        for pattern, signs in zip(_ADDRESSES, _SIGNS):
+            if any(sign in low for sign in signs):
+                for m in pattern.finditer(v, a, b):
+                    yield m.start(), m.end()
 
 
 # ---- Names ----
@@ -456,15 +473,24 @@ def _introduced(before: str) -> bool:
     return (word in _TITLES and bool(_TITLE.search(before))) or (word in _INTRODUCING and bool(_LABEL.search(before)))
 
 
+#: What can stand after the first word of a name; the small letters that begin no particle.
+_AFTER_NAME = frozenset(" \t\r\n,")
+_NO_NAME = frozenset("abcdefghijklmnopqrstuvwxyzäöüßáéíóúñàâçèêîôûабвгдежзийклмнопрстуфхцчшщыэюяё") - {p[0] for p in _PARTICLES}
+
+
 def _names(v: str) -> Iterator[tuple[int, int]]:
     last = -1
     for m in _WORD.finditer(v):
         if m.start() < last:
             continue
+        next_ = v[m.end() : m.end() + 1]
+        if next_ not in _AFTER_NAME:
+            continue  # the last word before a mark: nothing follows that could complete a name
         w = m.group()
-        folded = _fold(w)
-        given = _GIVEN[folded]
-        comma = v[m.end() : m.end() + 1] == ","
+        given = _GIVEN[_fold(w)]
+        comma = next_ == ","
+        if not given and next_ == " " and v[m.end() + 1 : m.end() + 2] in _NO_NAME:
+            continue
         before = v[max(0, m.start() - 32) : m.start()]
         if not given and not _introduced(before):
             # family name first: "Family, Given"
@@ -515,8 +541,9 @@ def spans(text: str | None) -> list[tuple[str, int, int]]:
     v, at = view_of(text)
     low = v.lower()
     found: list[tuple[str, int, int]] = [("email", a, b) for a, b in _mails(v, low)]
-    found += _numbers(v, low)
-    found += [("address", a, b) for a, b in _addresses(v, low)]
+    plain = _without_cues(v)
+    found += _numbers(v, low, plain)
+    found += [("address", a, b) for a, b in _addresses(v, plain)]
     found += [("person", a, b) for a, b in _names(v)]
     found.sort(key=lambda s: (KINDS.index(s[0]), s[1], -s[2]))
     kept: list[tuple[str, int, int]] = []
