@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from vexalith.llm import alike, history
@@ -60,6 +61,31 @@ def test_hot_signatures_lose_nothing(spark, monkeypatch):
     assert refusals_of(df) == brute.refused(pairs)
 
 
+@pytest.mark.parametrize("large", [8, 1 << 20])
+def test_tiles_of_hot_signatures_lose_nothing(spark, monkeypatch, large):
+    """Inverted lists, and second looks, with more pairs than a tile: parts of 4 classes, each two of them a task."""
+    for name, value in (("HOT", 4), ("LINKS", 2), ("TILE", 4)):
+        monkeypatch.setattr(alike, name, value)
+    monkeypatch.setattr(alike, "large_from", lambda cells: large)
+    rows = similar_docs(12, 60, hot=40)
+    df = spark.createDataFrame(rows, SCHEMA)
+    pairs = brute.alike_pairs(rows)
+    assert groups_of(df) == brute.grouped(pairs)
+    assert refusals_of(df) == brute.refused(pairs)
+
+
+def test_packed_rows_follow_the_signatures_not_the_buckets():
+    rng = np.random.default_rng(3)
+    rows, sig = np.zeros(500, alike.TEXT_ROW), rng.integers(0, 1 << 63, 4000).astype(np.uint64)
+    for buckets in (8, 1000, 200_000):
+        packer = alike.Packer(alike.TEXT, buckets)
+        packer.add(np.repeat(np.arange(500), 8), sig)
+        got = list(packer.pack(rows))
+        assert len(got) <= min(buckets, 4000)
+        assert sum(len(b.column("sigs")[0].as_py()) // 4 for b in got) == 4000
+        assert sum(len(b.column("rows")[0].as_py()) // alike.TEXT_ROW.itemsize for b in got) <= 4000
+
+
 def test_many_copies_are_one_class(spark):
     text = " ".join(f"word{i}" for i in range(20))
     rows = [(i, [1.0] * 127 + [float(i % 2)], text, None, i // 50, 0, "", 0, 0) for i in range(1, 400)]

@@ -170,6 +170,23 @@ def test_spans(text, want):
     assert got == want
 
 
+#: Names of no list of the operator, after a verb that takes a person; and what looks like them and is none.
+HELD_OUT = [
+    ("Do you know {}?", "Priya Raghunathan"), ("Yesterday I met {} there.", "Gavin Torrance"), ("I'm {}.", "Malcolm Penrose"), ("Ask {} about it.", "Siobhan O'Leary"), ("Tu connais {} ?", "Romain Delacourt"),
+    ("I told {} twice.", "Kwame Asantehene"), ("He's called {} now", "Tobiah McAllister"), ("¿Conoces a la hermana? Conozco {}.", "Yolanda Berriatúa"), ("Soy {}, de Bilbao", "Aitor Goikoetxea"), ("Pregunta, me llamo {}.", "Nerea Uribarri"),
+    ("Ich kenne {} nicht.", "Detlef Wagenknecht"), ("Ich heiße {}.", "Swantje Petersen"), ("Je connais {} depuis", "Gwenaëlle Kerbrat"), ("Je m'appelle {}", "Thibault Lemonnier"), ("Ты знаешь {}?", "Игнат Соболев"), ("Меня зовут {}.", "Таисия Вольская"),
+    ("Mr. {} called.", "Osric Fenwick-Hale"), ("Translated by {}", "Ludmilla Vantongeren"), ("the man with {} yesterday", "Zebulon Harrowgate"), ("and so did {} today", "Ottoline Fairweather"),
+]
+NO_NAMES = ["I know New York well.", "He met White House staff.", "They called Central Park closed.", "Ich kenne Guten Morgen.", "We saw Big Ben.", "You know Monday Night is bad", "I ASKED JOHNNY WALKER", "Tell The Captain now", "I met Doctor Who"]
+
+
+def test_names_of_no_list_are_found_by_shape_and_context():
+    found = [(s.format(n), [s.format(n)[a:b] for k, a, b in spans(s.format(n)) if k == "person"], n) for s, n in HELD_OUT]
+    assert sum(got == [n] for _, got, n in found) >= 18, [f for f in found if f[1] != [f[2]]]
+    wrong = [(t, [t[a:b] for _, a, b in spans(t)]) for t in NO_NAMES if spans(t)]
+    assert len(wrong) <= 1, wrong
+
+
 ADDRESSES = ["I live at 163 Nettle Avenue.", "Vivo en Calle Faroles, 140.", "Ich wohne Drosselbergstraße 349.", "J'habite 43, avenue du Tisserolles.", "Я живу: ул. Озерницкая, д. 868."]
 
 

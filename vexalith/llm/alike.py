@@ -18,7 +18,9 @@ below one in a thousand, and it falls steeply above it.
 
 Records with equal words, or equal vectors, are one class: a block keeps one of them, so a group of
 copies of any size adds one signature set per block. A signature shared by more than ``HOT`` classes
-yields a star first and is gone through again, against what is decided by then.
+yields a star first and is gone through again, against what is decided by then. Where more pairs of
+one signature must be compared than one task should (``TILE`` times ``TILE``), its classes are cut
+into parts, and each two parts are one task of a further stage.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLOCK_ROWS, DIM, WordHash, batches, buckets_for, cut, mix, occurrence_numbers, unit, vectors, word_rows, words
+from .common import DIM, WordHash, batches, buckets_for, cut, mix, occurrence_numbers, runs, unit, vectors, word_rows, words
 
 LEAST_WORDS = 8
 SHARE = 0.80
@@ -42,8 +44,8 @@ COUNTER = 1 << 18
 HOT = 4096
 #: Pairs with earlier classes that a class yields in one signature; more wait for the second look.
 LINKS = 64
-#: Pairs compared at once.
-CHUNK = 1 << 20
+#: Pairs compared at once; classes of a signature from which on its pairs are shared out in tiles of as many.
+CHUNK, TILE = 1 << 20, 8192
 TEXT, LIST, VEC, COPY, LINK = 0, 1, 2, 3, 4
 TEXT_ROW = np.dtype([("id", "<i8"), ("label", "<i8"), ("h", "<u8"), ("n", "<i4"), ("s", "<u8", (2,))])
 VEC_ROW = np.dtype([("id", "<i8"), ("label", "<i8"), ("h", "<u8"), ("s", "<u8", (8,))])
@@ -52,6 +54,9 @@ BLOCK = pa.schema([("kind", pa.int32()), ("bucket", pa.int32()), ("rows", pa.bin
 BLOCK_SQL = "kind int, bucket int, rows binary, sigs binary, idx binary"
 PAIRS = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64())])
 PAIRS_SQL = "kind int, a long, b long"
+#: Pairs, or with a run: a part of its classes that waits for its tiles.
+FOUND = pa.schema([*PAIRS, ("run", pa.int64()), ("part", pa.int32()), ("parts", pa.int32()), ("rows", pa.binary())])
+FOUND_SQL = PAIRS_SQL + ", run long, part int, parts int, rows binary"
 
 
 def needed(n: np.ndarray) -> np.ndarray:
@@ -159,6 +164,11 @@ def first_of_class(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.sort(order[new]), first
 
 
+def bucket_of(sig: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of each signature; in 16 bits, which sort fastest, where they suffice."""
+    return ((sig >> np.uint64(33)) % np.uint64(buckets)).astype(np.uint16 if buckets < 1 << 16 else np.int64)
+
+
 class Packer:
     """Collects one block's signatures and writes them by bucket."""
 
@@ -176,17 +186,11 @@ class Packer:
             return
         sig, idx = np.concatenate(self.sig), np.concatenate(self.idx)
         self.sig, self.idx = [], []
-        to = ((sig >> np.uint64(40)) % np.uint64(self.buckets)).astype(np.uint16)
-        order = np.argsort(to, kind="stable")
-        cuts = np.searchsorted(to[order], np.arange(self.buckets + 1))
-        for b in range(self.buckets):
-            part = order[cuts[b] : cuts[b + 1]]
-            if len(part):
-                used = np.zeros(len(rows), bool)
-                used[idx[part]] = True
-                local = (np.cumsum(used) - 1).astype(np.uint16)
-                s = (sig[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-                yield block(self.kind, b, rows[used], s, local[idx[part]])
+        # Sorted once: the work follows the signatures, not the number of buckets.
+        for b, part in runs(bucket_of(sig, self.buckets)):
+            used, local = np.unique(idx[part], return_inverse=True)
+            s = (sig[part] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
+            yield block(self.kind, b, rows[used], s, local.astype(np.uint16))
 
 
 def block(kind: int, bucket: int, rows: np.ndarray, sigs: np.ndarray, idx: np.ndarray) -> pa.RecordBatch:
@@ -202,8 +206,8 @@ def copies(rows: np.ndarray, kind: int, bucket: int, buckets: int) -> Iterator[p
         yield block(LINK, bucket % buckets, np.stack([rows["id"][first[other]], rows["id"][other]]), np.array([kind], np.int64), np.zeros(0, np.uint16))
     h = rows["h"][keep]
     to = (h % np.uint64(buckets)).astype(np.int64)
-    for b in np.unique(to):
-        yield block(COPY, int(b), np.stack([h[to == b].view(np.int64), rows["id"][keep][to == b]]), np.array([kind], np.int64), np.zeros(0, np.uint16))
+    for b, at in runs(to):
+        yield block(COPY, b, np.stack([h[at].view(np.int64), rows["id"][keep][at]]), np.array([kind], np.int64), np.zeros(0, np.uint16))
 
 
 def subset_signatures(rows: np.ndarray, n, row, h, token, cells: np.ndarray, large: int, small: Packer, lists: Packer) -> None:
@@ -271,8 +275,9 @@ def run_partners(first: np.ndarray, last: np.ndarray) -> Iterator[tuple[np.ndarr
         at = to
 
 
-def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray, large: int, again: str | None) -> tuple[np.ndarray, bool]:
-    """(distinct candidate pairs (less id, greater id), whether a hot signature waits for a second look).
+def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray, large: int, again: str | None) -> tuple[np.ndarray, bool, list[tuple[int, np.ndarray]]]:
+    """(distinct candidate pairs (less id, greater id), whether a hot signature waits for a second look,
+    (signature, rows) of those left to tiles).
 
     again None: all pairs of a signature's classes, or of a hot one the star around its least id.
     again "labels": hot signatures only, pairs whose labels differ. again "kept": hot signatures
@@ -286,7 +291,7 @@ def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray,
     in_run[:-1] |= same[1:]
     s, k = s[in_run], k[in_run]
     if not len(s):
-        return empty, False
+        return empty, False, []
     ids, hs = rows["id"], rows["h"]
     order = np.lexsort((ids[k], hs[k], s))  # one entry a class, the least id
     s, k = s[order], k[order]
@@ -301,19 +306,31 @@ def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray,
     length = np.diff(np.append(start, len(s)))
     end = np.repeat(start + length, length)
     hot = np.repeat(length > (HOT if again is None else min(HOT, LINKS)), length) & (kind != LIST) | (again == "new")
+    # A signature with too many pairs to compare leaves them to tiles.
+    if again == "labels":
+        key = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (label[k][1:] != label[k][:-1])]))
+        size = np.diff(np.append(key, len(s)))
+        same_label = np.add.reduceat(size * size, np.searchsorted(key, start))
+        work = np.where(hot[start], (length * length - same_label) // 2, 0)
+    elif again:
+        odd = np.add.reduceat((label[k] == 1).astype(np.int64), start)
+        work = np.where(hot[start], odd * length, 0)
+    else:
+        work = np.where(kind == LIST, length * length // 2, 0)
+    heavy = np.flatnonzero(work > TILE * TILE)
+    tiles = [(int(s[start[r]]), rows[k[start[r] : start[r] + length[r]]]) for r in heavy]
+    tiled = np.repeat(work > TILE * TILE, length)
     links = np.zeros(len(s), np.int64)
     here = np.arange(len(s))
     if again is None:
         hot_seen = bool(hot.any())
-        last = np.where(hot & (here != np.repeat(start, length)), here + 1, end)
+        last = np.where(tiled | (hot & (here != np.repeat(start, length))), here + 1, end)
         jobs = run_partners(here + 1, last)
     elif again == "labels":
-        key = np.flatnonzero(np.concatenate([[True], (s[1:] != s[:-1]) | (label[k][1:] != label[k][:-1])]))
-        size = np.diff(np.append(key, len(s)))
-        jobs = run_partners(np.repeat(key + size, size), np.where(hot, end, 0))
+        jobs = run_partners(np.repeat(key + size, size), np.where(hot & ~tiled, end, 0))
     else:  # kept: those with an odd label come last in a run
         begin = np.repeat(start, length)
-        jobs = run_partners(begin, np.where(hot & (label[k] == 1), here, 0))
+        jobs = run_partners(begin, np.where(hot & ~tiled & (label[k] == 1), here, 0))
     found: list[np.ndarray] = []
     for i, j in jobs:
         x, y = k[i], k[j]
@@ -332,7 +349,33 @@ def bucket_pairs(kind: int, rows: np.ndarray, sig: np.ndarray, idx: np.ndarray,
         if ok.any():
             p, q = ids[x[ok]], ids[y[ok]]
             found.append(np.unique(np.stack([np.minimum(p, q), np.maximum(p, q)]), axis=1))
-    return (np.unique(np.concatenate(found, 1), axis=1) if found else empty), hot_seen
+    return (np.unique(np.concatenate(found, 1), axis=1) if found else empty), hot_seen, tiles
+
+
+def tile_pairs(large: int, again: str | None):
+    """The candidate pairs between two parts of a signature's classes, or within one."""
+
+    def task(t: pa.Table) -> pa.Table:
+        kind, i, j = (t.column(c)[0].as_py() for c in ("kind", "i", "j"))
+        part = {p: np.frombuffer(x, VEC_ROW if kind == VEC else TEXT_ROW) for p, x in zip(t.column("part").to_pylist(), t.column("rows").to_pylist())}
+        rows = part[i] if i == j else np.concatenate([part[i], part[j]])
+        n = len(part[i])
+        here = np.arange(n)
+        found = [np.zeros((2, 0), np.int64)]
+        for x, y in run_partners(here + 1 if i == j else np.full(n, n), np.full(n, len(rows))):
+            ok = like_sketch(kind, rows, x, y)
+            if kind == LIST:
+                ok &= (rows["n"][x] >= large) | (rows["n"][y] >= large)
+            if again == "labels":
+                ok &= rows["label"][x] != rows["label"][y]
+            elif again:
+                ok &= (rows["label"][x] | rows["label"][y]) & 1 == 1
+            p, q = rows["id"][x[ok]], rows["id"][y[ok]]
+            found.append(np.stack([np.minimum(p, q), np.maximum(p, q)]))
+        a, b = np.concatenate(found, 1)
+        return pa.table({"kind": pa.array(np.full(len(a), VEC if kind == VEC else TEXT), pa.int32()), "a": pa.array(a), "b": pa.array(b)}, schema=PAIRS)
+
+    return task
 
 
 def pairs_of_bucket(large: int, again: str | None):
@@ -341,6 +384,7 @@ def pairs_of_bucket(large: int, again: str | None):
         rows, sigs, idxs = (t.column(c).to_pylist() for c in ("rows", "sigs", "idx"))
         kinds: list[np.ndarray] = []
         pairs: list[np.ndarray] = []
+        tiles: list[tuple[int, np.ndarray]] = []
         if kind in (LINK, COPY):
             two = [np.frombuffer(x, np.int64).reshape(2, -1) for x in rows]
             of = np.concatenate([np.full(x.shape[1], np.frombuffer(s, np.int64)[0]) for x, s in zip(two, sigs)])
@@ -358,14 +402,20 @@ def pairs_of_bucket(large: int, again: str | None):
             base = np.cumsum([0] + [len(x) for x in kind_rows[:-1]])
             idx = np.concatenate([np.frombuffer(x, np.uint16).astype(np.int64) + o for x, o in zip(idxs, base)])
             sig = np.concatenate([np.frombuffer(x, np.uint32) for x in sigs])
-            got, hot = bucket_pairs(kind, np.concatenate(kind_rows), sig, idx, large, again)
+            got, hot, tiles = bucket_pairs(kind, np.concatenate(kind_rows), sig, idx, large, again)
             kinds.append(np.full(got.shape[1], VEC if kind == VEC else TEXT))
             pairs.append(got)
             if hot:
                 kinds.append(np.array([-1]))
                 pairs.append(np.array([[0], [0]]))
         a, b = np.concatenate(pairs, 1)
-        return pa.table({"kind": pa.array(np.concatenate(kinds), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())}, schema=PAIRS)
+        out = pa.table({"kind": pa.array(np.concatenate(kinds), pa.int32()), "a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64()), **{f.name: pa.nulls(len(a), f.type) for f in FOUND if f.name not in PAIRS.names}}, schema=FOUND)
+        for signature, members in tiles:
+            parts = -(-len(members) // TILE)
+            run = [(t.column("bucket")[0].as_py() << 32) + signature] * parts
+            rows = [members[p * TILE : (p + 1) * TILE].tobytes() for p in range(parts)]
+            out = pa.concat_tables([out, pa.table({"kind": [kind] * parts, "a": [None] * parts, "b": [None] * parts, "run": run, "part": range(parts), "parts": [parts] * parts, "rows": rows}, schema=FOUND)])
+        return out
 
     return task
 
@@ -378,7 +428,13 @@ def candidates(docs: DataFrame, counts, labels: DataFrame | None = None, again:
 
 def nominated(blocks: DataFrame, large: int, again: str | None) -> DataFrame:
     """The candidates among the signatures of the blocks, checkpointed."""
-    return cut(blocks.groupBy("kind", "bucket").applyInArrow(pairs_of_bucket(large, again), PAIRS_SQL).distinct())
+    found = cut(blocks.groupBy("kind", "bucket").applyInArrow(pairs_of_bucket(large, again), FOUND_SQL))
+    pairs = found.where("run is null").select("kind", "a", "b")
+    left = found.where("run is not null").select("kind", "run", "part", "rows", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("p"))
+    if left.limit(1).count():
+        tiles = left.select("kind", "run", "part", "rows", F.least("p", "part").alias("i"), F.greatest("p", "part").alias("j"))
+        pairs = pairs.unionByName(tiles.groupBy("kind", "run", "i", "j").applyInArrow(tile_pairs(large, again), PAIRS_SQL))
+    return cut(pairs.distinct())
 
 
 def signature_blocks(docs: DataFrame, counts, labels: DataFrame | None = None, again: str | None = None, buckets: int = 0) -> DataFrame:
@@ -477,5 +533,3 @@ def plain(docs: DataFrame, id_col: str, content_col: str, embedding_col: str, *m
     """The three columns under fixed names, and more; records without an id take no part."""
     return docs.select(docs[id_col].cast("long").alias("id"), docs[content_col].alias("content"), docs[embedding_col].alias("embedding"), *more).where(F.col("id").isNotNull())
 
-
-__all__ = ["BLOCK_ROWS", "alike", "candidates", "checked", "corpus_counts", "cut", "plain"]

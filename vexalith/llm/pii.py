@@ -46,6 +46,10 @@ TOP_DOMAINS = "com org net edu gov info biz io co test example invalid localhost
 TITLES = "Mr Mrs Ms Miss Dr Prof Sir Madam Sr Sra Srta Don Doña Herr Frau Hr Fr Mme Mlle M Monsieur Madame Г-н Г-жа Господин Госпожа"
 CREDITS = "translation|translated by|subtitles|subtitles by|subtitled by|captions by|edited by|synced by|corrections by|traducción|subtítulos|traducido por|untertitel|übersetzung|traduction|sous-titres|adaptation|перевод|субтитры|редактор"
 INTRODUCTIONS = "my name is|name's|me llamo|mi nombre es|ich heiße|mein name ist|je m'appelle|mon nom est|меня зовут|моё имя"
+#: Words before which a name of two words stands, whatever the names are.
+NAME_CONTEXTS = "know knows knew met meet ask asked tell told called named i'm am married dear conoce conoces conozco conocí llama llamo soy pregunta dile connais connaissez appelle m'appelle suis rencontré kenne kennst kennt kannte heiße heißt bin frag знаю знаешь знаете знает зовут зовите видел встретил спроси"
+#: Words that begin the names of places and works, not of persons.
+PLACE_STARTS = "New Old Big Great Little North South East West Upper Lower Central Grand Royal Los Las San Santa Saint St Mount Port Lake Nueva Nuevo Saint-Denis Notre United White Red Black Golden Black Holy"
 PARTICLES = "von van de der den del della di da dos la le du ten ter zu af al bin"
 PLACES = "Heights Falls Square Bay Street Road Lane Avenue Park Beach Hill Hills Lake River Island Islands Valley City Town County Bridge Station Airport Harbor Harbour Point Springs Creek Mountain Forest Gardens Castle Church School College University Hospital Hotel House Tower Building Center Centre Plaza Market Village Port Cape Mount"
 GIVEN_EN = "Adam Alan Albert Alex Alexander Alfred Alice Amanda Amy Andrea Andrew Angela Ann Anna Anne Anthony Arthur Barbara Ben Benjamin Betty Bill Brian Carl Caroline Catherine Charles Charlotte Chris Christine Christopher Claire Clara Daniel David Deborah Dennis Diana Donald Dorothy Edith Edward Eleanor Elizabeth Emily Emma Eric Ethan Eva Evelyn Felix Florence Frances Frank Fred George Grace Hannah Harold Harry Helen Henry Hugo Ian Irene Isaac Jack Jacob James Jane Jason Jennifer Jessica Joan John Jonathan Joseph Joshua Judith Julia Julie Karen Kate Kenneth Kevin Laura Lauren Leo Lewis Linda Lisa Louis Lucy Margaret Maria Marie Mark Martha Martin Mary Matthew Max Megan Michael Nancy Nathan Nicholas Nicole Nina Noah Nora Oliver Olivia Oscar Patricia Patrick Paul Peter Philip Rachel Ralph Rebecca Richard Robert Roger Ronald Rose Ruth Ryan Samuel Sandra Sarah Scott Sharon Simon Sophia Stephen Steven Susan Theodore Thomas Timothy Victor Victoria Vincent Virginia Walter William"
@@ -97,6 +101,7 @@ def _folded(words: str) -> str:
 _SAME = str.maketrans({"l": "i", "1": "i", "|": "i", "0": "o", "5": "s", "8": "b", "c": "e", "f": "t", "q": "g", "h": "b", "ё": "е"})
 GIVEN = frozenset(_fold(w) for w in " ".join((GIVEN_EN, GIVEN_ES, GIVEN_DE, GIVEN_FR, GIVEN_RU)).split())
 _COMMON = frozenset(COMMON.split())
+_PLACE_STARTS = frozenset(PLACE_STARTS.split())
 _PLACES = frozenset(_fold(w) for w in PLACES.split())
 _TITLES = frozenset(w.lower() for w in TITLES.split())
 _PARTICLES = frozenset(PARTICLES.split())
@@ -460,6 +465,7 @@ class _Given(dict):
 
 
 _GIVEN = _Given()
+_CONTEXTS = frozenset(NAME_CONTEXTS.split())
 _FOLDED_COMMON = frozenset(map(_folded_word, _COMMON))
 _INTRODUCING = frozenset(w.split()[-1] for w in (CREDITS + "|" + INTRODUCTIONS).split("|")) | {"by"}
 
@@ -478,6 +484,20 @@ _AFTER_NAME = frozenset(" \t\r\n,")
 _NO_NAME = frozenset("abcdefghijklmnopqrstuvwxyzäöüßáéíóúñàâçèêîôûабвгдежзийклмнопрстуфхцчшщыэюяё") - {p[0] for p in _PARTICLES}
 
 
+def _shaped(v: str, w: str, before: str, end: int) -> bool:
+    """Is w, which is on no list, by its shape and the word before it the first word of a name?
+
+    Two words with one capital each, no common word, title or place, after a verb that takes a person.
+    """
+    if w.isupper() or len(w) < 3 or w in _PLACE_STARTS or not _family(w):
+        return False
+    words = before.rsplit(None, 1)
+    if not words or before[-1:] != " " or words[-1].lower().lstrip("¿¡«\"'(") not in _CONTEXTS:
+        return False
+    p = _PIECE.match(v, end)
+    return bool(p and p.group(1) and not p.group(1).isupper() and p.group(1).lower() not in _TITLES and _family(p.group(1)))
+
+
 def _names(v: str) -> Iterator[tuple[int, int]]:
     last = -1
     for m in _WORD.finditer(v):
@@ -492,7 +512,7 @@ def _names(v: str) -> Iterator[tuple[int, int]]:
         if not given and next_ == " " and v[m.end() + 1 : m.end() + 2] in _NO_NAME:
             continue
         before = v[max(0, m.start() - 32) : m.start()]
-        if not given and not _introduced(before):
+        if not given and not _introduced(before) and not _shaped(v, w, before, m.end()):
             # family name first: "Family, Given"
             c = _COMMA.match(v, m.end()) if comma else None
             if c and _GIVEN[_fold(c.group(1))] and _family(w) and _may_lead(v, w, before, c.end()):
