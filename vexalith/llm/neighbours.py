@@ -336,16 +336,32 @@ def reached(q: np.ndarray, to: np.ndarray, size: np.ndarray) -> np.ndarray:
     return out
 
 
-def routed(docs: DataFrame, index: MultiIndex, visit: int, pure: np.ndarray | None = None) -> DataFrame:
+@dataclass
+class SecondLook:
+    """Who looks again: the vectors of cell[n], as ones of label[n] (sorted by cell; a cell may have
+    several labels). pure: the label of a cell all of whose vectors have it, else -1; such cells are
+    passed over by those who look as ones of it."""
+
+    cell: np.ndarray
+    label: np.ndarray
+    pure: np.ndarray
+
+    def asking(self, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(vector, label) for the vectors at home in these cells."""
+        lo = np.searchsorted(self.cell, home)
+        n = np.searchsorted(self.cell, home, "right") - lo
+        return np.repeat(np.arange(len(home)), n), self.label[np.repeat(lo, n) + ragged(n)]
+
+
+def routed(docs: DataFrame, index: MultiIndex, visit: int, again: SecondLook | None = None) -> DataFrame:
     """Blocks by bucket and part: classes with their vectors, ids of class members at home, cells to go through.
 
-    pure: label of the cells whose vectors all have it, else -1. Then docs has a column label, only
-    rows with one ask, and they pass over the cells that are purely of their own.
+    Everything asks, or in a second look those it names.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((astuple(index), pure))
+    shared = docs.sparkSession.sparkContext.broadcast((astuple(index), None if again is None else astuple(again)))
 
     def emit(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ix, pure = MultiIndex(*shared.value[0]), shared.value[1]
+        ix, again = MultiIndex(*shared.value[0]), shared.value[1] and SecondLook(*shared.value[1])
         most = int(ix.parts.max())
         for t in batches(rows, BLOCK_ROWS):
             at, x = vectors(t.column("embedding"))
@@ -362,14 +378,14 @@ def routed(docs: DataFrame, index: MultiIndex, visit: int, pure: np.ndarray | No
             entries = np.zeros(len(first), ENTRY)
             entries["h"], entries["x"] = h[first], code[first]
             u = unit(code[first])
-            home = ix.bucket[ix.cells(u)].astype(np.int64)
-            if pure is None:
+            own = ix.cells(u)
+            home = ix.bucket[own].astype(np.int64)
+            if again is None:
                 q, cell = ix.probes(u, visit)
             else:
-                label = t.column("label").fill_null(-1).to_numpy()[at][first]
-                asking = np.flatnonzero(label >= 0)
-                q, cell = ix.probes(u[asking], visit, label[asking], pure)
-                q = asking[q]
+                asking, label = again.asking(own)
+                q, cell = ix.probes(u[asking], visit, label, again.pure)
+                q, cell = np.unique(np.stack([asking[q], cell]), axis=1)
             to = ix.bucket[cell].astype(np.int64)
             if len(ix.parts) > REACH:
                 keep = reached(q, to, ix.size[cell])
@@ -395,7 +411,7 @@ def routed(docs: DataFrame, index: MultiIndex, visit: int, pure: np.ndarray | No
                 parts = (entries[used], members, counts, cells.astype(np.int64), number)
                 yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([p], pa.int32())] + [pa.array([v.tobytes()], pa.binary()) for v in parts], schema=BLOCK)
 
-    return docs.select("id", "embedding", *(["label"] if pure is not None else [])).mapInArrow(emit, BLOCK_SQL)
+    return docs.select("id", "embedding").mapInArrow(emit, BLOCK_SQL)
 
 
 @dataclass
