@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from vexalith.llm import neighbours
+from vexalith.llm import neighbours, subset
 from vexalith.llm.clusters import similarity_clusters
 from vexalith.llm.neighbours import MultiIndex, build_index, kmeans, similar_vectors
 from vexalith.llm.subset import varied_subset
@@ -165,23 +165,43 @@ def test_tables_without_vectors(spark):
     assert varied_subset(nulls, 3).count() == 3
 
 
-def test_subset_covers_as_well_as_the_greedy_one(spark):
-    rows = clustered(5, 300)
-    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    got = [r["id"] for r in varied_subset(df, 25).orderBy("rank").collect()]
-    assert len(got) == len(set(got)) == 25
-    by_id = {r[0]: r for r in rows}
-    vs = {r[0]: brute.unit(r[1]) for r in rows if brute.usable(r[1])}
+def objective(f, w, chosen):
+    mass = np.zeros(f.max() + 1)
+    np.add.at(mass, f[chosen].ravel(), w[chosen].ravel())
+    return np.sqrt(mass).sum()
+
 
-    def covered(chosen):
-        """Vectors of the table that have a chosen one at a cosine of 0.7."""
-        x = np.stack([vs[i] for i in chosen if i in vs])
-        return sum((x @ v).max() >= 0.7 for v in vs.values())
+def greedy(f, w, size):
+    mass, chosen, open_ = np.zeros(f.max() + 1), [], np.ones(len(f), bool)
+    for _ in range(size):
+        g = np.where(open_, subset.gains(mass, f, w), -1)
+        r = int(g.argmax())
+        chosen.append(r)
+        open_[r] = False
+        mass[f[r]] += w[r]
+    return chosen
 
+
+@pytest.mark.parametrize("held", [500_000, 7])
+def test_subset_covers_as_well_as_the_greedy_one(spark, monkeypatch, held):
+    """At least nine tenths of what the true greedy choice covers; also when ids go to storage by sevens."""
+    monkeypatch.setattr(subset, "HELD", held)
+    monkeypatch.setattr(subset, "PROPOSALS", 24 if held == 7 else 500_000)
+    rows = clustered(5, 300)
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    got = varied_subset(df, 25).orderBy("rank").collect()
+    assert [r["rank"] for r in got] == list(range(1, 26)) and len({r["id"] for r in got}) == 25
+    named = df.select("id", "embedding")
+    sample = neighbours.sampled(named, df.count()).astype(np.float32)
+    c = kmeans(sample, min(subset.CENTROIDS, len(sample) // 8), 5)
+    c /= np.linalg.norm(c, axis=1, keepdims=True)
+    ids, f, w = subset.unpacked(subset.features(df, c, "id", "embedding", "category").toArrow())
+    at = {int(i): n for n, i in enumerate(ids)}
+    mine = objective(f, w, [at[r["id"]] for r in got])
+    assert mine >= 0.9 * objective(f, w, greedy(f, w, 25))
+    assert mine == pytest.approx(sum(r["gain"] for r in got), rel=1e-4)
     rng = np.random.default_rng(0)
-    at_random = np.mean([covered(rng.choice(list(vs), 25, replace=False)) for _ in range(10)])
-    assert covered(got) > at_random
-    assert len({(by_id[i][3] or "").strip().lower() for i in got}) >= 3
+    assert mine > np.mean([objective(f, w, rng.choice(len(f), 25, replace=False)) for _ in range(10)])
 
 
 def test_subset_sizes(spark):
