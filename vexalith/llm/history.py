@@ -1,27 +1,40 @@
-"""Problem 4: new batches against everything accepted before.
-
-Pairs of contents are nominated by the two-word subsets and inverted lists of their prefixes
-(``alike.py``), which miss no alike pair: however short or shuffled the contents are, however many
-records hold the same words. A new batch meets the signatures of what was accepted before it; no
-text of an earlier batch is signed again, and texts are read only for the exact check of nominated
-pairs. ``History`` keeps the signatures in immutable segments, of which those of like size are
-merged after each batch, so their number stays logarithmic.
+"""Problem 4: new batches against everything accepted before, by suffix arrays.
+
+Every content is written with its words in one global order, the rarest first (``alike.py``), so that
+reordered and edited contents keep long stretches in common, and a batch's contents, one after
+another, are one text. Its suffix array holds the suffixes in the order of hashes of their first two
+words. Two alike contents always have two words that follow each other in both within the first
+three fifths of their words (``suffix_starts``): looking the batch's suffixes up in the arrays of
+earlier batches by binary search nominates every alike pair, however short or shuffled the contents
+are and however many records hold the same words. What a pair has in common is then summed up over
+its whole texts. Embeddings are looked up by the sign subsets of ``alike.py`` in the same way.
+
+Arrays are immutable, one for each batch, in parts by ranges of the hashes (buckets). ``History``
+keeps them in storage: a new batch reads only the buckets its suffixes fall in, searches them where
+they lie, and reads the contents of nominated records alone. Arrays of like size are merged, so their
+number stays logarithmic. ``repeats_of_history`` replays all batches of a table in one job.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator, Sequence
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.catalog import Catalog, Version
+from ..sources.catalog import Catalog, Version, checkpoint_folder
 from . import alike
 from .alike import HOT, TEXT, VEC, candidates, checked, corpus_counts, plain  # noqa: F401 (tests lower HOT)
 from .common import cut, table
 
 #: Count of every word as a stored history takes it: it has no corpus to count, and the order of words
-#: must be the same for all batches. From it follows where contents are large (alike.large_from).
+#: must be the same for all batches.
 EVEN_COUNT = 20
+#: Bytes of a batch's signatures that are sent to the stored arrays; folders that stored records lie in.
+SENT, PLACES = 64 << 20, 256
 
 
 def representatives(ids: DataFrame, links: DataFrame) -> DataFrame:
@@ -85,7 +98,7 @@ def repeats_of_history(docs: DataFrame, id_col: str = "id", content_col: str = "
     counts = corpus_counts(docs)
     if not counts[0]:
         return docs.select(F.col("id").alias("seen_id"), F.col("id").alias("new_id")).limit(0)
-    pairs = candidates(docs, counts)
+    pairs = candidates(docs, counts, suffixes=True)
     edges = cut(checked(docs, pairs))
     state = accept(order, pairs, edges)
     if pairs.where("kind = -1").limit(1).count():
@@ -95,18 +108,59 @@ def repeats_of_history(docs: DataFrame, id_col: str = "id", content_col: str = "
             known = state.where("accepted").select("id", F.lit(1).alias("kept"))
             touched = state.select("id", F.lit(1).alias("any"))
             now = order.join(known, "id", "left").join(touched, "id", "left").select(F.col("id").alias("node"), (F.col("batch") * 2 + F.coalesce("kept", F.when(F.col("any").isNull(), 1), F.lit(0))).alias("label"))
-            more = candidates(docs.drop("label"), counts, now, "kept").where("kind >= 0").join(edges, ["kind", "a", "b"], "left_anti")
+            more = candidates(docs.drop("label"), counts, now, "kept", suffixes=True).where("kind >= 0").join(edges, ["kind", "a", "b"], "left_anti")
             edges = cut(edges.unionByName(checked(docs, more)).distinct())
             state = accept(order, pairs, edges)
     return state.where("not accepted").select(F.col("seen").alias("seen_id"), F.col("id").alias("new_id"))
 
 
+SEGMENT_SQL = "kind int, rows binary, sigs binary, idx binary, bucket int"
+RECORD_SQL = "id long, content string, embedding array<float>, place int"
+
+
+def in_one(t: pa.Table) -> pa.Table:
+    """The arrays of one bucket as one: blocks in order, or arrays of segments, merged."""
+    kind, bucket = t.column("kind")[0].as_py(), t.column("bucket")[0].as_py()
+    rows, sig, idx = read_blocks(t)
+    order = np.argsort(sig, kind="stable")  # of ordered runs: a merge
+    return pa.table({"kind": pa.array([kind], pa.int32()), "rows": [rows.tobytes()], "sigs": [sig[order].tobytes()], "idx": [idx[order].astype(np.uint32).tobytes()], "bucket": pa.array([bucket], pa.int32())})
+
+
+def read_blocks(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(records, signatures, number of the record of each) of the blocks of one kind and bucket."""
+    row = alike.VEC_ROW if t.column("kind")[0].as_py() == VEC else alike.TEXT_ROW
+    rows = [np.frombuffer(x, row) for x in t.column("rows").to_pylist()]
+    sig = [np.frombuffer(x, np.uint32) for x in t.column("sigs").to_pylist()]
+    base = np.cumsum([0] + [len(x) for x in rows[:-1]])
+    idx = [np.frombuffer(x, np.uint16 if len(x) == 2 * len(s) else np.uint32).astype(np.int64) + o for x, s, o in zip(t.column("idx").to_pylist(), sig, base)]
+    return np.concatenate(rows), np.concatenate(sig), np.concatenate(idx)
+
+
+def looked_up(new: pa.Table, old: pa.Table) -> pa.Table:
+    """Candidate pairs (accepted id, new id) of one bucket: new signatures are searched for in each old array."""
+    kind = new.column("kind")[0].as_py()
+    rows, sig, idx = read_blocks(new)
+    found = [np.zeros((2, 0), np.int64)]
+    for n in range(old.num_rows):
+        other, keys, at = read_blocks(old.slice(n, 1))
+        lo, hi = np.searchsorted(keys, sig), np.searchsorted(keys, sig, "right")
+        both = np.concatenate([rows, other])
+        for i, j in alike.run_partners(lo, hi):
+            x, y = idx[i], at[j]
+            ok = alike.like_sketch(kind, both, x, y + len(rows))
+            found.append(np.unique(np.stack([other["id"][y[ok]], rows["id"][x[ok]]]), axis=1))
+    a, b = np.unique(np.concatenate(found, 1), axis=1)
+    return pa.table({"kind": pa.array(np.full(len(a), kind), pa.int32()), "a": pa.array(a), "b": pa.array(b)}, schema=alike.PAIRS)
+
+
 class History:
     """What was accepted, kept in storage: one batch after another, no earlier one gone through again.
 
-    ``add`` signs the new batch only, looks its signatures up in the stored segments of accepted
-    records, and stores segments and records of what it accepts, both at once. After every second,
-    fourth, ... batch segments of like size are merged. expected: records to plan the buckets for.
+    ``add`` orders the suffixes and sign subsets of the new batch only and looks them up in the stored
+    arrays of accepted records; it stores arrays and records of what it accepts, both at once. After
+    every second, fourth, ... batch arrays of like size are merged. expected: records to plan the
+    buckets for. A batch is sent to the stored arrays if it takes up to ``SENT`` bytes, and meets the
+    buckets it needs in a join otherwise.
     """
 
     def __init__(self, spark: SparkSession, path: str, expected: int = 10_000_000):
@@ -114,8 +168,51 @@ class History:
         self.catalog = Catalog(spark, path)
 
     def _stored(self, name: str, schema: str) -> DataFrame:
-        parts = self.catalog.state().get(name, Version(())).parts
-        return self.spark.read.schema(schema).parquet(*[f"{self.catalog.path}/{p}" for p in parts]) if parts else self.spark.createDataFrame([], schema)
+        return self._read(self.catalog.state().get(name, Version(())).parts, schema)
+
+    def _read(self, parts: Sequence[str], schema: str) -> DataFrame:
+        """Partitioned folders as one; each is a root of its own."""
+        out = self.spark.createDataFrame([], schema)
+        for p in parts:
+            one = self.spark.read.schema(schema).parquet(f"{self.catalog.path}/{p}")
+            out = one if p == parts[0] else out.unionByName(one)
+        return out
+
+    def _part(self, name: str, rows: DataFrame, by: str) -> str:
+        place = f"{name}/{uuid.uuid4().hex}"
+        rows.write.partitionBy(by).parquet(f"{self.catalog.path}/{place}")
+        return place
+
+    def segments_for(self, blocks: DataFrame) -> DataFrame:
+        """The stored arrays of the buckets that the blocks fall in; the other partitions are not read."""
+        met = [r["bucket"] for r in blocks.select("bucket").distinct().collect()]
+        return self._stored("segments", SEGMENT_SQL).where(F.col("bucket").isin(met))
+
+    def records_for(self, pairs: DataFrame) -> DataFrame:
+        """The stored records of the places that candidates lie in."""
+        met = [r["place"] for r in pairs.select(F.pmod("a", F.lit(PLACES)).cast("int").alias("place")).distinct().collect()]
+        return self._stored("records", RECORD_SQL).where(F.col("place").isin(met)).drop("place")
+
+    def _against_stored(self, blocks: DataFrame) -> DataFrame:
+        blocks = blocks.where(F.col("kind").isin(TEXT, VEC))
+        old = self.segments_for(blocks)
+        size = blocks.agg(F.sum(F.length("rows") + F.length("sigs") + F.length("idx"))).first()[0] or 0
+        if size > SENT:
+            return blocks.groupBy("kind", "bucket").cogroup(old.groupBy("kind", "bucket")).applyInArrow(lambda n, o: looked_up(n, o) if n.num_rows and o.num_rows else alike.PAIRS.empty_table(), alike.PAIRS_SQL)
+        shared = self.spark.sparkContext.broadcast(blocks.toArrow())
+
+        def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            new = shared.value
+            at = {}
+            for n, key in enumerate(zip(new.column("kind").to_pylist(), new.column("bucket").to_pylist())):
+                at.setdefault(key, []).append(n)
+            for b in rows:
+                t = pa.Table.from_batches([b])
+                for n, key in enumerate(zip(t.column("kind").to_pylist(), t.column("bucket").to_pylist())):
+                    if key in at:
+                        yield from looked_up(new.take(at[key]), t.slice(n, 1)).to_batches()
+
+        return old.mapInArrow(search, alike.PAIRS_SQL)
 
     def add(self, batch: DataFrame, id_col: str = "id", content_col: str = "content", embedding_col: str = "embedding") -> DataFrame:
         """(seen_id, new_id) of the batch's records that repeat an accepted one, of it or of before.
@@ -123,32 +220,44 @@ class History:
         ids must be unique over all batches and rise with them. An empty batch changes nothing;
         nulls, short contents and other columns are as in ``repeats_of_history``.
         """
-        docs_sql = "id long, content string, embedding array<float>"
         new = cut(plain(batch, id_col, content_col, embedding_col))
         counts = (self.expected, np.full(alike.COUNTER, EVEN_COUNT, np.int64), np.zeros(1 << 16, np.int64))
         buckets = max(8, self.expected // 25_000)
-        sign = lambda d, label: alike.signature_blocks(d.withColumn("label", F.lit(label).cast("long")), counts, None, "new", buckets)
-        blocks = sign(new, 1).unionByName(self._stored("segments", alike.BLOCK_SQL))
-        pairs = alike.nominated(blocks, alike.large_from(counts[1]), "new").join(new.select(F.col("id").alias("b")), "b", "left_semi").select("kind", "a", "b")
-        records = new.unionByName(self._stored("records", docs_sql))
+        blocks = cut(alike.signature_blocks(new.withColumn("label", F.lit(1).cast("long")), counts, None, "new", buckets, suffixes=True))
+        pairs = cut(alike.nominated(blocks, 1 << 30, "new").unionByName(self._against_stored(blocks)).distinct())
+        records = new.unionByName(self.records_for(pairs.where("kind >= 0").join(new.select(F.col("id").alias("a")), "a", "left_anti")))
         edges = cut(checked(records, pairs))
-        order = records.select("id").join(new.select("id", F.lit(1).alias("batch")), "id", "left").select("id", F.coalesce("batch", F.lit(0)).cast("long").alias("batch"))
+        ids = new.select("id", F.lit(1).cast("long").alias("batch"))
+        order = ids.unionByName(edges.select(F.col("a").alias("id")).distinct().join(ids, "id", "left_anti").withColumn("batch", F.lit(0).cast("long")))
         state = accept(order, pairs, edges)
         refused = cut(state.where("not accepted").select(F.col("seen").alias("seen_id"), F.col("id").alias("new_id")))
         kept = cut(new.join(refused.select(F.col("new_id").alias("id")), "id", "left_anti"))
         if not kept.isEmpty():
+            arrays = alike.signature_blocks(kept, counts, None, "new", buckets, suffixes=True).where(F.col("kind").isin(TEXT, VEC)).groupBy("kind", "bucket").applyInArrow(in_one, SEGMENT_SQL)
             state = self.catalog.state()
-            batches = state["segments"].next_id if "segments" in state else 1
-            for name, rows, schema in (("segments", sign(kept, 0), alike.BLOCK_SQL), ("records", kept, docs_sql)):
-                parts = [*(state[name].parts if name in state else ()), self.catalog.part(name, rows)]
-                n = batches
-                while n % 2 == 0 and name == "segments":
-                    two = self.spark.read.schema(schema).parquet(*[f"{self.catalog.path}/{p}" for p in parts[-2:]])
-                    parts, n = [*parts[:-2], self.catalog.part(name, two)], n // 2
-                state[name] = Version((), tuple(parts), batches + 1)
+            n = batches = state["segments"].next_id if "segments" in state else 1
+            parts = [*(state["segments"].parts if "segments" in state else ()), self._part("segments", arrays, "bucket")]
+            while n % 2 == 0:  # the last two are of like size
+                two = self._read(parts[-2:], SEGMENT_SQL)
+                parts, n = [*parts[:-2], self._part("segments", two.groupBy("kind", "bucket").applyInArrow(in_one, SEGMENT_SQL), "bucket")], n // 2
+            state["segments"] = Version((), tuple(parts), batches + 1)
+            told = kept.withColumn("place", F.pmod("id", F.lit(PLACES)).cast("int"))
+            state["records"] = Version((), (*(state["records"].parts if "records" in state else ()), self._part("records", told.repartition("place"), "place")), batches + 1)
             self.catalog.publish(state)
         return refused
 
 
+def p4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batches of docs added to a stored history one after another: the rows of p4_found."""
+    docs = table(spark, sf_dir, "docs")
+    number = F.coalesce(F.col("batch_no"), F.lit(-1))
+    total = docs.count()
+    out = spark.createDataFrame([], "seen_id long, new_id long")
+    history = History(spark, f"{checkpoint_folder(spark)}/history-{uuid.uuid4().hex}", max(1, total))
+    for r in docs.select(number.alias("n")).distinct().orderBy("n").collect():
+        out = out.unionByName(history.add(docs.where(number == r["n"])))
+    return out
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats_of_history(table(spark, sf_dir, "docs"))

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from .clusters import p5_clusters, p5_found
-from .history import p4_found
+from .history import p4_batches, p4_found
 from .leaks import p7_found
 from .nearduplicates import p1_found, p1_groups
 from .neighbours import p2_found
@@ -17,6 +17,7 @@ QUERIES = {
     "p2_found": p2_found,
     "p3_subset": p3_subset,
     "p4_found": p4_found,
+    "p4_batches": p4_batches,
     "p5_found": p5_found,
     "p5_clusters": p5_clusters,
     "p6_ids": p6_ids,
