@@ -30,9 +30,6 @@ from . import alike
 from .alike import HOT, TEXT, VEC, candidates, checked, corpus_counts, plain  # noqa: F401 (tests lower HOT)
 from .common import cut, table
 
-#: Count of every word as a stored history takes it: it has no corpus to count, and the order of words
-#: must be the same for all batches.
-EVEN_COUNT = 20
 #: Bytes of a batch's signatures that are sent to the stored arrays; folders that stored records lie in.
 SENT, PLACES = 64 << 20, 256
 
@@ -183,6 +180,13 @@ class History:
         rows.write.partitionBy(by).parquet(f"{self.catalog.path}/{place}")
         return place
 
+    def _order(self, new: DataFrame) -> np.ndarray:
+        """Counts of words, which order them: those of the first batch, for all batches the same."""
+        parts = self.catalog.state().get("order", Version(())).parts
+        if parts:
+            return np.frombuffer(self.spark.read.parquet(f"{self.catalog.path}/{parts[0]}").first()["cells"], np.int32).astype(np.int64)
+        return np.minimum(corpus_counts(new)[1], (1 << 31) - 1)
+
     def segments_for(self, blocks: DataFrame) -> DataFrame:
         """The stored arrays of the buckets that the blocks fall in; the other partitions are not read."""
         met = [r["bucket"] for r in blocks.select("bucket").distinct().collect()]
@@ -221,7 +225,8 @@ class History:
         nulls, short contents and other columns are as in ``repeats_of_history``.
         """
         new = cut(plain(batch, id_col, content_col, embedding_col))
-        counts = (self.expected, np.full(alike.COUNTER, EVEN_COUNT, np.int64), np.zeros(1 << 16, np.int64))
+        cells = self._order(new)
+        counts = (self.expected, cells, np.zeros(1 << 16, np.int64))
         buckets = max(8, self.expected // 25_000)
         blocks = cut(alike.signature_blocks(new.withColumn("label", F.lit(1).cast("long")), counts, None, "new", buckets, suffixes=True))
         pairs = cut(alike.nominated(blocks, 1 << 30, "new").unionByName(self._against_stored(blocks)).distinct())
@@ -241,21 +246,24 @@ class History:
                 two = self._read(parts[-2:], SEGMENT_SQL)
                 parts, n = [*parts[:-2], self._part("segments", two.groupBy("kind", "bucket").applyInArrow(in_one, SEGMENT_SQL), "bucket")], n // 2
             state["segments"] = Version((), tuple(parts), batches + 1)
+            if "order" not in state:
+                state["order"] = Version((), (self.catalog.part("order", self.spark.createDataFrame([(bytearray(cells.astype(np.int32).tobytes()),)], "cells binary")),), 1)
             told = kept.withColumn("place", F.pmod("id", F.lit(PLACES)).cast("int"))
             state["records"] = Version((), (*(state["records"].parts if "records" in state else ()), self._part("records", told.repartition("place"), "place")), batches + 1)
             self.catalog.publish(state)
         return refused
 
 
-def p4_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The batches of docs added to a stored history one after another: the rows of p4_found."""
+def p4_batches(spark: SparkSession, sf_dir: str, loads: int = 4) -> DataFrame:
+    """The batches of docs added to a stored history in a few loads, one after another: the rows of p4_found."""
     docs = table(spark, sf_dir, "docs")
     number = F.coalesce(F.col("batch_no"), F.lit(-1))
-    total = docs.count()
+    numbers = [r["n"] for r in docs.select(number.alias("n")).distinct().orderBy("n").collect()]
     out = spark.createDataFrame([], "seen_id long, new_id long")
-    history = History(spark, f"{checkpoint_folder(spark)}/history-{uuid.uuid4().hex}", max(1, total))
-    for r in docs.select(number.alias("n")).distinct().orderBy("n").collect():
-        out = out.unionByName(history.add(docs.where(number == r["n"])))
+    history = History(spark, f"{checkpoint_folder(spark)}/history-{uuid.uuid4().hex}", max(1, docs.count()))
+    for load in np.array_split(np.array(numbers, np.int64), loads):
+        if len(load):
+            out = out.unionByName(history.add(docs.where(number.between(int(load[0]), int(load[-1])))))
     return out
 
 
