@@ -122,34 +122,6 @@ def test_stored_history_gives_what_the_replay_gives(spark, tmp_path):
     assert len(parts) == 2  # three batches: the first two are one segment
 
 
-def avoidable(na, nb):
-    """Is there an arrangement of common and own words of an alike pair without a common suffix start?"""
-    need = int(alike.needed(np.int64(max(na, nb))))
-    ra, rb = (int(alike.suffix_starts(np.int64(n))) for n in (na, nb))
-    for o in range(need, min(na, nb) + 1):
-        x_all, y_all = na - o, nb - o
-        seen = set()
-        todo = [(0, 0, 0, False)]  # common words, own ones of each so far, whether the last was common
-        while todo:
-            i, x, y, last = state = todo.pop()
-            if state in seen:
-                continue
-            seen.add(state)
-            if (i, x, y) == (o, x_all, y_all):
-                return True
-            if x < x_all:
-                todo.append((i, x + 1, y, False))
-            if y < y_all:
-                todo.append((i, x, y + 1, False))
-            if i < o and not (last and i - 1 + x < ra and i - 1 + y < rb):
-                todo.append((i + 1, x, y, True))
-    return False
-
-
-def test_alike_contents_always_share_a_suffix_start():
-    assert not [(a, b) for a in range(8, 46) for b in range(a, min(45, a * 5 // 4) + 1) if avoidable(a, b)]
-
-
 @pytest.mark.parametrize("members", [12, 17, 20, 40, 200])
 def test_a_family_edited_at_every_fifth_word_is_refused_but_for_one(spark, members):
     rows = []
@@ -169,7 +141,7 @@ def test_a_batch_reads_only_the_buckets_and_records_it_needs(spark, tmp_path, mo
     for b in range(3):
         h.add(spark.createDataFrame([(b * 1000 + i, None, text(b * 1000 + i), None, b, 0, "", 0, 0) for i in range(60)], SCHEMA))
         small = spark.createDataFrame([(9000, None, text(5), None, b, 0, "", 0, 0)], SCHEMA)
-        blocks = alike.signature_blocks(history.plain(small, "id", "content", "embedding").withColumn("label", history.F.lit(1)), (2_000_000, np.full(alike.COUNTER, 20), np.zeros(1 << 16, np.int64)), None, "new", 80, suffixes=True)
+        blocks = alike.signature_blocks(history.plain(small, "id", "content", "embedding").withColumn("label", history.F.lit(1)), (2_000_000, np.full(alike.COUNTER, 20), np.zeros(1 << 16, np.int64)), None, "new", 80, in_order=True)
         arrays = h.segments_for(blocks.where("kind = 0"))
         assert "PartitionFilters: [" in (plan := arrays._jdf.queryExecution().executedPlan().toString()) and "PartitionFilters: []" not in plan, plan
         reads.append((len(h.catalog.state()["segments"].parts), arrays.select(history.F.input_file_name()).distinct().count()))

@@ -233,27 +233,6 @@ def subset_signatures(rows: np.ndarray, n, row, h, token, cells: np.ndarray, lar
         small.add(np.repeat(r, len(i)), mix(lo * np.uint64(0xD6E8FEB86659FD93) + hi).ravel())
 
 
-def suffix_starts(n: np.ndarray) -> np.ndarray:
-    """Suffixes of a content of n words, in the global order, of which an alike one has one's first two words.
-
-    Let the contents have x and y words of their own, at most n - needed(n) = e each. If no two common
-    words follow each other within the first 3 e + 2 places of both, each common word there is followed
-    by one of the x + y own ones, so there are at most x + y of them; the next one stands at a place of
-    at most 2 x + y or x + 2 y, which lies within: a contradiction (test: all arrangements).
-    """
-    return np.minimum(3 * (n - needed(n)) + 2, n - 1)
-
-
-def suffix_signatures(n, row, h, token, cells: np.ndarray, packer: Packer) -> None:
-    """The suffixes of every content, words in the global order (rarest first), by their first two words."""
-    order = np.lexsort((token, cells[(h & np.uint64(COUNTER - 1)).astype(np.int64)], row))
-    token = token[order]
-    start = np.concatenate([[0], np.cumsum(n)[:-1]])
-    count = suffix_starts(n)
-    at = np.repeat(start, count) + ragged(count)
-    packer.add(np.repeat(np.arange(len(n)), count), mix(token[at] * np.uint64(0xD6E8FEB86659FD93) + token[at + 1]))
-
-
 def vector_signatures(rows: np.ndarray, u: np.ndarray, first: np.ndarray, bits: int, tables: int, packer: Packer) -> None:
     """Fills the sketches of rows; for the rows in first adds a signature for each table."""
     dirs = directions(SKETCH_BITS + bits * tables, 20250)
@@ -444,10 +423,10 @@ def pairs_of_bucket(large: int, again: str | None):
     return task
 
 
-def candidates(docs: DataFrame, counts, labels: DataFrame | None = None, again: str | None = None, suffixes: bool = False) -> DataFrame:
+def candidates(docs: DataFrame, counts, labels: DataFrame | None = None, again: str | None = None) -> DataFrame:
     """Checkpointed (kind, a, b), distinct: TEXT and VEC candidates between least ids of classes,
     10 + kind for links of copies (less id, greater id), -1 where a hot signature was met."""
-    return nominated(signature_blocks(docs, counts, labels, again, suffixes=suffixes), large_from(counts[1]), again)
+    return nominated(signature_blocks(docs, counts, labels, again), large_from(counts[1]), again)
 
 
 def nominated(blocks: DataFrame, large: int, again: str | None) -> DataFrame:
@@ -461,16 +440,15 @@ def nominated(blocks: DataFrame, large: int, again: str | None) -> DataFrame:
     return cut(pairs.distinct())
 
 
-def signature_blocks(docs: DataFrame, counts, labels: DataFrame | None = None, again: str | None = None, buckets: int = 0, suffixes: bool = False) -> DataFrame:
-    """Packed signatures of the docs by kind and bucket. buckets: their number, if it must not follow the
-    table. suffixes: contents by their suffixes (history.py), in order, not by subsets of their prefixes."""
+def signature_blocks(docs: DataFrame, counts, labels: DataFrame | None = None, again: str | None = None, buckets: int = 0, in_order: bool = False) -> DataFrame:
+    """Packed signatures of the docs by kind and bucket, in each block in order if in_order. buckets: their
+    number, if it must not follow the table."""
     total, cells, sizes = counts
     large = large_from(cells)
     bits, tables = tables_for(total)
     counted = np.arange(len(sizes))
     prefix = np.where(counted >= LEAST_WORDS, counted - needed(counted) + 2, 0)
-    each = suffix_starts(counted) if suffixes else np.where(counted < large, prefix * (prefix - 1) // 2, 0)
-    entries = int((sizes * np.where(counted >= LEAST_WORDS, each, 0)).sum())
+    entries = int((sizes * np.where(counted < large, prefix * (prefix - 1) // 2, 0)).sum())
     listed = int((sizes * np.where(counted >= needed(np.int64(large)), prefix, 0)).sum())
     nt, nl, nv = buckets_for(entries, 4_000_000), buckets_for(listed, 2_000_000, 1), buckets_for(tables * total, 2_000_000)
     if buckets:
@@ -496,11 +474,8 @@ def signature_blocks(docs: DataFrame, counts, labels: DataFrame | None = None, a
                 pick[mine] = True
                 flat = np.repeat(pick, n)
                 rank = np.cumsum(pick) - 1
-                small, lists = Packer(TEXT, nt, suffixes), Packer(LIST, nl)
-                if suffixes:
-                    suffix_signatures(n[pick], rank[row[flat]], h[flat], token[flat], shared.value, small)
-                else:
-                    subset_signatures(out[pick], n[pick], rank[row[flat]], h[flat], token[flat], shared.value, large, small, lists)
+                small, lists = Packer(TEXT, nt, in_order), Packer(LIST, nl, in_order)
+                subset_signatures(out[pick], n[pick], rank[row[flat]], h[flat], token[flat], shared.value, large, small, lists)
                 yield from small.pack(out[pick])
                 yield from lists.pack(out[pick])
             at, x = vectors(t.column("embedding"))
@@ -512,7 +487,7 @@ def signature_blocks(docs: DataFrame, counts, labels: DataFrame | None = None, a
                 v["h"] = mix(mix(x.view(np.uint32).astype(np.uint64) + place).sum(1))
                 if again in (None, "new"):
                     yield from copies(v, VEC, number, nv)
-                packer = Packer(VEC, nv, suffixes)
+                packer = Packer(VEC, nv, in_order)
                 vector_signatures(v, u, first_of_class(v)[0], bits, tables, packer)
                 yield from packer.pack(v)
 

@@ -9,7 +9,6 @@ entries, so their memory stays the same at any scale.
 from __future__ import annotations
 
 import re
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -18,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.catalog import materialised
+
 DIM = 128
 WORD = re.compile(r"[^\W_]+")
 #: Rows a task packs into one block; local row numbers are uint16.
@@ -25,19 +26,8 @@ BLOCK_ROWS = 8192
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` and drop its lineage, in the shared folder the session names.
-
-    Where it names none, a local session (one machine) gets a folder of its own; on a cluster it is
-    an error, since executors and driver would see different disks.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if not context.getCheckpointDir():
-        place = spark.conf.get("spark.checkpoint.dir", None)
-        if place is None and context.master.partition("[")[0] != "local":
-            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-        context.setCheckpointDir(place or tempfile.mkdtemp(prefix="vexalith-"))
-    return df.checkpoint(eager=True)
+    """Materialise ``df`` and drop its lineage, in the shared folder the session names."""
+    return materialised(df)
 
 
 def buckets_for(entries: int, per_bucket: int, least: int = 8) -> int:

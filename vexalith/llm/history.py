@@ -1,18 +1,16 @@
-"""Problem 4: new batches against everything accepted before, by suffix arrays.
-
-Every content is written with its words in one global order, the rarest first (``alike.py``), so that
-reordered and edited contents keep long stretches in common, and a batch's contents, one after
-another, are one text. Its suffix array holds the suffixes in the order of hashes of their first two
-words. Two alike contents always have two words that follow each other in both within the first
-three fifths of their words (``suffix_starts``): looking the batch's suffixes up in the arrays of
-earlier batches by binary search nominates every alike pair, however short or shuffled the contents
-are and however many records hold the same words. What a pair has in common is then summed up over
-its whole texts. Embeddings are looked up by the sign subsets of ``alike.py`` in the same way.
-
-Arrays are immutable, one for each batch, in parts by ranges of the hashes (buckets). ``History``
-keeps them in storage: a new batch reads only the buckets its suffixes fall in, searches them where
-they lie, and reads the contents of nominated records alone. Arrays of like size are merged, so their
-number stays logarithmic. ``repeats_of_history`` replays all batches of a table in one job.
+"""Problem 4: new batches against everything accepted before, by sorted arrays of signatures.
+
+Pairs of contents are nominated by the two-word subsets and inverted lists of their prefixes
+(``alike.py``), which miss no alike pair, however short or shuffled the contents are and however many
+records hold the same words; embeddings by subsets of their signs. Runs of words as written miss
+reordered and evenly edited contents; suffix arrays of contents written in one word order miss none,
+but what they match grows with the square of the table (README).
+
+The arrays are immutable, one for each batch, ordered by signature, in parts by ranges of hashes
+(buckets). ``History`` keeps them in storage: a new batch's signatures are looked up by binary search
+in the buckets they fall in, where these lie, and the contents of nominated records alone are read.
+Arrays of like size are merged, so their number stays logarithmic. ``repeats_of_history`` replays all
+batches of a table in one job.
 """
 
 from __future__ import annotations
@@ -27,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..sources.catalog import Catalog, Version, checkpoint_folder
 from . import alike
-from .alike import HOT, TEXT, VEC, candidates, checked, corpus_counts, plain  # noqa: F401 (tests lower HOT)
+from .alike import HOT, LIST, TEXT, VEC, candidates, checked, corpus_counts, plain  # noqa: F401 (tests lower HOT)
 from .common import cut, table
 
 #: Bytes of a batch's signatures that are sent to the stored arrays; folders that stored records lie in.
@@ -95,7 +93,7 @@ def repeats_of_history(docs: DataFrame, id_col: str = "id", content_col: str = "
     counts = corpus_counts(docs)
     if not counts[0]:
         return docs.select(F.col("id").alias("seen_id"), F.col("id").alias("new_id")).limit(0)
-    pairs = candidates(docs, counts, suffixes=True)
+    pairs = candidates(docs, counts)
     edges = cut(checked(docs, pairs))
     state = accept(order, pairs, edges)
     if pairs.where("kind = -1").limit(1).count():
@@ -105,7 +103,7 @@ def repeats_of_history(docs: DataFrame, id_col: str = "id", content_col: str = "
             known = state.where("accepted").select("id", F.lit(1).alias("kept"))
             touched = state.select("id", F.lit(1).alias("any"))
             now = order.join(known, "id", "left").join(touched, "id", "left").select(F.col("id").alias("node"), (F.col("batch") * 2 + F.coalesce("kept", F.when(F.col("any").isNull(), 1), F.lit(0))).alias("label"))
-            more = candidates(docs.drop("label"), counts, now, "kept", suffixes=True).where("kind >= 0").join(edges, ["kind", "a", "b"], "left_anti")
+            more = candidates(docs.drop("label"), counts, now, "kept").where("kind >= 0").join(edges, ["kind", "a", "b"], "left_anti")
             edges = cut(edges.unionByName(checked(docs, more)).distinct())
             state = accept(order, pairs, edges)
     return state.where("not accepted").select(F.col("seen").alias("seen_id"), F.col("id").alias("new_id"))
@@ -133,7 +131,7 @@ def read_blocks(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(sig), np.concatenate(idx)
 
 
-def looked_up(new: pa.Table, old: pa.Table) -> pa.Table:
+def looked_up(new: pa.Table, old: pa.Table, large: int) -> pa.Table:
     """Candidate pairs (accepted id, new id) of one bucket: new signatures are searched for in each old array."""
     kind = new.column("kind")[0].as_py()
     rows, sig, idx = read_blocks(new)
@@ -145,16 +143,18 @@ def looked_up(new: pa.Table, old: pa.Table) -> pa.Table:
         for i, j in alike.run_partners(lo, hi):
             x, y = idx[i], at[j]
             ok = alike.like_sketch(kind, both, x, y + len(rows))
+            if kind == LIST:
+                ok &= (rows["n"][x] >= large) | (other["n"][y] >= large)
             found.append(np.unique(np.stack([other["id"][y[ok]], rows["id"][x[ok]]]), axis=1))
     a, b = np.unique(np.concatenate(found, 1), axis=1)
-    return pa.table({"kind": pa.array(np.full(len(a), kind), pa.int32()), "a": pa.array(a), "b": pa.array(b)}, schema=alike.PAIRS)
+    return pa.table({"kind": pa.array(np.full(len(a), VEC if kind == VEC else TEXT), pa.int32()), "a": pa.array(a), "b": pa.array(b)}, schema=alike.PAIRS)
 
 
 class History:
     """What was accepted, kept in storage: one batch after another, no earlier one gone through again.
 
-    ``add`` orders the suffixes and sign subsets of the new batch only and looks them up in the stored
-    arrays of accepted records; it stores arrays and records of what it accepts, both at once. After
+    ``add`` orders the signatures of the new batch only and looks them up in the stored arrays of
+    accepted records; it stores arrays and records of what it accepts, both at once. After
     every second, fourth, ... batch arrays of like size are merged. expected: records to plan the
     buckets for. A batch is sent to the stored arrays if it takes up to ``SENT`` bytes, and meets the
     buckets it needs in a join otherwise.
@@ -197,12 +197,12 @@ class History:
         met = [r["place"] for r in pairs.select(F.pmod("a", F.lit(PLACES)).cast("int").alias("place")).distinct().collect()]
         return self._stored("records", RECORD_SQL).where(F.col("place").isin(met)).drop("place")
 
-    def _against_stored(self, blocks: DataFrame) -> DataFrame:
-        blocks = blocks.where(F.col("kind").isin(TEXT, VEC))
+    def _against_stored(self, blocks: DataFrame, large: int) -> DataFrame:
+        blocks = blocks.where(F.col("kind").isin(TEXT, LIST, VEC))
         old = self.segments_for(blocks)
         size = blocks.agg(F.sum(F.length("rows") + F.length("sigs") + F.length("idx"))).first()[0] or 0
         if size > SENT:
-            return blocks.groupBy("kind", "bucket").cogroup(old.groupBy("kind", "bucket")).applyInArrow(lambda n, o: looked_up(n, o) if n.num_rows and o.num_rows else alike.PAIRS.empty_table(), alike.PAIRS_SQL)
+            return blocks.groupBy("kind", "bucket").cogroup(old.groupBy("kind", "bucket")).applyInArrow(lambda n, o: looked_up(n, o, large) if n.num_rows and o.num_rows else alike.PAIRS.empty_table(), alike.PAIRS_SQL)
         shared = self.spark.sparkContext.broadcast(blocks.toArrow())
 
         def search(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -214,7 +214,7 @@ class History:
                 t = pa.Table.from_batches([b])
                 for n, key in enumerate(zip(t.column("kind").to_pylist(), t.column("bucket").to_pylist())):
                     if key in at:
-                        yield from looked_up(new.take(at[key]), t.slice(n, 1)).to_batches()
+                        yield from looked_up(new.take(at[key]), t.slice(n, 1), large).to_batches()
 
         return old.mapInArrow(search, alike.PAIRS_SQL)
 
@@ -228,8 +228,9 @@ class History:
         cells = self._order(new)
         counts = (self.expected, cells, np.zeros(1 << 16, np.int64))
         buckets = max(8, self.expected // 25_000)
-        blocks = cut(alike.signature_blocks(new.withColumn("label", F.lit(1).cast("long")), counts, None, "new", buckets, suffixes=True))
-        pairs = cut(alike.nominated(blocks, 1 << 30, "new").unionByName(self._against_stored(blocks)).distinct())
+        blocks = cut(alike.signature_blocks(new.withColumn("label", F.lit(1).cast("long")), counts, None, "new", buckets, in_order=True))
+        large = alike.large_from(cells)
+        pairs = cut(alike.nominated(blocks, large, "new").unionByName(self._against_stored(blocks, large)).distinct())
         records = new.unionByName(self.records_for(pairs.where("kind >= 0").join(new.select(F.col("id").alias("a")), "a", "left_anti")))
         edges = cut(checked(records, pairs))
         ids = new.select("id", F.lit(1).cast("long").alias("batch"))
@@ -238,7 +239,7 @@ class History:
         refused = cut(state.where("not accepted").select(F.col("seen").alias("seen_id"), F.col("id").alias("new_id")))
         kept = cut(new.join(refused.select(F.col("new_id").alias("id")), "id", "left_anti"))
         if not kept.isEmpty():
-            arrays = alike.signature_blocks(kept, counts, None, "new", buckets, suffixes=True).where(F.col("kind").isin(TEXT, VEC)).groupBy("kind", "bucket").applyInArrow(in_one, SEGMENT_SQL)
+            arrays = alike.signature_blocks(kept, counts, None, "new", buckets, in_order=True).where(F.col("kind").isin(TEXT, LIST, VEC)).groupBy("kind", "bucket").applyInArrow(in_one, SEGMENT_SQL)
             state = self.catalog.state()
             n = batches = state["segments"].next_id if "segments" in state else 1
             parts = [*(state["segments"].parts if "segments" in state else ()), self._part("segments", arrays, "bucket")]
