@@ -155,6 +155,26 @@ def test_a_hot_cell_is_divided_and_its_bucket_shared(spark, monkeypatch):
     assert hits / 2000 > 0.9, hits
 
 
+def test_queries_take_turns(spark, monkeypatch):
+    """However many buckets a query meets, a turn's blocks hold few copies of a vector; the rows stay."""
+    rng = np.random.default_rng(9)
+    n = 1500
+    x = rng.normal(0, 1, (40, 128))[rng.integers(0, 40, n)] + 0.5 * rng.normal(0, 1, (n, 128))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, embedding array<float>").repartition(4)
+    near = lambda: {(r["id"], r["neighbour"]) for r in similar_vectors(df).collect()}
+    want, sent, routed = near(), [], neighbours.routed
+
+    def counted(*args, **named):
+        blocks = routed(*args, **named)
+        sent.append(sum(len(r["entries"]) // neighbours.ENTRY.itemsize for r in blocks.select("entries").collect()))
+        return blocks
+
+    monkeypatch.setattr(neighbours, "routed", counted)
+    monkeypatch.setattr(neighbours, "AT_ONCE", 1, raising=False)
+    assert near() == want and len(want) > 4 * n
+    assert max(sent) <= 5 * n < sum(sent)
+
+
 def test_tables_without_vectors(spark):
     empty = spark.createDataFrame([], SCHEMA)
     nulls = spark.createDataFrame([(i, None, None, None, None, None, None, None, None) for i in range(4)], SCHEMA)
