@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import base64
 import os
+import random
+import re
 from collections import Counter
 from pathlib import Path
 
@@ -236,3 +238,38 @@ def test_checksums():
     assert mod97("DE89370400440532013000") and not mod97("DE88370400440532013000")
     assert identity_letter("12345678Z") and not identity_letter("12345678A")
     assert os.sep
+
+
+def test_patterns_begin_with_what_can_be_skipped_to(monkeypatch):
+    """A set of characters first, what must not stand before it after: the same matches, and few places to try."""
+    first = rf"(?<!\w)(?!(?i:during|spring|string|bring)\b)[A-ZÄÖÜ][\wäöüßÄÖÜ-]*?(?i:{pii.STREETS_DE})(?!\w){pii._SP}\d{{1,4}}(?:{pii._OPT}[a-zA-Z])?(?!\w)"
+    plain = {
+        pii._RUN: r"(?<![\w.,:#&/+-])(?:\(?\+?[0-9lIO])[0-9OolI ()./\r\n-]{4,24}[0-9OolI](?:-?[A-Z](?![A-Za-z]))?(?![\w:])",
+        pii._CODED: r"(?<![\w-])[A-Z]{1,2}[ -]?\d[\dA-Z]",
+        re.compile(pii._NUM): r"(?<![\w/.,:-])\d{1,5}[A-Za-z]?",
+        pii._ADDRESSES[2]: first,
+        pii._TIMING: r"\d+(?:[:.,]\d+)+[ \t]*-+>[ \t]*\d+(?:[:.,]\d+)+",
+    }
+    pieces = list("0123456789lIO()+-/.,:# \n\rABxä") + ["String", "Springstraße", "spring", "Bringweg", "Haupt", "Ring", "straße", " weg ", "Allee 12", " --> ", "00:01,5"]
+    rng = random.Random(4)
+    texts = ["".join(rng.choices(pieces, k=60)) for _ in range(4000)]
+    for new, old in plain.items():
+        assert new.pattern[0] in "[\\"
+        old = re.compile(old)
+        got = [[m.span() for m in new.finditer(t)] for t in texts]
+        assert got == [[m.span() for m in old.finditer(t)] for t in texts] and sum(map(len, got)) > 5
+    tried = []
+
+    class Watched:
+        pattern = pii._ADDRESSES[0].pattern
+
+        def match(self, v, at, end):
+            tried.append(at)
+            return pii_first.match(v, at, end)
+
+    pii_first = pii._ADDRESSES[0]
+    monkeypatch.setattr(pii, "_ADDRESSES", (Watched(), *pii._ADDRESSES[1:]))
+    cues = "".join(f"{n}\n00:00:{n:02},000 --> 00:00:{n + 1:02},500\nThe stone at the way\n\n" for n in range(10, 50))
+    text = cues + "99\n00:01:00,000 --> 00:01:02,000\nCome to 12 Oak Street, Apt 4, at 7.\n"
+    assert [text[a:b] for k, a, b in spans(text) if k == "address"] == ["12 Oak Street, Apt 4"]
+    assert len(tried) < 4

@@ -111,7 +111,7 @@ _TOP = frozenset(TOP_DOMAINS.split())
 _LATER = "[\x80-\xbf€‚ƒ„…†‡ˆ‰Š‹ŒŽ‘’“”•–—˜™š›œžŸ]"
 _UTF8 = re.compile(f"(?:[ÂÃÐÑ]{_LATER}|â{_LATER}{_LATER})+")
 _UNDO = re.compile(r"&(?:#\d{1,6}|#x[0-9a-fA-F]{1,6}|[a-zA-Z]{2,8});|<[/a-zA-Z][^<>\r\n]{0,60}>|\{[\\/a-zA-Z][^{}\r\n]{0,40}\}")
-_LATIN_UP = re.compile("[À-ÿ]{2,}")
+_LATIN_UP = re.compile("[À-ÿ][À-ÿ]+")
 _CYRILLIC = {c: bytes([c]).decode("cp1251") for c in range(0xC0, 0x100)} | {0xA8: "Ё", 0xB8: "ё"}
 
 
@@ -231,14 +231,15 @@ def _mails(v: str, low: str) -> Iterator[tuple[int, int]]:
 
 
 # ---- Numbers ----
+#: Where a pattern begins with a set of characters, only these are tried: what must not stand before is looked at after the first.
 _D = "[0-9OolI]"
-_RUN = re.compile(rf"(?<![\w.,:#&/+-])(?:\(?\+?[0-9lIO])[0-9OolI ()./\r\n-]{{4,24}}[0-9OolI](?:-?[A-Z](?![A-Za-z]))?(?![\w:])")
+_RUN = re.compile(rf"[(+0-9lIO](?<![\w.,:#&/+-][(+0-9lIO])(?:(?<=\()\+?[0-9lIO]|(?<=\+)[0-9lIO]|(?<=[0-9lIO]))[0-9OolI ()./\r\n-]{{4,24}}[0-9OolI](?:-?[A-Z](?![A-Za-z]))?(?![\w:])")
 _PART = re.compile(r"[\s./-]+")
 _OCR = str.maketrans({"O": "0", "o": "0", "l": "1", "I": "1"})
 _PHONE_BEFORE = re.compile(rf"(?<!\w)(?:{_folded(PHONE_WORDS)})")
 _ID_BEFORE = re.compile(rf"(?<!\w)(?:{_folded(ID_WORDS)})(?!\w)")
 _OTHER_BEFORE = re.compile(rf"(?<!\w)(?:{_folded(OTHER_NUMBER_WORDS)})(?!\w)")
-_CODED = re.compile(r"(?<![\w-])[A-Z]{1,2}[ -]?\d[\dA-Z]")
+_CODED = re.compile(r"[A-Z](?<![\w-][A-Z])[A-Z]?[ -]?\d[\dA-Z]")
 _LETTERED = re.compile(r"[A-Z]{1,2}[ -]?\d{6,9}(?:-?[A-Z])?(?![\w-])")
 _IBAN = re.compile(r"[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)")
 _SHAPES = (
@@ -257,7 +258,6 @@ _SHAPES = (
 )
 _WORDED = re.compile("|".join(rf"(?<!\w)(?:{w})(?:[-, ]{{1,2}}(?:\r?\n)?(?:{w})){{6,14}}(?!\w)" for w in DIGIT_WORDS.values()), re.I)
 _DIGIT_WORDS = frozenset(x for w in DIGIT_WORDS.values() for x in w.split("|"))
-_BETWEEN_WORDS = re.compile(r"[-, \r\n]+")
 
 
 def luhn(digits: str) -> bool:
@@ -324,7 +324,7 @@ def _number_kind(v: str, start: int, raw: str) -> str | None:
 def _numbers(v: str, low: str, plain: str) -> Iterator[tuple[str, int, int]]:
     """plain: v without the numbers and timings of cues, all else in its place."""
     near = list(_around_digits(plain, _NUMBER_REACH))
-    for m in (m for a, b in near for m in _RUN.finditer(plain, a, b)):
+    for m in (m for a, b, n in near if n >= 4 for m in _RUN.finditer(plain, a, b)):
         whole = m.group()
         if sum(c.isdigit() for c in whole) < 4:
             continue
@@ -334,7 +334,7 @@ def _numbers(v: str, low: str, plain: str) -> Iterator[tuple[str, int, int]]:
                     raw = raw[:-1]
                 yield kind, m.start(), m.start() + len(raw)
                 break
-    for sign in (m for a, b in near for m in _CODED.finditer(plain, a, b)):
+    for sign in (m for a, b, _ in near for m in _CODED.finditer(plain, a, b)):
         if m := _LETTERED.match(v, sign.start()):
             if 0.6 + _context(v, m.start(), "id_number") >= ACCEPT:
                 yield "id_number", m.start(), m.end()
@@ -342,7 +342,7 @@ def _numbers(v: str, low: str, plain: str) -> Iterator[tuple[str, int, int]]:
             if len(s := m.group().replace(" ", "")) >= 15 and mod97(s):
                 yield "id_number", m.start(), m.end()
     # Seven words or more: all but the first and the last stand between what divides them.
-    if sum(map(_DIGIT_WORDS.__contains__, _BETWEEN_WORDS.split(low))) >= 5:
+    if sum(map(_DIGIT_WORDS.__contains__, low.replace("-", " ").replace(",", " ").split())) >= 5:
         for m in _WORDED.finditer(v):
             yield "phone", m.start(), m.end()
 
@@ -352,11 +352,11 @@ _CAP = r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]+"
 _UNIT = rf"(?:,?{_SP}(?:(?:{_both(UNITS)})\.?{_SP}#?\w{{1,5}}|#{_OPT}\w{{1,5}}))?"
 _ABBREVIATED = "|".join(f"{w}\\." for x in "St Ave Rd Ln Ct Dr Blvd Pl Sq Pkwy Hwy".split() for w in (x, x.upper()))
 _STREET = f"(?:{_ABBREVIATED}|(?:{_both(STREETS_AFTER)})(?![\\w]))"
-_NUM = r"(?<![\w/.,:-])\d{1,5}[A-Za-z]?"
+_NUM = r"\d(?<![\w/.,:-]\d)\d{0,4}[A-Za-z]?"
 _ADDRESSES = (
     re.compile(rf"{_NUM}(?:{_SP}\d/\d)?{_SP}(?:(?:[NSEW]\.|[NSEW][EW]?\.?(?=[ \t])|{_both(SIDES)}){_SP})?(?:{_CAP}{_SP}){{1,2}}?{_STREET}{_UNIT}"),
     re.compile(rf"(?<!\w)(?i:{STREETS_ES}){_OPT}(?:(?i:de{_SP}la|de{_SP}los|de{_SP}las|del|de){_SP})?{_CAP}(?:{_SP}{_CAP})?,?{_SP}(?:(?i:n\.?[ºo°]\.?|núm\.?|número|#){_OPT})?\d{{1,5}}(?:{_OPT}bis)?[A-Za-z]?(?!\w)(?:,{_SP}(?:\d{{1,2}}[.]?[ºª°](?:{_SP}[A-Z](?!\w))?|(?i:piso){_SP}\d+))?"),
-    re.compile(rf"(?<!\w)(?!(?i:during|spring|string|bring)\b)[A-ZÄÖÜ][\wäöüßÄÖÜ-]*?(?i:{STREETS_DE})(?!\w){_SP}\d{{1,4}}(?:{_OPT}[a-zA-Z])?(?!\w)"),
+    re.compile(rf"[A-ZÄÖÜ](?<!\w[A-ZÄÖÜ])(?!(?i:(?<=d)uring|(?<=s)pring|(?<=s)tring|(?<=b)ring)\b)[\wäöüßÄÖÜ-]*?(?i:{STREETS_DE})(?!\w){_SP}\d{{1,4}}(?:{_OPT}[a-zA-Z])?(?!\w)"),
     re.compile(rf"{_NUM}(?:{_SP}(?i:bis|ter|quater))?,?{_SP}(?i:{STREETS_FR}){_SP}(?:(?i:de{_SP}la|de{_SP}l['’]|des|du|de|d['’]){_OPT})?{_CAP}"),
     re.compile(rf"(?<!\w)(?i:{STREETS_RU}){_OPT}{_CAP}(?:{_SP}{_CAP})?,?{_SP}(?:(?i:д\.|дом){_OPT})?\d{{1,4}}[а-яА-Я]?(?!\w)(?:,{_SP}(?i:кв\.|квартира){_OPT}\d{{1,4}})?"),
 )
@@ -375,9 +375,11 @@ _SIGNS = (
 #: Characters before and after a digit that can belong to the number or address it is part of.
 _NUMBER_REACH, _REACH = 40, 180
 #: The timing of a cue, and its number after an empty line: none of the digits can belong to a span.
-_TIMING = re.compile(r"\d+(?:[:.,]\d+)+[ \t]*-+>[ \t]*\d+(?:[:.,]\d+)+")
+_TIMING = re.compile(r"\d\d*(?:[:.,]\d+)+[ \t]*-+>[ \t]*\d+(?:[:.,]\d+)+")
 _CUE_NUMBER = re.compile(r"(?:\A|\n[ \t]*\n)[ \t]*\d+[ \t]*\n[ \t]*\Z")
-_DIGIT = re.compile(r"\d")
+_DIGITS = re.compile(r"\d\d*")
+#: A house number that a street can follow.
+_HOUSE = re.compile(_NUM + r"[ \t\r\n,]")
 
 
 def _without_cues(v: str) -> str:
@@ -397,33 +399,47 @@ def _without_cues(v: str) -> str:
     return "".join(out)
 
 
-def _around_digits(plain: str, reach: int) -> Iterator[tuple[int, int]]:
-    """Stretches around the digits, overlapping ones as one."""
-    a, b = 0, -1
-    for m in _DIGIT.finditer(plain):
-        i = m.start()
+def _around_digits(plain: str, reach: int) -> Iterator[tuple[int, int, int]]:
+    """Stretches around the digits and how many are in each, overlapping ones as one."""
+    a, b, n = 0, -1, 0
+    for m in _DIGITS.finditer(plain):
+        i, end = m.span()
         if b < 0 or i - reach > b:
             if b >= 0:
-                yield a, b
-            a = max(0, i - reach)
-        b = i + reach
+                yield a, b, n
+            a, n = max(0, i - reach), 0
+        b = end - 1 + reach
+        n += end - i
     if b >= 0:
-        yield a, b
+        yield a, b, n
 
 
 def _addresses(v: str, plain: str) -> Iterator[tuple[int, int]]:
-    """plain: v without the numbers and timings of cues, all else in its place."""
-    for a, b in _around_digits(plain, _REACH):
+    """plain: v without the numbers and timings of cues, all else in its place.
+
+    Where the pattern begins with the house number, it is tried at those of plain only.
+    """
+    for a, b, _ in _around_digits(plain, _REACH):
         low = plain[a:b].lower().replace("\n", " ").replace("\t", " ")
+        houses = [m.start() for m in _HOUSE.finditer(plain, a, b)]
         for pattern, signs in zip(_ADDRESSES, _SIGNS):
-            if any(sign in low for sign in signs):
-                for m in pattern.finditer(v, a, b):
-                    yield m.start(), m.end()
+            first = pattern.pattern.startswith(_NUM)
+            if (houses or not first) and any(sign in low for sign in signs):
+                if not first:
+                    for m in pattern.finditer(v, a, b):
+                        yield m.start(), m.end()
+                    continue
+                last = a
+                for h in houses:
+                    if h >= last and (m := pattern.match(v, h, b)):
+                        last = m.end()
+                        yield h, last
 
 
 # ---- Names ----
 _NAME = r"(?:[A-ZÀ-ÖØ-ÞА-ЯЁ]['’](?=[A-ZÀ-Þ]))?[A-ZÀ-ÖØ-ÞА-ЯЁ][\w�'’]*(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][\w�'’]*)*"
-_WORD = re.compile(_NAME)
+#: A capitalised word that something can follow to complete a name: what ends at another mark is none.
+_WORD = re.compile(r"(?:[A-ZÀ-ÖØ-ÞА-ЯЁ]['’](?=[A-ZÀ-Þ]))?+[A-ZÀ-ÖØ-ÞА-ЯЁ][\w�'’]*+(?:-[A-ZÀ-ÖØ-ÞА-ЯЁ][\w�'’]*+)*+(?=[ \t\r\n,])")
 _PIECE = re.compile(rf"{_SP}(?:({_NAME})(\.)?|((?:{'|'.join(sorted(_PARTICLES | {p.upper() for p in _PARTICLES} | {p.title() for p in _PARTICLES}))}))(?=[ \t\r\n]))")
 _COMMA = re.compile(rf",{_SP}({_NAME})")
 _LABEL = re.compile(rf"(?:{CREDITS})(?:{_SP}by)?{_OPT}:?{_OPT}$|(?:{INTRODUCTIONS}){_SP}$", re.I)
@@ -464,7 +480,18 @@ class _Given(dict):
         return known
 
 
+class _GivenWords(dict):
+    """Word as it stands -> is it a given name?"""
+
+    def __missing__(self, word: str) -> bool:
+        if len(self) > 200_000:
+            self.clear()
+        out = self[word] = _GIVEN[_fold(word)]
+        return out
+
+
 _GIVEN = _Given()
+_GIVEN_WORDS = _GivenWords()
 _CONTEXTS = frozenset(NAME_CONTEXTS.split())
 _FOLDED_COMMON = frozenset(map(_folded_word, _COMMON))
 _INTRODUCING = frozenset(w.split()[-1] for w in (CREDITS + "|" + INTRODUCTIONS).split("|")) | {"by"}
@@ -479,8 +506,7 @@ def _introduced(before: str) -> bool:
     return (word in _TITLES and bool(_TITLE.search(before))) or (word in _INTRODUCING and bool(_LABEL.search(before)))
 
 
-#: What can stand after the first word of a name; the small letters that begin no particle.
-_AFTER_NAME = frozenset(" \t\r\n,")
+#: The small letters that begin no particle.
 _NO_NAME = frozenset("abcdefghijklmnopqrstuvwxyzäöüßáéíóúñàâçèêîôûабвгдежзийклмнопрстуфхцчшщыэюяё") - {p[0] for p in _PARTICLES}
 
 
@@ -503,11 +529,9 @@ def _names(v: str) -> Iterator[tuple[int, int]]:
     for m in _WORD.finditer(v):
         if m.start() < last:
             continue
-        next_ = v[m.end() : m.end() + 1]
-        if next_ not in _AFTER_NAME:
-            continue  # the last word before a mark: nothing follows that could complete a name
+        next_ = v[m.end()]
         w = m.group()
-        given = _GIVEN[_fold(w)]
+        given = _GIVEN_WORDS[w]
         comma = next_ == ","
         if not given and next_ == " " and v[m.end() + 1 : m.end() + 2] in _NO_NAME:
             continue
