@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
-from vexalith.llm import neighbours, subset
+from vexalith.llm import clusters, neighbours, subset
 from vexalith.llm.clusters import similarity_clusters
 from vexalith.llm.neighbours import MultiIndex, build_index, kmeans, similar_vectors
 from vexalith.llm.subset import varied_subset
@@ -83,6 +83,19 @@ def test_clusters_match_brute_force(spark):
     assert all(r["flow"] > 0 for r in flow.collect())
 
 
+def test_flow_is_computed_where_it_is_asked_for(spark, monkeypatch, tmp_path):
+    """p5_found has the clusters of the links without the flow; what p5_clusters says of them follows from it."""
+    spark.createDataFrame(clustered(4), SCHEMA).repartition(4).write.parquet(f"{tmp_path}/docs.parquet")
+    members = similarity_clusters(spark.read.parquet(f"{tmp_path}/docs.parquet"))[0].select("id", "cluster_id").collect()
+    inside = {r["cluster_id"]: (r["markov_clusters"], r["typical_ids"]) for r in clusters.p5_clusters(spark, str(tmp_path)).collect()}
+    monkeypatch.setattr(clusters, "markov", lambda graph, buckets: pytest.fail("flow without use"))
+    assert sorted(clusters.p5_found(spark, str(tmp_path)).collect()) == sorted(members) and len(members) > 400
+    monkeypatch.undo()
+    monkeypatch.setattr(clusters, "SQUARINGS", 1)
+    less = {r["cluster_id"]: (r["markov_clusters"], r["typical_ids"]) for r in clusters.p5_clusters(spark, str(tmp_path)).collect()}
+    assert less.keys() == inside.keys() and less != inside
+
+
 def test_dense_groups_joined_by_a_few_pairs_are_one_cluster(spark):
     """Two groups larger than a visit, which their own members use up, and a bridge between them."""
     rng = np.random.default_rng(8)
